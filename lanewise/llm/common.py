@@ -106,8 +106,11 @@ class WordHasher:
             self._up = _powers(_POWER, self._size)
             self._down = _powers(np.uint64(inverse), self._size)
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, start, end, row) of each word; offsets are the rows' bounds in data, without gaps."""
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+        """(hash, start, end, row) of each word; offsets are the rows' bounds in data, without gaps.
+
+        For each length in prefixes, the hashes of the words cut to that many bytes follow.
+        """
         n = len(data)
         space = (data == 32) | ((data >= 9) & (data <= 13))
         inside = np.zeros(n + 2, np.int8)
@@ -127,8 +130,8 @@ class WordHasher:
         self._grow(n + 1)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._up[:n], out=prefix[1:])
-        h = (prefix[stops] - prefix[starts]) * self._down[starts]
-        return mixed(h), starts, stops, np.searchsorted(offsets, starts, side="right") - 1
+        of = lambda ends: mixed((prefix[ends] - prefix[starts]) * self._down[starts])
+        return of(stops), starts, stops, np.searchsorted(offsets, starts, side="right") - 1, *[of(np.minimum(stops, starts + k)) for k in prefixes]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
