@@ -16,6 +16,12 @@ one-bit neighbours instead, and two of them share such a point exactly if they d
 two bits. At most 65 fingerprints meet at a point, so no group is ever paired in full and no link is
 lost.
 
+`similar_texts` is the wider form for whole corpora: 512-bit fingerprints of five-word shingles stand for a
+shingle overlap (Jaccard) of 0.8 by their distance. No 64-bit fingerprint can hold that budget with
+useful keys, so its rings are 96 random choices of 24 bits, of which a pair at 0.85 shares one with
+a probability above 0.98, at 0.9 and more nearly always (figures in the README). Every candidate is
+checked by the full distance. A crowded key links its members to its first one.
+
 Defined results: null and empty texts have fingerprint zero and link like any other. A component's
 id is the smallest non-null doc_id in it (null if there is none). Repeated rows are returned each.
 """
@@ -23,13 +29,14 @@ id is the smallest non-null doc_id in it (null if there is none). Repeated rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, mixed, table
 
 SEGMENTS, SEGMENT_BITS = 8, 8
 BUDGET = 2
@@ -37,23 +44,35 @@ BUDGET = 2
 GROUP_BOUND = 64
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
+def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles, repeats included; of the whole text if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_digest
     if len(words) <= words_per_shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.frombuffer(digest(joined, 42), ">u8").astype(np.uint64)
     starts, at = [0], 0
     for w in words:
         at += len(w) + 1
         starts.append(at)
-    digest = xxhash.xxh64_digest
-    k = words_per_shingle
-    raw = b"".join([digest(joined[i : j - 1], 42) for i, j in zip(starts, starts[k:], strict=False)])
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-    over = 2 * bits.sum(0, dtype=np.int64) > len(bits)
-    return int.from_bytes(np.packbits(over).tobytes(), "big")
+    raw = b"".join([digest(joined[i : j - 1], 42) for i, j in zip(starts, starts[words_per_shingle:], strict=False)])
+    return np.frombuffer(raw, ">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without hashes."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, words_per_shingle))
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words_per_shingle: int = 3) -> DataFrame:
@@ -158,13 +177,87 @@ def near_copies_of_documents(docs: DataFrame) -> DataFrame:
     return near_copies(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Words of 64 bits in a wide fingerprint, its keys and their bits, and the most bits that a link may differ in.
+WIDE, TABLES, KEY_BITS, WIDE_BUDGET = 8, 96, 24, 90
+#: Members of a key's group that are all paired with each other; in larger groups the first one is paired with each.
+PAIRED = 24
+WORDS = [f"w{i}" for i in range(WIDE)]
+
+
+def _choices() -> np.ndarray:
+    """The bits of each key, drawn once for all."""
+    draw = np.random.default_rng(42)
+    return np.stack([draw.choice(WIDE * 64, KEY_BITS, replace=False) for _ in range(TABLES)])
+
+
+def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """keep's columns with w0 to w7, the words of a 512-bit fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mixed(np.arange(1, WIDE + 1, dtype=np.uint64))
+        for batch in batches:
+            out = np.zeros((batch.num_rows, WIDE), np.uint64)
+            for i, x in enumerate(batch.column(batch.num_columns - 1)):
+                hashes = shingle_hashes(x.as_py(), words_per_shingle)
+                out[i] = [majority(mixed(hashes ^ s)) for s in salts]
+            yield pa.record_batch([*batch.columns[:-1], *[pa.array(out[:, j].copy().view(np.int64)) for j in range(WIDE)]], names=[*batch.schema.names[:-1], *WORDS])
+
+    source = docs.select(*keep, F.col(text).alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{kinds}, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def _keys(points: DataFrame) -> DataFrame:
+    """(key, pid): a row for each key of each point (pid, w0 to w7)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choices, weights = _choices(), 1 << np.arange(KEY_BITS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                words = np.stack([part.column(1 + j).to_numpy().view(np.uint64) for j in range(WIDE)], axis=1)
+                bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), WIDE * 8), axis=1)
+                keys = np.stack([bits[:, c] @ weights + (t << KEY_BITS) for t, c in enumerate(choices)], axis=1)
+                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), TABLES))], names=["key", "pid"])
+
+    return points.select("pid", *WORDS).mapInArrow(run, "key long, pid long")
+
+
+def wide_links(points: DataFrame, budget: int = WIDE_BUDGET, paired: int = PAIRED) -> DataFrame:
+    """(u, v) of points whose fingerprints share a key and differ in at most budget bits."""
+    keyed = _keys(points)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("pid").alias("first")).where("n > 1")
+    members = checkpointed(keyed.join(sizes, "key"))
+    small = members.where(F.col("n") <= paired).select("key", "pid")
+    near = small.toDF("key", "u").join(small.toDF("key", "v"), "key").where("u < v").select("u", "v")
+    crowded = members.where((F.col("n") > paired) & (F.col("pid") != F.col("first"))).select(F.col("first").alias("u"), F.col("pid").alias("v"))
+    found = near.union(crowded).distinct()
+    a = points.select(F.col("pid").alias("u"), *[F.col(w).alias(f"a{w}") for w in WORDS])
+    b = points.select(F.col("pid").alias("v"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+    distance = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS])
+    return found.join(a, "u").join(b, "v").where(distance <= budget).select("u", "v")
+
+
+def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
+    """doc_id, component_id of each row of docs, components being those of wide_links."""
+    marks = wide_fingerprints(docs, ["doc_id"], words_per_shingle=words_per_shingle)
+    marks = checkpointed(marks.withColumn("pid", F.xxhash64(*WORDS)))
+    points = checkpointed(marks.groupBy("pid", *WORDS).agg(F.min("doc_id").alias("first_id")))
+    roots = components(wide_links(points))
+    grouped = roots.join(points.select(F.col("pid").alias("node"), "first_id"), "node")
+    best = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    moved = grouped.join(best, "root").select(F.col("node").alias("pid"), "component_id")
+    label = points.join(moved, "pid", "left").select("pid", F.coalesce("component_id", "first_id").alias("component_id"))
+    return marks.select("doc_id", "pid").join(label, "pid").select("doc_id", "component_id")
+
+
 def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """The documents, all columns kept, of which one of each group of near copies stays.
 
     The one with the smallest doc_id stays; of repeated rows with that id, one. Rows without an id
     can't be named and stay.
     """
-    chosen = near_copies(docs.where(F.col("doc_id").isNotNull()), words_per_shingle).select(F.col("component_id").alias("doc_id")).distinct()
+    chosen = similar_texts(docs.where(F.col("doc_id").isNotNull()), words_per_shingle).select(F.col("component_id").alias("doc_id")).distinct()
     keep = docs.columns
     once = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select(*keep)
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
