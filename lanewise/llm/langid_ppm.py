@@ -117,7 +117,7 @@ def build_model(rows: list[tuple[str, int, int]], min_context: int = MIN_CONTEXT
     gram = np.array([r[1] for r in rows], np.int64)
     n = np.array([r[2] for r in rows], np.int64)
     last = gram & 255
-    bytes_seen = np.unique(last)
+    bytes_seen = np.unique(np.append(last, 0))  # the padding byte is known as a context
     symbol = np.zeros(256, np.uint8)
     symbol[bytes_seen] = np.arange(1, len(bytes_seen) + 1) if len(bytes_seen) < 255 else np.arange(len(bytes_seen))
     s, count = int(symbol.max()) + 1, len(languages)

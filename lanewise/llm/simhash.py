@@ -131,7 +131,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates two star steps until nothing moves: every node passes its smallest neighbour to its
     larger neighbours, then to its smaller ones. The logarithm of the longest path bounds the rounds.
     """
-    edges = checkpointed(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u > v").distinct())
+    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
