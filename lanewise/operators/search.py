@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.patterns import literal_regex, user_regex
 from ..schemas import Tables
@@ -74,7 +75,7 @@ def snippets(hits: DataFrame, tables: Tables, text: str, regex: bool = False, ca
     return fields.select(*key, "seq", cut(F.col("field"), F.col("value"), before, F.coalesce(match, F.lit(""))).alias("snippet"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def cut(field: pd.Series, value: pd.Series, before: pd.Series, match: pd.Series) -> pd.Series:
     out = []
     for name, text, head, hit in zip(field, value, before, match, strict=True):
