@@ -88,7 +88,7 @@ def random_log(seed, n=220):
     return "\n".join(out) + "\n"
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(1))
 def test_random_logs_match_the_model(spark, seed):
     texts = {f"t{k}": random_log(seed * 10 + k) for k in range(3)}
     lines = None
