@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.patterns import unescaped
@@ -30,7 +31,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "\n").text([paths] if isinstance(paths, str) else list(paths))
     meta = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
-    return meta.select(F.element_at(F.split("path", "/"), -1).alias("trace"), "block", "pos", F.regexp_replace("value", r"\r\z", "").alias("value"))
+    return meta.select(F.element_at(F.split("path", "/"), -1).alias("trace"), "block", "pos", F.when(F.endswith("value", F.lit("\r")), F.substring(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value")).alias("value"))
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
@@ -79,8 +80,12 @@ def bad_traces(numbered_lines: DataFrame) -> DataFrame:
 
 
 def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int = OP_BYTES) -> Tables:
-    """The tables of lines (trace, block, pos, value). Lines of traces with a bad header should be left out before."""
-    clock = with_cycles(with_line_numbers(lines))
+    """The tables of lines (trace, block, pos, value). Lines of traces with a bad header should be left out before.
+
+    All tables come from the same numbered and grouped lines, so these are kept (in memory, then on
+    the executors' disks; lost parts are computed again) until the session clears its cache.
+    """
+    clock = with_cycles(with_line_numbers(lines)).persist(StorageLevel.MEMORY_AND_DISK)
     events = clock.where(F.col("cmd").isin(*COMMANDS) & (F.col("line") > 1)).withColumn("op_id", number(F.get("parts", 1)))
     own = Window.partitionBy(*OP)
     p = lambda k: F.get("parts", k)
@@ -89,7 +94,7 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     good_s = (F.col("cmd") == "S") & p(3).isNotNull() & (F.octet_length(F.trim(p(2))) <= NAME_LIMIT) & (F.octet_length(F.trim(p(3))) <= NAME_LIMIT)
     placed = events.where("op_id is not null").withColumn("intro", F.min(F.when(good_i, F.col("line"))).over(own))
     live = placed.where(F.col("line") > F.col("intro"))
-    live = live.withColumn("r_line", F.min(F.when(good_r, F.col("line"))).over(own)).withColumn("lane", F.trim(p(2))).withColumn("name", F.trim(p(3)))
+    live = live.withColumn("r_line", F.min(F.when(good_r, F.col("line"))).over(own)).withColumn("lane", F.trim(p(2))).withColumn("name", F.trim(p(3))).persist(StorageLevel.MEMORY_AND_DISK)
     last_cycle = clock.groupBy("trace").agg(F.max("cycle").alias("last_cycle"))
 
     # operations
@@ -105,7 +110,7 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     ops = ops.select(
         *OP, "gid", "tid", "rid", "fetch_cycle", F.coalesce("r_cycle", F.col("last_cycle") + 1).alias("end_cycle"), F.coalesce("r_flushed", F.lit(False)).alias("flushed"), F.col("rid").isNull().alias("incomplete"), "line", empty("label").alias("label"), empty("detail").alias("detail")
     )
-    ops = numbered(ops, ["trace"], ["op_id"], "row_idx")
+    ops = numbered(ops, ["trace"], ["op_id"], "row_idx").persist(StorageLevel.MEMORY_AND_DISK)
 
     # stages: an E sets the end of the latest S of its lane and name, over what a later S of the lane or R would
     by_line = Window.partitionBy(*OP).orderBy("line")
