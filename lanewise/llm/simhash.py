@@ -180,7 +180,7 @@ def near_copies_of_documents(docs: DataFrame) -> DataFrame:
 #: Words of 64 bits in a wide fingerprint, its keys and their bits, and the most bits that a link may differ in.
 WIDE, TABLES, KEY_BITS, WIDE_BUDGET = 8, 96, 24, 90
 #: Members of a key's group that are all paired with each other; in larger groups the first one is paired with each.
-PAIRED = 24
+PAIRED = 8
 WORDS = [f"w{i}" for i in range(WIDE)]
 
 
