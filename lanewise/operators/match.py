@@ -17,7 +17,7 @@ def phase_rows(tables: Tables, phase: Phase) -> DataFrame:
     """The stage occurrences that meet the phase's conditions, open ones included, with their operations' fields."""
     ops = tables.ops.select("trace", "op_id", *OP_FIELDS)
     last = tables.traces.select("trace", "last_cycle")
-    rows = tables.stages.where(Phase(phase.name, lane=phase.lane).conditions()).join(ops, ["trace", "op_id"]).join(last, "trace")
+    rows = tables.stages.where(Phase(phase.name, lane=phase.lane).conditions()).join(ops, ["trace", "op_id"]).join(F.broadcast(last), "trace")  # one row a trace
     return rows.where(phase.conditions())
 
 
