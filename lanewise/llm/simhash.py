@@ -20,7 +20,11 @@ lost.
 shingle overlap (Jaccard) of 0.8 by their distance. No 64-bit fingerprint can hold that budget with
 useful keys, so its rings are 96 random choices of 24 bits, of which a pair at 0.85 shares one with
 a probability above 0.98, at 0.9 and more nearly always (figures in the README). Every candidate is
-checked by the full distance. A crowded key links its members to its first one.
+checked by the full distance. First each member of a key's group is held against the group's first
+one; what this links are provisional components. Then, in groups that still hold several of them,
+members outside of the group's largest component are held against all members of other components, however
+large the group. Links inside a component would change nothing, so no link that a key shows is lost,
+and a large group of copies costs its rows, not their pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other. A component's
 id is the smallest non-null doc_id in it (null if there is none). Repeated rows are returned each.
@@ -179,8 +183,6 @@ def near_copies_of_documents(docs: DataFrame) -> DataFrame:
 
 #: Words of 64 bits in a wide fingerprint, its keys and their bits, and the most bits that a link may differ in.
 WIDE, TABLES, KEY_BITS, WIDE_BUDGET = 8, 96, 24, 90
-#: Members of a key's group that are all paired with each other; in larger groups the first one is paired with each.
-PAIRED = 8
 WORDS = [f"w{i}" for i in range(WIDE)]
 
 
@@ -223,19 +225,34 @@ def _keys(points: DataFrame) -> DataFrame:
     return points.select("pid", *WORDS).mapInArrow(run, "key long, pid long")
 
 
-def wide_links(points: DataFrame, budget: int = WIDE_BUDGET, paired: int = PAIRED) -> DataFrame:
-    """(u, v) of points whose fingerprints share a key and differ in at most budget bits."""
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two wide fingerprints differ, their words being named with the prefixes a and b."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in WORDS])
+
+
+def _named(points: DataFrame, prefix: str, pid: str) -> DataFrame:
+    return points.select(F.col("pid").alias(pid), *[F.col(w).alias(f"{prefix}{w}") for w in WORDS])
+
+
+def wide_links(points: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
+    """(u, v) with the components that all links have: points that share a key and differ in at most budget bits."""
     keyed = _keys(points)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("pid").alias("first")).where("n > 1")
-    members = checkpointed(keyed.join(sizes, "key"))
-    small = members.where(F.col("n") <= paired).select("key", "pid")
-    near = small.toDF("key", "u").join(small.toDF("key", "v"), "key").where("u < v").select("u", "v")
-    crowded = members.where((F.col("n") > paired) & (F.col("pid") != F.col("first"))).select(F.col("first").alias("u"), F.col("pid").alias("v"))
-    found = near.union(crowded).distinct()
-    a = points.select(F.col("pid").alias("u"), *[F.col(w).alias(f"a{w}") for w in WORDS])
-    b = points.select(F.col("pid").alias("v"), *[F.col(w).alias(f"b{w}") for w in WORDS])
-    distance = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS])
-    return found.join(a, "u").join(b, "v").where(distance <= budget).select("u", "v")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("pid").alias("first")).where("n > 1")
+    members = checkpointed(keyed.join(groups, "key").select("key", "pid", "first"))
+    star = members.where("pid <> first").select(F.col("first").alias("u"), F.col("pid").alias("v")).distinct()
+    near = star.join(_named(points, "a", "u"), "u").join(_named(points, "b", "v"), "v").where(_apart("a", "b") <= budget)
+    roots = checkpointed(components(near.select("u", "v")).withColumnRenamed("node", "pid"))
+    placed = checkpointed(members.join(roots, "pid", "left").select("key", "pid", F.coalesce("root", "pid").alias("root")))
+    # groups of several components, and the largest of those in each
+    counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_groups = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("n")).where("n > 1").select("key", F.col("most.root").alias("main"))
+    left = checkpointed(placed.join(open_groups, "key").join(points.select("pid", *WORDS), "pid"))
+    one = left.where("root <> main").select("key", F.col("root").alias("u"), *[F.col(w).alias(f"a{w}") for w in WORDS])
+    other = left.select(F.col("key").alias("other_key"), F.col("root").alias("v"), "main", *[F.col(w).alias(f"b{w}") for w in WORDS])
+    # both outside of the largest: one of the two orders is enough; the distance is taken inside the join, so only links leave it
+    meets = (F.col("key") == F.col("other_key")) & ((F.col("v") == F.col("main")) | (F.col("u") < F.col("v"))) & (_apart("a", "b") <= budget)
+    across = one.join(other, meets).select("u", "v")
+    return roots.where("pid <> root").select(F.col("pid").alias("u"), F.col("root").alias("v")).union(across).distinct()
 
 
 def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:

@@ -371,6 +371,38 @@ def test_similar_texts_link_and_others_do_not(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 39 and all(got[2 * i] == 2 * i for i in range(40))
 
 
+def test_crowded_keys_lose_no_link(spark):
+    """Against all pairs that share a key: variants of a text of which many are too far from each other."""
+    draw = random.Random(5)
+    points = {}
+    for _ in range(5):
+        centre = draw.getrandbits(512)
+        for _ in range(60):
+            points[draw.getrandbits(60)] = centre ^ sum(1 << b for b in draw.sample(range(512), draw.choice([20, 48, 56, 80])))
+    pids = sorted(points)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(p, *[signed(points[p] >> (64 * (7 - j)) & (1 << 64) - 1) for j in range(8)]) for p in pids]
+    df = spark.createDataFrame(rows, "pid long, " + ", ".join(f"{w} long" for w in simhash.WORDS))
+    groups, root = {}, {p: p for p in pids}
+    for r in simhash._keys(df).collect():
+        groups.setdefault(r.key, []).append(r.pid)
+    assert max(len(g) for g in groups.values()) > 8
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for g in groups.values():
+        for i, a in enumerate(g):
+            for b in g[:i]:
+                if (points[a] ^ points[b]).bit_count() <= simhash.WIDE_BUDGET:
+                    root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.node: r.root for r in simhash.components(simhash.wide_links(df)).collect()}
+    assert {p: got.get(p, p) for p in pids} == {p: top(p) for p in pids}
+    assert 1 < len({top(p) for p in pids}) < len(pids)
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
