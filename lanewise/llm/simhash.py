@@ -21,9 +21,9 @@ shingle overlap (Jaccard) of 0.8 by their distance. No 64-bit fingerprint can ho
 useful keys, so its rings are 96 random choices of 24 bits, of which a pair at 0.85 shares one with
 a probability above 0.98, at 0.9 and more nearly always (figures in the README). Every candidate is
 checked by the full distance. First each member of a key's group is held against the group's first
-one; what this links are provisional components. Then, in groups that still hold several of them,
-members outside of the group's largest component are held against all members of other components, however
-large the group. Links inside a component would change nothing, so no link that a key shows is lost,
+one, and those linked to one point take its label. Then, in groups that still hold several labels,
+members outside of the group's largest label are held against all members of other labels, however
+large the group. Links inside a label would change nothing, so no link that a key shows is lost,
 and a large group of copies costs its rows, not their pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other. A component's
@@ -241,9 +241,12 @@ def wide_links(points: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
     members = checkpointed(keyed.join(groups, "key").select("key", "pid", "first"))
     star = members.where("pid <> first").select(F.col("first").alias("u"), F.col("pid").alias("v")).distinct()
     near = star.join(_named(points, "a", "u"), "u").join(_named(points, "b", "v"), "v").where(_apart("a", "b") <= budget)
-    roots = checkpointed(components(near.select("u", "v")).withColumnRenamed("node", "pid"))
-    placed = checkpointed(members.join(roots, "pid", "left").select("key", "pid", F.coalesce("root", "pid").alias("root")))
-    # groups of several components, and the largest of those in each
+    near = checkpointed(near.select("u", "v"))
+    # a point's label is the least first one that it is linked to, then that one's: equal labels mean one component
+    label = near.groupBy(F.col("v").alias("pid")).agg(F.min("u").alias("root"))
+    root = label.join(label.toDF("root", "up"), "root", "left").select("pid", F.coalesce("up", "root").alias("root"))
+    placed = checkpointed(members.join(root, "pid", "left").select("key", "pid", F.coalesce("root", "pid").alias("root")))
+    # groups of several labels, and the largest of those in each
     counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     open_groups = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("n")).where("n > 1").select("key", F.col("most.root").alias("main"))
     left = checkpointed(placed.join(open_groups, "key").join(points.select("pid", *WORDS), "pid"))
@@ -252,7 +255,7 @@ def wide_links(points: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
     # both outside of the largest: one of the two orders is enough; the distance is taken inside the join, so only links leave it
     meets = (F.col("key") == F.col("other_key")) & ((F.col("v") == F.col("main")) | (F.col("u") < F.col("v"))) & (_apart("a", "b") <= budget)
     across = one.join(other, meets).select("u", "v")
-    return roots.where("pid <> root").select(F.col("pid").alias("u"), F.col("root").alias("v")).union(across).distinct()
+    return near.union(across).distinct()
 
 
 def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
