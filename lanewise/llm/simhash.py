@@ -40,7 +40,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, mixed, table
+from . import shingles
+from .common import checkpointed, mixed, table, written
 
 SEGMENTS, SEGMENT_BITS = 8, 8
 BUDGET = 2
@@ -259,12 +260,11 @@ def wide_links(points: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
-    """doc_id, component_id of each row of docs, components being those of wide_links."""
-    marks = wide_fingerprints(docs, ["doc_id"], words_per_shingle=words_per_shingle)
-    marks = checkpointed(marks.withColumn("pid", F.xxhash64(*WORDS)))
-    points = checkpointed(marks.groupBy("pid", *WORDS).agg(F.min("doc_id").alias("first_id")))
-    roots = components(wide_links(points))
-    grouped = roots.join(points.select(F.col("pid").alias("node"), "first_id"), "node")
+    """doc_id, component_id of each row of docs, components being those of shingle sets that overlap by 0.8 and more."""
+    marks = written(shingles.marked(docs, words_per_shingle), "near-marks")
+    points = marks.groupBy("pid").agg(F.min("doc_id").alias("first_id"))
+    roots = shingles.set_links(marks, docs, components, words_per_shingle)
+    grouped = checkpointed(roots.join(points.select(F.col("pid").alias("node"), "first_id"), "node"))
     best = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = grouped.join(best, "root").select(F.col("node").alias("pid"), "component_id")
     label = points.join(moved, "pid", "left").select("pid", F.coalesce("component_id", "first_id").alias("component_id"))

@@ -427,3 +427,44 @@ def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "3", 1000), ("b", "z", "4", 1000)], "domain string, lang string, source string, leaf_tokens long")
     got = {r.source: r.leaf_budget for r in mixing.budgets(leaves, mixing.MixPlan(budget_percent=40, epochs=1)).collect()}
     assert got == {"1": 10, "2": 291, "3": 301, "4": 602}
+
+
+def jaccard_texts(rng, n=60, size=120):
+    """Pairs (2 i, 2 i + 1) of texts with overlaps about 0.8."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for i in range(n):
+        body = [word() for _ in range(size)]
+        rows.append((2 * i, " ".join(body)))
+        body[-8 - i % 10 :] = [word() for _ in range(8 + i % 10)]
+        rows.append((2 * i + 1, " ".join(body)))
+    return rows
+
+
+def shingle_set(text, k=5):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
+
+
+def test_links_are_all_overlaps_of_four_fifths(spark):
+    """Against all pairs, near the bound on both sides, with a line that is in all texts."""
+    rng = random.Random(11)
+    line = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(10))
+    rows = [(i, f"{line} {t}") for i, t in jaccard_texts(rng)]
+    rows += [(1000 + i, f"{line} tail{i}") for i in range(40)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    want = {i: top(i) for i in sets}
+    assert 20 < sum(want[2 * i + 1] == 2 * i for i in range(60)) < 60
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs_of(spark, rows)).collect()}
+    assert got == want
