@@ -16,10 +16,11 @@ one-bit neighbours instead, and two of them share such a point exactly if they d
 two bits. At most 65 fingerprints meet at a point, so no group is ever paired in full and no link is
 lost.
 
-`similar_texts` is the wider form for whole corpora: 512-bit fingerprints of five-word shingles stand for a
-shingle overlap (Jaccard) of 0.8 by their distance. No 64-bit fingerprint can hold that budget with
-useful keys, so its rings are 96 random choices of 24 bits, of which a pair at 0.85 shares one with
-a probability above 0.98, at 0.9 and more nearly always (figures in the README). Every candidate is
+`similar_texts`, for whole corpora, does not use fingerprints: it links exact shingle overlaps (Jaccard) of
+0.8 and more, see `shingles`.
+
+`wide_links` is a wider form of the fingerprints, which no query uses: 512 bits, and as keys 96 random choices
+of 24 bits, so that pairs without a common key are missed. Every candidate is
 checked by the full distance. First each member of a key's group is held against the group's first
 one, and those linked to one point take its label. Then, in groups that still hold several labels,
 members outside of the group's largest label are held against all members of other labels, however

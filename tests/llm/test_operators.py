@@ -468,3 +468,12 @@ def test_links_are_all_overlaps_of_four_fifths(spark):
     assert 20 < sum(want[2 * i + 1] == 2 * i for i in range(60)) < 60
     got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs_of(spark, rows)).collect()}
     assert got == want
+
+
+def test_texts_below_the_overlap_all_stay(spark):
+    """Overlaps of 0.6 to 0.79, and texts of which over half is one repeated line."""
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in jaccard_texts(rng, 60, 90) if i % 2 == 0 or len(shingle_set(t) & shingle_set(dict(jaccard_texts(random.Random(12), 60, 90))[i - 1])) < 0.88 * len(shingle_set(t))]
+    rows += [(1000 + i, "the same short line of words " * 60 + " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40))) for i in range(10)]
+    assert len(rows) > 100
+    assert simhash.keep_one_of_each(docs_of(spark, rows)).count() == len(rows)
