@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 The page's markup becomes a tree. Elements that are boilerplate by what they are or are called
-(navigation, footers, forms, scripts, adverts, comments of readers, ...) leave it first. For each
+(navigation, footers, forms, scripts, adverts, comments of readers, ...) leave it first. A name in class
+or id does not count on an element around the page's main or longest article; a name that is only a part
+of a word (has-sidebar) not around any article either or, on pages without, around most of the text. For each
 other node the density is its characters per tag, adjusted for links:
 
     C = characters, T = tags, LC = characters in links, LT = link tags (each at least 1)
@@ -49,10 +51,10 @@ LINK_SHARE = 0.5
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "named", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: int = 0) -> None:
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.children: list[Node | str] = []
 
 
@@ -63,11 +65,51 @@ def _boilerplate(tag: str, rest: str) -> bool:
         return False
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.strip() in ROLES or name == "aria-hidden" and value.strip() == "true":
+        if name == "role" and value.strip() in ROLES or name == "aria-hidden" and value.strip() == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/?$)", rest))
 
 
+def _named(rest: str) -> int:
+    """2 if a whole word of class or id is a boilerplate name, 1 if only a part of one is, else 0."""
+    found = 0
+    for m in ATTRIBUTE.finditer(rest):
+        if m[1].lower() in ("class", "id"):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            if NAMES.search(value):
+                found = max(found, 2 if any(NAMES.search(w) and not re.search("[_-]", w.strip("_-")) for w in value.split()) else 1)
+    return found
+
+
+def _without_named(body: Node) -> Node:
+    """body without the elements that have boilerplate names, layout around the main text excepted."""
+    order = _measure(body)
+    if not any(x.named for x in order):
+        return body
+    mains = [x for x in order if x.tag in ("article", "main") and not x.named]
+    text = lambda x: x.chars - x.link_chars
+    principal = max(mains, key=lambda x: (x.tag == "main", text(x)), default=None)
+    around: set[int] = set()
+    for x in mains:
+        up = x.parent
+        while up is not None and id(up) not in around:
+            around.add(id(up))
+            up = up.parent
+    first: set[int] = set()
+    while principal is not None:
+        first.add(id(principal))
+        principal = principal.parent
+
+    def stays(x: Node) -> bool:
+        if not x.named or x.tag in ("article", "main") or id(x) in first:
+            return True
+        return x.named == 1 and (id(x) in around or not mains and 2 * text(x) > text(body))
+
+    for x in order:
+        x.children = [c for c in x.children if isinstance(c, str) or stays(c)]
+    return body
+
+
 def parse(page: str) -> Node:
     """The body's tree, without boilerplate."""
     body = Node("body", None, False)
@@ -91,7 +133,7 @@ def parse(page: str) -> Node:
                     node = _close(node, name, SCOPE[tag])
             if tag == "body" or (tag in ("article", "main", "section", "div", "p", "nav", "header") and node.tag == "head"):
                 node = node.parent or body
-            child = Node(tag, node, node.dropped or _boilerplate(tag, m["rest"]))
+            child = Node(tag, node, node.dropped or _boilerplate(tag, m["rest"]), _named(m["rest"]) if m["rest"] and "=" in m["rest"] else 0)
             if tag in VOID:
                 if tag in ("br", "hr", "wbr") or not child.dropped:
                     node.children.append(child)
@@ -111,7 +153,7 @@ def parse(page: str) -> Node:
                 node = _close(node, tag, frozenset())
         elif m["cdata"]:
             node.children.append(m["cdata"])
-    return body
+    return _without_named(body)
 
 
 def _close(node: Node, tag: str, fence: frozenset | set) -> Node:

@@ -477,3 +477,17 @@ def test_texts_below_the_overlap_all_stay(spark):
     rows += [(1000 + i, "the same short line of words " * 60 + " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40))) for i in range(10)]
     assert len(rows) > 100
     assert simhash.keep_one_of_each(docs_of(spark, rows)).count() == len(rows)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'><p>The text stays.</p><div class='sidebar'>Links</div></div>",
+        "<div class='page no-sidebar'><article><p>The text stays.</p></article></div><div class='comments-area'><article class='comment-body'>Nice</article></div>",
+        "<div id='wrap' class='nav-open header-fixed'><main><p>The text stays.</p></main><div class='site-footer'>Us</div></div>",
+        "<section class='post-share-enabled'><p>The text stays.</p></section><div class='main-nav'>Home</div>",
+        "<div class='sidebar'><main><p>The text stays.</p></main></div>",
+    ],
+)
+def test_layout_names_keep_their_text(page):
+    assert html_density.main_text(page) == "The text stays."
