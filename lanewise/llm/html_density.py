@@ -10,10 +10,13 @@ other node the density is its characters per tag, adjusted for links:
     density = C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
 A node's density sum is the sum of its children's densities (its own text counts as a child). The
-subtree with the largest sum is the core of the text. The smallest density on the path from it up to
-the body is the threshold: elsewhere, every highest subtree off the path that reaches the threshold
-counts as text too, if it isn't mostly links. All text of the chosen subtrees is returned, block by
-block in page order.
+subtree with the largest sum is the core of the text. The highest article or main around it (or, without
+one, the highest element) that isn't mostly links is the container, and all of its text counts, headings,
+short sections and bare text too. Only blocks off the core's path that are lists of links (three at least,
+of over half the characters) leave a container that is no article or main. The smallest density on the path from
+the core up to the body is the threshold for what lies outside of the container: every highest subtree off
+the path, and every bare text, that reaches it counts as text too, subtrees if they aren't mostly links. The
+text is returned block by block in page order.
 
 Defined results: null and empty pages, and pages without any text, give an empty string. Open
 elements end as their parents end; text outside of any element belongs to the body.
@@ -48,6 +51,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?]
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: A subtree off the core's path counts only below this share of link characters.
 LINK_SHARE = 0.5
+#: Links that a block has at least to be a list of links.
+LINK_LIST = 3
 
 
 class Node:
@@ -206,8 +211,18 @@ def _own_text(node: Node) -> int:
     return sum(len(c.strip()) for c in node.children if isinstance(c, str))
 
 
-def chosen(body: Node) -> list[Node]:
-    """The subtrees that hold the main text."""
+def _container(path: list[Node]) -> Node:
+    """The highest article or main on the core's path, or the highest element of any kind, that isn't mostly links."""
+    texts = [x for x in reversed(path) if x.link_chars <= LINK_SHARE * x.chars]
+    return next((x for x in texts if x.tag in ("article", "main")), texts[0] if texts else path[0])
+
+
+def _link_list(x: Node) -> bool:
+    return x.tag in BLOCKS and x.link_tags >= LINK_LIST and x.link_chars > LINK_SHARE * x.chars
+
+
+def chosen(body: Node) -> list[Node | str]:
+    """The subtrees, and texts that stand between them, that hold the main text."""
     order = _measure(body)
     share = body.link_chars / max(body.chars, 1)
     core, most = body, -1.0
@@ -222,20 +237,27 @@ def chosen(body: Node) -> list[Node]:
         path.append(x)
     threshold = min(x.density for x in path)
     on_path = {id(x) for x in path}
-    out: list[Node] = []
-    stack = [body]
+    container = _container(path)
+    if container.tag not in ("article", "main"):
+        for x in order:
+            x.children = [c for c in x.children if isinstance(c, str) or id(c) in on_path or not _link_list(c)]
+    out: list[Node | str] = []
+    stack: list[Node | str] = [body]
     while stack:
         x = stack.pop()
-        if x is core:
+        if isinstance(x, str):
+            if len(x.strip()) >= threshold > 0:
+                out.append(x)
+        elif x is container:
             out.append(x)
         elif id(x) in on_path:
-            stack += [c for c in reversed(x.children) if not isinstance(c, str)]
+            stack += reversed(x.children)
         elif x.density >= threshold > 0 and x.link_chars <= LINK_SHARE * x.chars:
             out.append(x)
     return out
 
 
-def _blocks(root: Node) -> list[str]:
+def _blocks(root: Node | str) -> list[str]:
     """The texts of a subtree's blocks, in order: white space as one space, trimmed."""
     done: list[str] = []
     held: list[str] = []

@@ -491,3 +491,16 @@ def test_texts_below_the_overlap_all_stay(spark):
 )
 def test_layout_names_keep_their_text(page):
     assert html_density.main_text(page) == "The text stays."
+
+
+def test_main_container_is_whole():
+    long, short = "Long words here. " * 18, "Short words here."
+    heading = f"<article><h1>Title</h1>Bare text.<div class=content>{f'<p>{long}</p>' * 10}</div></article>"
+    assert html_density.main_text(heading) == "\n".join(["Title", "Bare text.", *[long.strip()] * 10])
+    sections = "".join(f"<section>{f'<p>{t}</p>' * 5}</section>" for t in (long, short))
+    for page in (f"<main>{sections}</main>", sections, f"<div>Bare text.<div>{sections}</div></div>"):
+        got = html_density.main_text(page).split("\n")
+        assert got[-10:] == [long.strip()] * 5 + [short] * 5 and got[:-10] == ["Bare text."] * ("Bare" in page)
+    links = "<div>" + "<a href=/x>Somewhere else</a> " * 9 + "</div>"
+    for page in (f"{links}<main>{sections}</main>", f"{links}{sections}"):
+        assert "else" not in html_density.main_text(page) and short in html_density.main_text(page)
