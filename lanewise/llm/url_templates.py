@@ -33,7 +33,7 @@ from .common import table
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: z below which branches count as similar, labels that a branch needs to be tested, and the smoothing.
 SIMILAR_Z, LEAST_LABELS, STRENGTH, PURITY = 1.96, 5, 10, 0.8
-#: Segments of a path that take part one by one; the rest is one segment.
+#: Segments that the SQL form tells apart; the operator takes all.
 DEPTH = 6
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,16 +60,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (none, none) if name is None else (name, verdict)
 
 
-def shaped(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones as wildcards of their kind; segments behind `depth` are one `**`."""
+def shaped(path: Column) -> Column:
+    """The path's segments, variable ones as wildcards of their kind."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
 
     def one(s: Column) -> Column:
         first, rest = SHAPES[0], SHAPES[1:]
         return reduce(lambda c, x: c.when(s.rlike(x[0]), x[1]), rest, F.when(s.rlike(first[0]), first[1])).otherwise(s)
 
-    kinds = F.transform(parts, one)
-    return F.when(F.size(kinds) > depth, F.concat(F.slice(kinds, 1, depth), F.array(F.lit("**")))).otherwise(kinds)
+    return F.transform(parts, one)
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -92,11 +91,11 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     variance = pooled * (1 - pooled) * (1 / F.col("n") + 1 / rest_n)
     tested = (F.col("n") >= LEAST_LABELS) & (rest_n >= LEAST_LABELS)
     distinct = F.when(tested, difference * difference > SIMILAR_Z * SIMILAR_Z * variance).otherwise(F.lit(False))
-    variable = F.col("segment").startswith("{") | (F.col("segment") == "**")
+    variable = F.col("segment").startswith("{")
     form = F.when(variable | (F.col("branches") == 1) | distinct, F.col("segment")).otherwise(F.lit("*"))
     forms = judged.select("host", "level", "parent", "segment", form.alias("form"))
     laid = steps.join(forms, ["host", "level", "parent", "segment"])
-    named = laid.groupBy("host", "shape").agg(F.concat_ws("/", F.transform(F.array_sort(F.collect_list(F.struct("level", "form"))), lambda x: x["form"])).alias("template"))  # at most DEPTH + 1 levels
+    named = laid.groupBy("host", "shape").agg(F.concat_ws("/", F.transform(F.array_sort(F.collect_list(F.struct("level", "form"))), lambda x: x["form"])).alias("template"))  # as many levels as the path has
     named = seen.join(named, ["host", "shape"], "left").withColumn("template", F.coalesce("template", F.lit("")))
     pools = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(prior))  # one row
     purity = (F.col("bad") + F.col("prior") * STRENGTH) / (F.col("labelled") + STRENGTH)

@@ -504,3 +504,12 @@ def test_main_container_is_whole():
     links = "<div>" + "<a href=/x>Somewhere else</a> " * 9 + "</div>"
     for page in (f"{links}<main>{sections}</main>", f"{links}{sections}"):
         assert "else" not in html_density.main_text(page) and short in html_density.main_text(page)
+
+
+def test_deep_paths_keep_their_branches(spark):
+    deep = "a/b/c/d/e/f/g"
+    pages = spark.createDataFrame([(i, f"http://h/{deep}/{'spam' if i % 2 else 'ham'}/{i}") for i in range(60)] + [(60, "http://h2/**/1"), (61, "http://h2/x/1")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "page_id long, bad int")
+    got = {r.page_id: r for r in url_templates.judge(pages, labels, []).collect()}
+    assert got[59].verdict == "block" and got[58].verdict == "allow" and got[59].template == f"{deep}/spam/{{n}}"
+    assert got[60].template == got[61].template == "*/{n}"
