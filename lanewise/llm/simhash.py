@@ -16,25 +16,18 @@ one-bit neighbours instead, and two of them share such a point exactly if they d
 two bits. At most 65 fingerprints meet at a point, so no group is ever paired in full and no link is
 lost.
 
-`similar_texts`, for whole corpora, does not use fingerprints: it links exact shingle overlaps (Jaccard) of
-0.8 and more, see `shingles`.
-
-`wide_links` is a wider form of the fingerprints, which no query uses: 512 bits, and as keys 96 random choices
-of 24 bits, so that pairs without a common key are missed. Every candidate is
-checked by the full distance. First each member of a key's group is held against the group's first
-one, and those linked to one point take its label. Then, in groups that still hold several labels,
-members outside of the group's largest label are held against all members of other labels, however
-large the group. Links inside a label would change nothing, so no link that a key shows is lost,
-and a large group of copies costs its rows, not their pairs.
+`similar_texts` and `keep_one_of_each`, for whole corpora, do not use majority fingerprints, which lose pairs
+at a similarity of 0.8: they link exact shingle overlaps (Jaccard) of 0.8 and more, see `shingles`.
 
 Defined results: null and empty texts have fingerprint zero and link like any other. A component's
-id is the smallest non-null doc_id in it (null if there is none). Repeated rows are returned each.
+id is the smallest non-null doc_id in it (null if there is none). Repeated rows are returned each. Tables
+without rows give none. Columns other than doc_id and text are neither read nor returned, but
+by `keep_one_of_each`, which returns all as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shingles
-from .common import checkpointed, mixed, table, written
+from .common import checkpointed, fresh, table
 
 SEGMENTS, SEGMENT_BITS = 8, 8
 BUDGET = 2
@@ -183,105 +176,43 @@ def near_copies_of_documents(docs: DataFrame) -> DataFrame:
     return near_copies(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Words of 64 bits in a wide fingerprint, its keys and their bits, and the most bits that a link may differ in.
-WIDE, TABLES, KEY_BITS, WIDE_BUDGET = 8, 96, 24, 90
-WORDS = [f"w{i}" for i in range(WIDE)]
-
-
-def _choices() -> np.ndarray:
-    """The bits of each key, drawn once for all."""
-    draw = np.random.default_rng(42)
-    return np.stack([draw.choice(WIDE * 64, KEY_BITS, replace=False) for _ in range(TABLES)])
-
-
-def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """keep's columns with w0 to w7, the words of a 512-bit fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mixed(np.arange(1, WIDE + 1, dtype=np.uint64))
-        for batch in batches:
-            out = np.zeros((batch.num_rows, WIDE), np.uint64)
-            for i, x in enumerate(batch.column(batch.num_columns - 1)):
-                hashes = shingle_hashes(x.as_py(), words_per_shingle)
-                out[i] = [majority(mixed(hashes ^ s)) for s in salts]
-            yield pa.record_batch([*batch.columns[:-1], *[pa.array(out[:, j].copy().view(np.int64)) for j in range(WIDE)]], names=[*batch.schema.names[:-1], *WORDS])
-
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, " + ", ".join(f"{w} long" for w in WORDS))
-
-
-def _keys(points: DataFrame) -> DataFrame:
-    """(key, pid): a row for each key of each point (pid, w0 to w7)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        choices, weights = _choices(), 1 << np.arange(KEY_BITS, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                words = np.stack([part.column(1 + j).to_numpy().view(np.uint64) for j in range(WIDE)], axis=1)
-                bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), WIDE * 8), axis=1)
-                keys = np.stack([bits[:, c] @ weights + (t << KEY_BITS) for t, c in enumerate(choices)], axis=1)
-                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), TABLES))], names=["key", "pid"])
-
-    return points.select("pid", *WORDS).mapInArrow(run, "key long, pid long")
-
-
-def _apart(a: str, b: str) -> Column:
-    """Bits in which two wide fingerprints differ, their words being named with the prefixes a and b."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in WORDS])
-
-
-def _named(points: DataFrame, prefix: str, pid: str) -> DataFrame:
-    return points.select(F.col("pid").alias(pid), *[F.col(w).alias(f"{prefix}{w}") for w in WORDS])
-
-
-def wide_links(points: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
-    """(u, v) with the components that all links have: points that share a key and differ in at most budget bits."""
-    keyed = _keys(points)
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("pid").alias("first")).where("n > 1")
-    members = checkpointed(keyed.join(groups, "key").select("key", "pid", "first"))
-    star = members.where("pid <> first").select(F.col("first").alias("u"), F.col("pid").alias("v")).distinct()
-    near = star.join(_named(points, "a", "u"), "u").join(_named(points, "b", "v"), "v").where(_apart("a", "b") <= budget)
-    near = checkpointed(near.select("u", "v"))
-    # a point's label is the least first one that it is linked to, then that one's: equal labels mean one component
-    label = near.groupBy(F.col("v").alias("pid")).agg(F.min("u").alias("root"))
-    root = label.join(label.toDF("root", "up"), "root", "left").select("pid", F.coalesce("up", "root").alias("root"))
-    placed = checkpointed(members.join(root, "pid", "left").select("key", "pid", F.coalesce("root", "pid").alias("root")))
-    # groups of several labels, and the largest of those in each
-    counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    open_groups = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("n")).where("n > 1").select("key", F.col("most.root").alias("main"))
-    left = checkpointed(placed.join(open_groups, "key").join(points.select("pid", *WORDS), "pid"))
-    one = left.where("root <> main").select("key", F.col("root").alias("u"), *[F.col(w).alias(f"a{w}") for w in WORDS])
-    other = left.select(F.col("key").alias("other_key"), F.col("root").alias("v"), "main", *[F.col(w).alias(f"b{w}") for w in WORDS])
-    # both outside of the largest: one of the two orders is enough; the distance is taken inside the join, so only links leave it
-    meets = (F.col("key") == F.col("other_key")) & ((F.col("v") == F.col("main")) | (F.col("u") < F.col("v"))) & (_apart("a", "b") <= budget)
-    across = one.join(other, meets).select("u", "v")
-    return near.union(across).distinct()
-
-
 def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """doc_id, component_id of each row of docs, components being those of shingle sets that overlap by 0.8 and more."""
-    marks = written(shingles.marked(docs, words_per_shingle), "near-marks")
-    points = marks.groupBy("pid").agg(F.min("doc_id").alias("first_id"))
-    roots = shingles.set_links(marks, docs, components, words_per_shingle)
-    grouped = checkpointed(roots.join(points.select(F.col("pid").alias("node"), "first_id"), "node"))
-    best = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = grouped.join(best, "root").select(F.col("node").alias("pid"), "component_id")
-    label = points.join(moved, "pid", "left").select("pid", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marks.select("doc_id", "pid").join(label, "pid").select("doc_id", "component_id")
+    found = shingles.groups(docs, components, words_per_shingle)
+    grouped = found.reps.join(found.roots, "node")
+    best = grouped.groupBy("root").agg(F.min("first").alias("best"))
+    moved = grouped.join(best, "root").select("pid", "best")
+    label = found.reps.join(moved, "pid", "left").select("pid", F.coalesce("best", "first")["doc_id"].alias("component_id"))
+    return found.rows.join(label, "pid").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """The documents, all columns kept, of which one of each group of near copies stays.
 
-    The one with the smallest doc_id stays; of repeated rows with that id, one. Rows without an id
-    can't be named and stay.
+    The one with the smallest doc_id stays, rows without an id come last; of several texts with one id the
+    one of the smallest hash, of repeated rows (equal id and text) any one. So different texts with equal or
+    missing ids all stay unless they are near copies.
     """
-    chosen = similar_texts(docs.where(F.col("doc_id").isNotNull()), words_per_shingle).select(F.col("component_id").alias("doc_id")).distinct()
-    keep = docs.columns
-    once = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select(*keep)
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = shingles.groups(docs.select("doc_id", "text"), components, words_per_shingle)
+    copies = found.rows.join(found.reps.select(F.col("node").alias("rid")), "rid", "left_anti").select("doc_id", "th")
+    grouped = found.reps.join(found.roots, "node")
+    best = grouped.groupBy("root").agg(F.min("first").alias("best"))
+    near = checkpointed(grouped.join(best, "root").where(F.col("node") != F.col("best.node")).select("node", "doc_id", "th"))
+    kept = checkpointed(found.reps.join(near.select("node"), "node", "left_anti").select("doc_id", "th"))
+    copies = checkpointed(copies.distinct())
+    # rows that are named like a kept one are repeats of it
+    gone = near.select("doc_id", "th").union(copies.join(kept, shingles.same_row(copies, kept), "left_anti")).distinct()
+    repeated = checkpointed(copies.join(kept, shingles.same_row(copies, kept), "left_semi"))
+    gone, th = shingles.shipped(checkpointed(gone)), fresh(docs, "text_hash")
+    named = docs.withColumn(th, shingles.text_hash())
+    left = named.join(gone, shingles.same_row(named, gone, th=th), "left_anti")
+    if repeated.isEmpty():
+        return left.select(*columns)
+    repeated = shingles.shipped(repeated)
+    is_repeated = shingles.same_row(left, repeated, th=th)
+    once = left.join(repeated, is_repeated, "left_semi").dropDuplicates(["doc_id", th])
+    return left.join(repeated, is_repeated, "left_anti").select(*columns).unionByName(once.select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

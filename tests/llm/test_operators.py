@@ -371,38 +371,6 @@ def test_similar_texts_link_and_others_do_not(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 39 and all(got[2 * i] == 2 * i for i in range(40))
 
 
-def test_crowded_keys_lose_no_link(spark):
-    """Against all pairs that share a key: variants of a text of which many are too far from each other."""
-    draw = random.Random(5)
-    points = {}
-    for _ in range(5):
-        centre = draw.getrandbits(512)
-        for _ in range(60):
-            points[draw.getrandbits(60)] = centre ^ sum(1 << b for b in draw.sample(range(512), draw.choice([20, 48, 56, 80])))
-    pids = sorted(points)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = [(p, *[signed(points[p] >> (64 * (7 - j)) & (1 << 64) - 1) for j in range(8)]) for p in pids]
-    df = spark.createDataFrame(rows, "pid long, " + ", ".join(f"{w} long" for w in simhash.WORDS))
-    groups, root = {}, {p: p for p in pids}
-    for r in simhash._keys(df).collect():
-        groups.setdefault(r.key, []).append(r.pid)
-    assert max(len(g) for g in groups.values()) > 8
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for g in groups.values():
-        for i, a in enumerate(g):
-            for b in g[:i]:
-                if (points[a] ^ points[b]).bit_count() <= simhash.WIDE_BUDGET:
-                    root[max(top(a), top(b))] = min(top(a), top(b))
-    got = {r.node: r.root for r in simhash.components(simhash.wide_links(df)).collect()}
-    assert {p: got.get(p, p) for p in pids} == {p: top(p) for p in pids}
-    assert 1 < len({top(p) for p in pids}) < len(pids)
-
-
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
@@ -513,3 +481,58 @@ def test_deep_paths_keep_their_branches(spark):
     got = {r.page_id: r for r in url_templates.judge(pages, labels, []).collect()}
     assert got[59].verdict == "block" and got[58].verdict == "allow" and got[59].template == f"{deep}/spam/{{n}}"
     assert got[60].template == got[61].template == "*/{n}"
+
+
+def linked_groups(rows):
+    """Brute force: each row's position with the least position that links reach, by all pairs of sets."""
+    sets = [shingle_set(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("block", [2, 7, 4096])
+def test_families_of_variants_lose_no_link(spark, block):
+    """Variants of a few texts at overlaps between 0.6 and 1, so that their groups hold many components; long and short ones."""
+    from lanewise.llm import shingles
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for size in (40, 90, 400, 1500):
+        base = [word() for _ in range(size)]
+        for _ in range(16):
+            body = list(base)
+            for _ in range(rng.randrange(1 + size // 22)):
+                body[rng.randrange(size)] = word()
+            rows.append((len(rows), " ".join(body)))
+    want = linked_groups(rows)
+    assert len(set(want)) > 8 and max(Counter(want).values()) > 4
+    found = shingles.groups(docs_of(spark, rows), simhash.components, block=block)
+    roots = {r.node: r.root for r in found.roots.collect()}
+    node, got = {r.pid: r.node for r in found.reps.collect()}, {}
+    for r in found.rows.collect():
+        got.setdefault(roots.get(node[r.pid], node[r.pid]), set()).add(r.doc_id)
+    groups = {}
+    for i, t in enumerate(want):
+        groups.setdefault(t, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_near_duplicates_of_rows_with_missing_and_equal_ids(spark):
+    a, b, c = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty" + x for x in ("", " more", " more words"))
+    rows = [(5, a), (5, "another text under one id"), (5, "another text under one id"), (None, b), (None, "no id, own text"), (None, "no id, own text"), (3, c), (8, None), (9, "")]
+    docs = docs_of(spark, rows).withColumn("text_hash", F.lit("theirs"))
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = [("3", c), ("5", "another text under one id"), ("8", None), ("None", "no id, own text")]
+    assert sorted([(str(r.doc_id), r.text) for r in kept.collect()], key=str) == sorted(want, key=str)
