@@ -124,11 +124,16 @@ def links(points: DataFrame, budget: int = BUDGET, group_bound: int = GROUP_BOUN
     return near.union(star).distinct()
 
 
+#: Edges of a task when components are found.
+EDGES_PER_TASK = 50_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): each node of the edges (u, v) with the smallest node of its component.
 
     Alternates two star steps until nothing moves: every node passes its smallest neighbour to its
     larger neighbours, then to its smaller ones. The logarithm of the longest path bounds the rounds.
+    Edges are dealt by the node that the next step groups by, over as many tasks as their number asks for.
     """
     edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
 
@@ -136,15 +141,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = mark(edges)
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(most, before[0] // EDGES_PER_TASK + 1))
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).toDF("a", "b")
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).toDF("a", "b").repartition(tasks, "a")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").repartition(tasks, "u").dropDuplicates(["u", "v"])
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u")
-        edges = checkpointed(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).where("u > v")
+        edges = checkpointed(moved.repartition(tasks, "u").dropDuplicates(["u", "v"]))
         after = mark(edges)
         if after == before:
             break
