@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.predicates import Phase
 from ..schemas import Tables
+from ..storage import written
 from .match import endpoints
 from .pair import renumbered
 from .scan import BUCKET, next_value
@@ -25,6 +26,7 @@ def exclude_between(pairs: DataFrame, tables: Tables, phase: Phase, scope: str =
     if scope not in ("rows", "all"):
         raise ValueError(f"scope is rows or all, not {scope!r}")
     points = endpoints(tables, phase).select("trace", F.col("row_idx").alias("p_row"), F.col("cycle").alias("p_cycle")).distinct()
+    points = written(points, "points")
     few = points.limit(broadcast_points + 1).count() <= broadcast_points
     if few:
         inside = (F.col("p_cycle") > F.least("s_cycle", "t_cycle")) & (F.col("p_cycle") < F.greatest("s_cycle", "t_cycle"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.predicates import Phase, compare
 from ..schemas import Tables
+from ..storage import written
 from .match import endpoints
 from .scan import numbered, running_sum
 
@@ -26,9 +27,10 @@ def pair_phases(tables: Tables, source: Phase, target: Phase, skip: int = 0, gap
         raise ValueError(f"kind is one of {tuple(KINDS)}, not {kind!r}")
     s = endpoints(tables, source)
     t = endpoints(tables, target).groupBy("trace", "tid", "row_idx").agg(F.min(F.struct("cycle", "stage", *[c for c in FIELDS if c not in ("cycle", "stage", "row_idx")])).alias("t"))
+    # both are used twice below, once for buckets' rows and once for their totals
     s_side = s.select("trace", "tid", F.col("row_idx").alias("at"), F.lit(0).alias("is_target"), F.struct(*FIELDS).alias("x"))
     t_side = t.select("trace", "tid", F.col("row_idx").alias("at"), F.lit(1).alias("is_target"), F.struct(*[F.col("row_idx") if c == "row_idx" else F.col(f"t.{c}").alias(c) for c in FIELDS]).alias("x"))
-    counted = running_sum(s_side.unionByName(t_side), ["trace", "tid"], "at", F.col("is_target"), "c")
+    counted = running_sum(written(s_side.unionByName(t_side), "endpoints"), ["trace", "tid"], "at", F.col("is_target"), "c")
     left = counted.where("is_target = 0").select("trace", "tid", (F.col("c") + 1 + skip).alias("ordinal"), F.col("x").alias("s"))
     right = counted.where("is_target = 1").select("trace", "tid", F.col("c").alias("ordinal"), F.col("x").alias("t"))
     pairs = left.join(right, ["trace", "tid", "ordinal"])
@@ -37,7 +39,7 @@ def pair_phases(tables: Tables, source: Phase, target: Phase, skip: int = 0, gap
         out = out.where(compare(F.col("elapsed"), op, value))
     for op, value in rows:
         out = out.where(compare(row_distance(), op, value))
-    return renumbered(out)
+    return renumbered(written(out, "pairs"))
 
 
 def row_distance() -> Column:

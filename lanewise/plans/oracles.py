@@ -19,8 +19,8 @@ op AS (SELECT o_orderkey AS op_id, o_custkey AS gid, o_orderkey % 8 AS tid, CASE
 st AS (SELECT st0.*, op.row_idx, op.tid, op.gid, op.rid, op.flushed, op.incomplete, op.label, op.detail FROM st0 JOIN op USING (op_id)),
 info AS (SELECT greatest((SELECT max(greatest(fetch_cycle, coalesce(end_cycle, fetch_cycle))) FROM op), (SELECT max(greatest(start_cycle, coalesce(end_cycle, start_cycle))) FROM st)) AS last_cycle)"""
 TALKS = """
-tk AS (SELECT conv_id * 1024 + turn AS op_id, conv_id AS tid, coalesce(x.text, '') AS detail, coalesce(x.role, '') AS name, split_part(coalesce(x.text, ''), chr(10), 1) AS label,
-         row_number() OVER (ORDER BY conv_id * 1024 + turn) - 1 AS row_idx
+tk AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS op_id, conv_id AS tid, coalesce(x.text, '') AS detail, coalesce(x.role, '') AS name, split_part(coalesce(x.text, ''), chr(10), 1) AS label,
+         row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_idx
        FROM (SELECT conv_id, turn, min({'role': role, 'text': text}) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn))"""
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +17,7 @@ from ..operators.views import area_bounds, area_rows, hit, hit_bounds, hits_in_w
 from ..sources.adapters import conversations_trace, event_log, events_trace, orders_trace
 from ..sources.ingest import ingest_lines
 from ..sources.store import load, save
+from ..storage import shared_dir
 from ..streaming.stream import stream_ingest
 
 ERROR_END, PURCHASE = Phase("error", at="end"), Phase("purchase")
@@ -111,14 +110,14 @@ def log_tables(spark: SparkSession, d: str):
 
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Ingested tables written, read again, and their stages returned."""
-    path = f"{_shared(spark)}/traces-{uuid.uuid4().hex}"
+    path = shared_dir(spark, "traces")
     save(log_tables(spark, d), path)
     return load(spark, path).stages.select("op_id", "row_idx", F.col("stage").cast("long").alias("stage"), "name", "start_cycle", "end_cycle", "labels")
 
 
 def streamed(spark: SparkSession, d: str) -> DataFrame:
     """The log written as text files, one for each 4096 events with an own header, and ingested as they are found."""
-    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = shared_dir(spark, "stream")
     log = event_log(spark, d).where("block > 0")
     head = log.select("block").distinct().select("block", F.lit(-1).cast("long").alias("pos"), F.lit("Kanata\t0004").alias("value"))
     each = log.select("block", "pos", "value").unionByName(head)
@@ -127,10 +126,6 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, f"{base}/out").stages.select("op_id", "name", "start_cycle", "end_cycle")
 
 
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewise-")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "flagship_error_to_purchase": flagship,

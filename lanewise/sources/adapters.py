@@ -1,4 +1,7 @@
-"""Tables with entities, threads and named intervals as traces: events, orders with their lines, texts."""
+"""Tables with entities, threads and named intervals as traces: events, orders with their lines, texts.
+
+A trace is numbered once and kept in the shared folder, as all operators use its numbers.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.scan import numbered
 from ..schemas import Tables
+from ..storage import written
 
 EPOCH_DAY = "1995-01-01"
 
@@ -37,13 +41,13 @@ def events_trace(spark: SparkSession, sf_dir: str) -> Tables:
         F.concat(F.col("event_type"), F.lit(" value="), F.floor("value").cast("string")).alias("label"),
         F.concat(F.lit("props "), F.coalesce("props", F.lit("")), F.lit("\nuser="), F.col("user_id").cast("string")).alias("detail"), F.col("event_type").alias("name"),
     )
-    rows = numbered(base, ["trace"], ["op_id"], "row_idx")
+    rows = written(numbered(base, ["trace"], ["op_id"], "row_idx"), "events")
     ops = rows.drop("name")
     stages = rows.select(
         "trace", "op_id", "row_idx", "tid", F.lit(0).alias("stage"), F.pmod("op_id", F.lit(2)).cast("string").alias("lane"), "name", F.lit(0).alias("lane_index"), F.lit(1).alias("lane_count"),
         F.col("fetch_cycle").alias("start_cycle"), "end_cycle", F.lit("").alias("labels"), F.col("end_cycle").isNull().alias("open"),
     )
-    deps = base.withColumn("producer", F.lag("op_id").over(Window.partitionBy("tid").orderBy("op_id"))).where("producer is not null")
+    deps = rows.withColumn("producer", F.lag("op_id").over(Window.partitionBy("tid").orderBy("op_id"))).where("producer is not null")
     deps = deps.select("trace", "op_id", F.lit(0).alias("seq"), "producer", F.lit(0).cast("long").alias("kind"), F.col("fetch_cycle").alias("cycle"))
     return Tables(ops, stages, deps, traces=summary(ops, stages))
 
@@ -71,23 +75,25 @@ def orders_trace(spark: SparkSession, sf_dir: str) -> Tables:
         _days(F.col("o_orderdate")).alias("fetch_cycle"), flushed.alias("flushed"), incomplete.alias("incomplete"), F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("label"),
         F.concat(F.lit("status="), F.col("o_orderstatus"), F.lit("\nprice="), F.floor("o_totalprice").cast("string")).alias("detail"),
     ).join(last, "op_id", "left")
-    ops = numbered(base, ["trace"], ["op_id"], "row_idx")
+    ops = written(numbered(base, ["trace"], ["op_id"], "row_idx"), "orders")
     stages = s.join(ops.select("trace", "op_id", "row_idx", "tid"), "op_id").select(
         "trace", "op_id", "row_idx", "tid", "stage", "lane", "name", "lane_index", "lane_count", "start_cycle", "end_cycle", "labels", F.col("end_cycle").isNull().alias("open")
     )
+    stages = written(stages, "lines")
     return Tables(ops, stages, traces=summary(ops, stages))
 
 
 def conversations_trace(spark: SparkSession, sf_dir: str) -> Tables:
-    """An operation for each turn of a conversation (a thread), with one stage named by the role."""
+    """An operation for each turn of a conversation (a thread), with one stage named by the role; ids count turns in order."""
     c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
     once = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("x"))
-    base = once.select(
-        F.lit("conversations").alias("trace"), (F.col("conv_id") * 1024 + F.col("turn")).alias("op_id"), F.col("conv_id").alias("gid"), F.col("conv_id").alias("tid"), (F.col("conv_id") * 1024 + F.col("turn")).alias("rid"),
+    placed = numbered(once.withColumn("trace", F.lit("conversations")), ["trace"], ["conv_id", "turn"], "row_idx")
+    base = placed.select(
+        "trace", F.col("row_idx").alias("op_id"), F.col("conv_id").alias("gid"), F.col("conv_id").alias("tid"), F.col("row_idx").alias("rid"), "row_idx",
         F.col("turn").alias("fetch_cycle"), (F.col("turn") + 1).alias("end_cycle"), F.lit(False).alias("flushed"), F.lit(False).alias("incomplete"), F.col("turn").alias("line"),
         F.substring_index(F.coalesce("x.text", F.lit("")), "\n", 1).alias("label"), F.coalesce("x.text", F.lit("")).alias("detail"), F.coalesce("x.role", F.lit("")).alias("name"),
     )
-    rows = numbered(base, ["trace"], ["op_id"], "row_idx")
+    rows = written(base, "turns")
     stages = rows.select("trace", "op_id", "row_idx", "tid", F.lit(0).alias("stage"), F.lit("turn").alias("lane"), "name", F.lit(0).alias("lane_index"), F.lit(1).alias("lane_count"), F.col("fetch_cycle").alias("start_cycle"), "end_cycle", F.lit("").alias("labels"), F.lit(False).alias("open"))
     ops = rows.drop("name")
     return Tables(ops, stages, traces=summary(ops, stages))

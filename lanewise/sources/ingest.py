@@ -27,11 +27,12 @@ OP = ["trace", "op_id"]
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     r"""trace, block, pos, value of text files, plain or compressed by their name's ending (.gz, .zst, .zstd).
 
-    Only `\n` ends a line; one `\r` before it is dropped. trace is the file's name.
+    Only `\n` ends a line; one `\r` before it is dropped. trace is the file's whole path, so files of one name
+    in different folders are different traces.
     """
     raw = spark.read.option("lineSep", "\n").text([paths] if isinstance(paths, str) else list(paths))
     meta = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
-    return meta.select(F.element_at(F.split("path", "/"), -1).alias("trace"), "block", "pos", F.when(F.endswith("value", F.lit("\r")), F.substring(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value")).alias("value"))
+    return meta.select(F.col("path").alias("trace"), "block", "pos", F.when(F.endswith("value", F.lit("\r")), F.substring(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value")).alias("value"))
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
@@ -71,11 +72,21 @@ def with_cycles(numbered_lines: DataFrame) -> DataFrame:
     return inside.join(carried, ["trace", "block"]).select("trace", "line", "value", "parts", "cmd", "set", (F.col("d") + F.greatest(F.col("x"), F.coalesce("m", F.col("x")))).alias("cycle"))
 
 
+def any_bad(lines: DataFrame) -> bool:
+    """Whether some trace is unreadable, without numbering the lines."""
+    first = F.min_by("value", F.struct("block", "pos"))
+    each = lines.groupBy("trace").agg(first.alias("value"), F.bool_and(F.is_valid_utf8("value") & (F.octet_length("value") <= LINE_LIMIT)).alias("fit"))
+    return not each.where(_no_header() | ~F.coalesce("fit", F.lit(True))).isEmpty()
+
+
+def _no_header() -> Column:
+    fields = F.split("value", "\t", -1)
+    return ~F.coalesce((fields[0] == MAGIC) & (F.trim(F.get(fields, 1)) == VERSION), F.lit(False))
+
+
 def bad_traces(numbered_lines: DataFrame) -> DataFrame:
     """trace, line, reason, value of what makes a whole trace unreadable: its header, or a line that isn't text or is too long."""
-    fields = F.split("value", "\t", -1)
-    header = (F.col("line") == 1) & ~(F.coalesce((fields[0] == MAGIC) & (F.trim(F.get(fields, 1)) == VERSION), F.lit(False)))
-    reason = F.when(header, "bad_header").when(~F.is_valid_utf8("value"), "not_utf8").when(F.octet_length("value") > LINE_LIMIT, "line_too_long")
+    reason = F.when((F.col("line") == 1) & _no_header(), "bad_header").when(~F.is_valid_utf8("value"), "not_utf8").when(F.octet_length("value") > LINE_LIMIT, "line_too_long")
     return numbered_lines.select("trace", "line", reason.alias("reason"), F.left("value", F.lit(200)).alias("value")).where("reason is not null")
 
 
@@ -197,13 +208,14 @@ def trace_info(clock: DataFrame, intros: DataFrame, ops: DataFrame, symbols: Dat
 
 def ingest_lines(lines: DataFrame, on_bad: str = "error", sizes: DataFrame | None = None) -> Tables:
     """parse, after traces that can't be read raise ValueError or, with on_bad='reject', become rejects only."""
+    if on_bad not in ("error", "reject"):
+        raise ValueError("on_bad is error or reject")
+    if not any_bad(lines):
+        return parse(lines, sizes)
     bad = bad_traces(with_line_numbers(lines))
     if on_bad == "error":
-        if worst := bad.orderBy("trace", "line").first():
-            raise ValueError(f"{worst['trace']}, line {worst['line']}: {worst['reason']}")
-        return parse(lines, sizes)
-    if on_bad != "reject":
-        raise ValueError("on_bad is error or reject")
+        worst = bad.orderBy("trace", "line").first()
+        raise ValueError(f"{worst['trace']}, line {worst['line']}: {worst['reason']}")
     tables = parse(lines.join(bad.select("trace").distinct(), "trace", "left_anti"), sizes)
     return Tables(tables.ops, tables.stages, tables.deps, tables.symbols, tables.traces, tables.rejects.unionByName(bad.withColumn("line", F.col("line").cast("long"))))
 
@@ -213,5 +225,5 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], on_bad: str = "error
     lines = read_lines(spark, paths)
     if on_bad == "error" and lines.isEmpty():
         raise ValueError("the file is empty")
-    sizes = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("trace"), F.col("length").alias("bytes"))
+    sizes = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("trace"), F.col("length").alias("bytes"))
     return ingest_lines(lines, on_bad, sizes)
