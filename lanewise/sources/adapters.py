@@ -1,6 +1,6 @@
 """Tables with entities, threads and named intervals as traces: events, orders with their lines, texts.
 
-A trace is numbered once and kept in the shared folder, as all operators use its numbers.
+Events and turns are numbered once and kept in the shared folder, as operators use their numbers several times.
 """
 
 from __future__ import annotations
@@ -75,11 +75,10 @@ def orders_trace(spark: SparkSession, sf_dir: str) -> Tables:
         _days(F.col("o_orderdate")).alias("fetch_cycle"), flushed.alias("flushed"), incomplete.alias("incomplete"), F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("label"),
         F.concat(F.lit("status="), F.col("o_orderstatus"), F.lit("\nprice="), F.floor("o_totalprice").cast("string")).alias("detail"),
     ).join(last, "op_id", "left")
-    ops = written(numbered(base, ["trace"], ["op_id"], "row_idx"), "orders")
+    ops = numbered(base, ["trace"], ["op_id"], "row_idx")
     stages = s.join(ops.select("trace", "op_id", "row_idx", "tid"), "op_id").select(
         "trace", "op_id", "row_idx", "tid", "stage", "lane", "name", "lane_index", "lane_count", "start_cycle", "end_cycle", "labels", F.col("end_cycle").isNull().alias("open")
     )
-    stages = written(stages, "lines")
     return Tables(ops, stages, traces=summary(ops, stages))
 
 

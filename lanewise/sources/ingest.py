@@ -108,20 +108,23 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     live = live.withColumn("r_line", F.min(F.when(good_r, F.col("line"))).over(own)).withColumn("lane", F.trim(p(2))).withColumn("name", F.trim(p(3))).persist(StorageLevel.MEMORY_AND_DISK)
     last_cycle = clock.groupBy("trace").agg(F.max("cycle").alias("last_cycle"))
 
-    # operations
-    intros = placed.where(F.col("line") == F.col("intro")).select(*OP, number(p(2)).alias("gid"), number(p(3)).alias("tid"), F.col("cycle").alias("fetch_cycle"), "line")
-    retired = live.where(F.col("line") == F.col("r_line")).select(*OP, number(p(2)).alias("rid"), F.col("cycle").alias("r_cycle"), (number(p(3)) == 1).alias("r_flushed"))
+    # operations: all of one is gathered by a single grouping, which the window's shuffle already serves
     text = F.get(F.split("value", "\t", 4), 3)
-    labelled = live.where((F.col("cmd") == "L") & text.isNotNull()).withColumn("kind", number(p(2))).withColumn("text", text)
-    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("line", "text")))), lambda x: x["text"]), "")
-    texts = labelled.where("kind in (0, 1)").groupBy(*OP).agg(joined(0).alias("label"), joined(1).alias("detail"))
-    texts = texts.withColumn("_large", F.octet_length("label") + F.octet_length("detail") > max_op_bytes)
-    empty = lambda c: F.coalesce(F.when(F.coalesce("_large", F.lit(False)), "").otherwise(unescaped(F.col(c))), F.lit(""))
-    ops = intros.join(retired, OP, "left").join(texts, OP, "left").join(F.broadcast(last_cycle), "trace")
-    ops = ops.select(
-        *OP, "gid", "tid", "rid", "fetch_cycle", F.coalesce("r_cycle", F.col("last_cycle") + 1).alias("end_cycle"), F.coalesce("r_flushed", F.lit(False)).alias("flushed"), F.col("rid").isNull().alias("incomplete"), "line", empty("label").alias("label"), empty("detail").alias("detail")
+    after = F.col("line") > F.col("intro")
+    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(after & (F.col("cmd") == "L") & (number(p(2)) == k) & text.isNotNull(), F.struct("line", text.alias("text"))))), lambda x: x["text"]), "")
+    gathered = placed.where(F.col("line") >= F.col("intro")).groupBy(*OP).agg(
+        F.min_by(F.struct(number(p(2)).alias("gid"), number(p(3)).alias("tid"), F.col("cycle").alias("fetch_cycle"), "line"), F.when(~after, F.col("line"))).alias("i"),
+        F.min_by(F.struct(number(p(2)).alias("rid"), F.col("cycle").alias("r_cycle"), (number(p(3)) == 1).alias("r_flushed")), F.when(after & good_r, F.col("line"))).alias("r"),
+        joined(0).alias("label"), joined(1).alias("detail"),
+    )
+    large = F.octet_length("label") + F.octet_length("detail") > max_op_bytes
+    gathered = gathered.select(*OP, "i.*", "r.*", "label", "detail", large.alias("_large"))
+    shown = lambda c: F.when(F.col("_large"), "").otherwise(unescaped(F.col(c))).alias(c)
+    ops = gathered.join(F.broadcast(last_cycle), "trace").select(
+        *OP, "gid", "tid", "rid", "fetch_cycle", F.coalesce("r_cycle", F.col("last_cycle") + 1).alias("end_cycle"), F.coalesce("r_flushed", F.lit(False)).alias("flushed"), F.col("rid").isNull().alias("incomplete"), "line", shown("label"), shown("detail"), "_large"
     )
-    ops = numbered(ops, ["trace"], ["op_id"], "row_idx").persist(StorageLevel.MEMORY_AND_DISK)
+    marked_ops = numbered(ops, ["trace"], ["op_id"], "row_idx").persist(StorageLevel.MEMORY_AND_DISK)
+    ops = marked_ops.drop("_large")
 
     # stages: an E sets the end of the latest S of its lane and name, over what a later S of the lane or R would
     by_line = Window.partitionBy(*OP).orderBy("line")
@@ -153,11 +156,11 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     ids = firsts.withColumn("symbol_id", F.row_number().over(Window.partitionBy("trace").orderBy("first")) - 1)
     symbols = ids.where(F.col("symbol_id") < SYMBOL_LIMIT).select("trace", "symbol_id", "name")
 
-    found = rejects(clock, events, placed, live, ids, ops.select(*OP), texts)
-    return Tables(ops, stages, deps, symbols, trace_info(clock, intros, ops, symbols, found, last_cycle, sizes), found)
+    found = rejects(clock, events, placed, live, ids, marked_ops)
+    return Tables(ops, stages, deps, symbols, trace_info(clock, ops, symbols, found, last_cycle, sizes), found)
 
 
-def rejects(clock: DataFrame, events: DataFrame, placed: DataFrame, live: DataFrame, names: DataFrame, ops: DataFrame, texts: DataFrame) -> DataFrame:
+def rejects(clock: DataFrame, events: DataFrame, placed: DataFrame, live: DataFrame, names: DataFrame, ops: DataFrame) -> DataFrame:
     """trace, line, reason, value of what was left out; a line can have two reasons."""
     p = lambda k: F.get("parts", k)
     arg = F.when(too_large(p(1)), "out_of_range").when(number(p(1)).isNull(), "invalid_number")
@@ -184,14 +187,14 @@ def rejects(clock: DataFrame, events: DataFrame, placed: DataFrame, live: DataFr
     lane = ends.join(known.select("trace", F.col("name").alias("lane"), F.col("since").alias("lane_since")), ["trace", "lane"], "left").join(known, ["trace", "name"], "left")
     unknown = F.when(F.col("lane_since").isNull() | (F.col("lane_since") > F.col("line")), "unknown_lane").when(F.col("since").isNull() | (F.col("since") > F.col("line")), "unknown_stage")
     fourth = lane.select("trace", "line", unknown.alias("reason"), "value")
-    large = texts.where("_large").join(placed.where("line = intro").select(*OP, "line", "value"), OP).select("trace", "line", F.lit("operation_too_large").alias("reason"), "value")
+    large = ops.where("_large").select(*OP).join(placed.where("line = intro").select(*OP, "line", "value"), OP).select("trace", "line", F.lit("operation_too_large").alias("reason"), "value")
     return first.unionAll(second).unionAll(late).unionAll(third).unionAll(fourth).unionAll(large).where("reason is not null")
 
 
-def trace_info(clock: DataFrame, intros: DataFrame, ops: DataFrame, symbols: DataFrame, found: DataFrame, last_cycle: DataFrame, sizes: DataFrame | None) -> DataFrame:
+def trace_info(clock: DataFrame, ops: DataFrame, symbols: DataFrame, found: DataFrame, last_cycle: DataFrame, sizes: DataFrame | None) -> DataFrame:
     """One row a trace: counts, cycles, the first warnings, symbols, bytes."""
     own = ops.groupBy("trace").agg(F.count("*").alias("count"), F.count_if("flushed").alias("flushed"))
-    first_i = intros.groupBy("trace").agg(F.min("line").alias("first_i"))
+    first_i = ops.groupBy("trace").agg(F.min("line").alias("first_i"))
     sets = clock.where((F.col("set") == F.col("cycle")) & F.col("set").isNotNull()).join(F.broadcast(first_i), "trace", "left").where(F.col("first_i").isNull() | (F.col("line") < F.col("first_i")))
     first = sets.groupBy("trace").agg(F.max_by("cycle", "line").alias("first_cycle"))
     order = Window.partitionBy("trace").orderBy("line", "reason")
