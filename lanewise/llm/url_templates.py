@@ -1,22 +1,30 @@
 """URL filters: curated rules first, then a tree of path templates for each host.
 
 A url's path is a list of segments. Segments that look variable (numbers, hex strings, long mixed
-codes) become wildcards of their kind. Of the other segments, each branch below a host's parent path
-is held against its siblings by a two-proportion z test on labelled pages: branches that are not
-significantly different, and branches without enough labels among such siblings, merge into `*`;
-branches that differ stay literal. Templates of equal form pool their labels. A template is
-rejected if its smoothed share of bad labels reaches `purity`: (bad + prior * strength) /
-(labelled + strength), where prior is the share over all labelled pages.
+codes) become wildcards of their kind. The tree of a host is merged from the top down. The literal branches
+of a node that have enough labels are pooled by their share of bad pages (in bins), and neighbouring pools merge unless a
+two-proportion z test tells them apart, so similar branches become one wildcard: `*` for the cluster of most labels,
+`*1`, `*2`, .. for others, by bin; a cluster of one branch stays literal. Branches of few labels can't be told apart
+from each other: they are `*`, with the cluster of most labels if that has several branches or is the only one. The
+children of merged branches are pooled before the next level is judged, so a level has all labels of its wildcard.
+Templates are rejected by their smoothed share of bad labels: (bad + prior * strength) / (labelled + strength)
+reaching `purity`, where prior is the share over all labelled pages.
+
+Levels are steps over a table of (host, merged prefix, rest of the path); common starts of all paths of a node
+are passed in one step, and a path that is alone at its node is done, so the number of steps is that
+of real branchings on a path, whatever its length. A node's pools are at most BINS + 2 rows, so a node of any width is no
+large group.
 
 A host's pages are summed by distinct (host, shaped path) before anything else is done with them,
 so a host with a third of all pages costs a few rows, and paths differ after shaping only in their
-literal segments.
+literal segments. Literal segments that look like a wildcard begin with `~` in templates.
 
 Rules are (host, path, verdict) triples. A rule fits its host and all subdomains if the path starts
 with the rule's; of those that fit, the longest wins. Rules are few (they are typed by people) and
 become one expression.
 
-Defined results: a null url or one without `://` has an empty host and path, which are judged like
+Defined results: empty tables give no rows; urls of any length count whole; of equally long rules the first in
+alphabetical order wins; columns other than the named ones are neither read nor returned. A null url or one without `://` has an empty host and path, which are judged like
 any other. Pages with null ids have no label. Repeated label rows of a page count once, as bad if
 one of them is. Without labels nothing but the rules blocks.
 """
@@ -25,21 +33,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 #: Example rules of the query: (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: z below which branches count as similar, labels that a branch needs to be tested, and the smoothing.
 SIMILAR_Z, LEAST_LABELS, STRENGTH, PURITY = 1.96, 5, 10, 0.8
-#: Segments that the SQL form tells apart; the operator takes all.
-DEPTH = 6
+#: Bins of the share of bad pages.
+BINS = 20
+#: Levels that the SQL form is unrolled to; the operator takes all.
+SQL_LEVELS = 6
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Kinds of variable segments, the first that matches counts.
 SHAPES = [(r"^[0-9]+$", "{n}"), (r"^[0-9]+\.[a-z]{2,5}$", "{n}.x"), (r"^[0-9a-fA-F]{8,}$", "{hex}"), (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}"), (r"^.*[0-9].*[0-9].*[0-9].*$", "{code}"), (r"^.{40,}$", "{long}")]
 
+LIKE_WILDCARD = "^[*{~]"
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
@@ -66,11 +78,62 @@ def shaped(path: Column) -> Column:
 
     def one(s: Column) -> Column:
         first, rest = SHAPES[0], SHAPES[1:]
-        return reduce(lambda c, x: c.when(s.rlike(x[0]), x[1]), rest, F.when(s.rlike(first[0]), first[1])).otherwise(s)
+        kinds = reduce(lambda c, x: c.when(s.rlike(x[0]), x[1]), rest, F.when(s.rlike(first[0]), first[1]))
+        return kinds.otherwise(F.when(s.rlike(LIKE_WILDCARD), F.concat(F.lit("~"), s)).otherwise(s))
 
     return F.transform(parts, one)
 
 
+def merged(nodes: DataFrame) -> DataFrame:
+    """host, prefix, segment, form of the branches nodes (host, prefix, segment, n, b): the wildcard or segment that stands for each."""
+    variable = F.col("segment").startswith("{")
+    bin_ = F.when(F.col("n") >= LEAST_LABELS, F.floor(F.col("b") * BINS / F.col("n")).cast("int"))
+    binned = nodes.withColumn("bin", F.when(~variable, bin_)).withColumn("free", variable)
+    pools = binned.where("not free").groupBy("host", "prefix", "bin").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("k"))
+    node, line = Window.partitionBy("host", "prefix"), Window.partitionBy("host", "prefix").orderBy(F.asc_nulls_first("bin"))
+    n, b, m, c = F.nullif("n", F.lit(0)), F.col("b"), F.nullif(F.lag("n").over(line), F.lit(0)), F.lag("b").over(line)
+    share = (b + c) / (n + m)
+    # z squared over its bound, without a division by zero: difference**2 > bound * variance
+    differ = F.lag("bin").over(line).isNotNull() & F.col("bin").isNotNull() & ((b / n - c / m) * (b / n - c / m) > SIMILAR_Z * SIMILAR_Z * (share * (1 - share) * (1 / n + 1 / m)))
+    pools = pools.withColumn("cluster", F.sum(F.when(differ, 1).otherwise(0)).over(line)).withColumn("tested", F.col("bin").isNotNull())
+    own = Window.partitionBy("host", "prefix", "tested", "cluster")
+    pools = pools.withColumn("size", F.sum("k").over(own)).withColumn("rank", F.when(F.col("tested"), F.struct(F.sum("n").over(own).alias("n"), (-F.col("cluster")).alias("c"))))
+    pools = pools.withColumn("main", F.coalesce(F.col("rank") == F.max("rank").over(node), F.lit(False)))
+    pools = pools.withColumn("thin", F.coalesce(F.max(F.when(~F.col("tested"), F.col("size"))).over(node), F.lit(0)))
+    pools = pools.withColumn("most", F.coalesce(F.max(F.when(F.col("main"), F.col("size"))).over(node), F.lit(0)))
+    one = F.coalesce(F.max(F.when(F.col("tested"), F.col("cluster"))).over(node), F.lit(0)) == 0
+    pools = pools.withColumn("with_thin", (F.col("thin") > 0) & ((F.col("most") > 1) | one))
+    together = F.when(F.col("with_thin"), F.col("thin") + F.col("most")).otherwise(F.col("size"))
+    form = F.when(F.col("main") | ~F.col("tested"), F.when(together > 1, "*")).when(F.col("size") > 1, F.concat(F.lit("*"), F.col("cluster").cast("string")))
+    forms = pools.select("host", "prefix", F.coalesce("bin", F.lit(-1)).alias("bin"), form.alias("form"))
+    named = binned.withColumn("bin", F.when(F.col("free"), -2).otherwise(F.coalesce("bin", F.lit(-1)))).join(forms, ["host", "prefix", "bin"], "left")
+    return named.select("host", "prefix", "segment", F.coalesce("form", "segment").alias("form"))
+
+
+def _under(prefix: Column, more: Column) -> Column:
+    """The prefix with more segments (an array) after it."""
+    return F.concat_ws("/", F.filter(F.concat(F.array(prefix), more), lambda s: s != ""))
+
+
+def named_paths(seen: DataFrame) -> DataFrame:
+    """host, shape, template of each path of seen (host, shape, labelled, bad)."""
+    going = checkpointed(seen.select("host", "shape", "labelled", "bad", F.lit("").alias("prefix"), F.col("shape").alias("rest")))
+    done: list[DataFrame] = []
+    while not going.isEmpty():
+        ends = going.groupBy("host", "prefix").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        apart = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True)
+        ends = ends.select("host", "prefix", F.when(apart > 0, apart - 1).otherwise(F.size("low")).cast("int").alias("common"))
+        rows = going.join(ends, ["host", "prefix"])
+        rows = rows.withColumn("prefix", _under(F.col("prefix"), F.slice("rest", F.lit(1), F.col("common")))).withColumn("rest", F.slice("rest", F.col("common") + 1, F.size("rest"))).drop("common")
+        rows = checkpointed(rows)
+        done.append(rows.where(F.size("rest") == 0).select("host", "shape", F.col("prefix").alias("template")))
+        left = rows.where(F.size("rest") > 0).withColumn("segment", F.col("rest")[0])
+        forms = merged(left.groupBy("host", "prefix", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")))
+        next_ = left.join(forms, ["host", "prefix", "segment"])
+        going = checkpointed(next_.select("host", "shape", "labelled", "bad", _under(F.col("prefix"), F.array("form")).alias("prefix"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")))
+    return reduce(DataFrame.unionByName, done) if done else going.select("host", "shape", F.col("prefix").alias("template"))
+
+
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, shape, template, labelled, bad, purity, rejected for each distinct shaped path of a host.
 
@@ -78,25 +141,9 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marks = labels.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     seen = pages.join(marks, "page_id", "left").groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    seen = checkpointed(seen)
     prior = seen.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.sum("labelled"), F.lit(1))).alias("prior"))
-    steps = seen.select("host", "shape", "labelled", "bad", F.posexplode("shape").alias("level", "segment"))
-    steps = steps.withColumn("parent", F.concat_ws("/", F.slice("shape", F.lit(1), F.col("level"))))
-    nodes = steps.groupBy("host", "level", "parent", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-    above = nodes.groupBy("host", "level", "parent").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"), F.count("*").alias("branches"))
-    judged = nodes.join(above, ["host", "level", "parent"])
-    rest_n, rest_b = F.col("n_all") - F.col("n"), F.col("b_all") - F.col("b")
-    pooled = F.col("b_all") / F.col("n_all")
-    # z squared over its bound, without a division by zero: difference**2 > bound * variance
-    difference = F.col("b") / F.col("n") - rest_b / rest_n
-    variance = pooled * (1 - pooled) * (1 / F.col("n") + 1 / rest_n)
-    tested = (F.col("n") >= LEAST_LABELS) & (rest_n >= LEAST_LABELS)
-    distinct = F.when(tested, difference * difference > SIMILAR_Z * SIMILAR_Z * variance).otherwise(F.lit(False))
-    variable = F.col("segment").startswith("{")
-    form = F.when(variable | (F.col("branches") == 1) | distinct, F.col("segment")).otherwise(F.lit("*"))
-    forms = judged.select("host", "level", "parent", "segment", form.alias("form"))
-    laid = steps.join(forms, ["host", "level", "parent", "segment"])
-    named = laid.groupBy("host", "shape").agg(F.concat_ws("/", F.transform(F.array_sort(F.collect_list(F.struct("level", "form"))), lambda x: x["form"])).alias("template"))  # as many levels as the path has
-    named = seen.join(named, ["host", "shape"], "left").withColumn("template", F.coalesce("template", F.lit("")))
+    named = seen.join(named_paths(seen), ["host", "shape"])
     pools = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(prior))  # one row
     purity = (F.col("bad") + F.col("prior") * STRENGTH) / (F.col("labelled") + STRENGTH)
     pools = pools.select("host", "template", "labelled", "bad", purity.alias("purity"), ((purity >= PURITY) & (F.col("labelled") > 0)).alias("rejected"))
@@ -119,30 +166,43 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels, RULES)
 
 
+def _sql_level(level: int) -> str:
+    """DuckDB's form of `merged` and one step down: from state{level} (host, shape, labelled, bad, prefix) to the next."""
+    p, node = f"p{level}", "PARTITION BY host, prefix"
+    return f"""
+    n{level} AS (SELECT host, prefix, shape[{level + 1}] AS segment, sum(labelled) AS n, sum(bad) AS b FROM state{level} WHERE len(shape) > {level} GROUP BY ALL),
+    b{level} AS (SELECT *, starts_with(segment, '{{') AS free, CASE WHEN NOT starts_with(segment, '{{') AND n >= {LEAST_LABELS} THEN CAST(floor(b * {BINS} / n) AS INTEGER) END AS bin FROM n{level}),
+    a{level} AS (SELECT host, prefix, bin, sum(n) AS n, sum(b) AS b, count(*) AS k FROM b{level} WHERE NOT free GROUP BY ALL),
+    l{level} AS (SELECT *, lag(n) OVER w AS m, lag(b) OVER w AS c, lag(bin) OVER w AS before FROM a{level} WINDOW w AS ({node} ORDER BY bin NULLS FIRST)),
+    d{level} AS (SELECT *, before IS NOT NULL AND pow(b / n - c / m, 2) > {SIMILAR_Z * SIMILAR_Z} * (((b + c) / (n + m)) * (1 - (b + c) / (n + m)) * (1 / n + 1 / m)) AS differ FROM l{level}),
+    c{level} AS (SELECT *, sum(CASE WHEN differ THEN 1 ELSE 0 END) OVER ({node} ORDER BY bin NULLS FIRST) AS cluster, bin IS NOT NULL AS tested FROM d{level}),
+    s{level} AS (SELECT *, sum(k) OVER o AS size, CASE WHEN tested THEN sum(n) OVER o * 64 - cluster END AS place FROM c{level} WINDOW o AS (PARTITION BY host, prefix, tested, cluster)),
+    m{level} AS (SELECT *, coalesce(place = max(place) OVER ({node}), false) AS main, coalesce(max(CASE WHEN NOT tested THEN size END) OVER ({node}), 0) AS thin, coalesce(max(CASE WHEN tested THEN cluster END) OVER ({node}), 0) = 0 AS one FROM s{level}),
+    {p} AS (SELECT *, coalesce(max(CASE WHEN main THEN size END) OVER ({node}), 0) AS most FROM m{level}),
+    f{level} AS (SELECT host, prefix, bin, CASE WHEN main OR NOT tested THEN CASE WHEN (CASE WHEN thin > 0 AND (most > 1 OR one) THEN thin + most ELSE size END) > 1 THEN '*' END
+                                                WHEN size > 1 THEN '*' || CAST(cluster AS VARCHAR) END AS form FROM {p}),
+    g{level} AS (SELECT b.host, b.prefix, b.segment, coalesce(form, b.segment) AS form FROM b{level} b LEFT JOIN f{level} f ON NOT b.free AND f.host = b.host AND f.prefix = b.prefix AND f.bin IS NOT DISTINCT FROM b.bin),
+    state{level + 1} AS (SELECT s.host, s.shape, labelled, bad, CASE WHEN form IS NULL THEN s.prefix WHEN s.prefix = '' THEN form ELSE s.prefix || '/' || form END AS prefix
+                         FROM state{level} s LEFT JOIN g{level} g ON g.host = s.host AND g.prefix = s.prefix AND g.segment = s.shape[{level + 1}])"""
+
+
 def url_sql(rules: list[tuple[str, str, str]] = RULES) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, for paths of up to SQL_LEVELS segments."""
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for h, p, _ in ordered]
     rule = "CASE" + "".join(f" WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, ordered, strict=True)) + " END"
     verdict = "CASE" + "".join(f" WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, ordered, strict=True)) + " END"
-    shape = "CASE" + "".join(f" WHEN regexp_matches(s, '{p}') THEN '{k}'" for p, k in SHAPES) + " ELSE s END"
+    shape = "CASE" + "".join(f" WHEN regexp_matches(s, '{p}') THEN '{k}'" for p, k in SHAPES) + f" WHEN regexp_matches(s, '{LIKE_WILDCARD}') THEN '~' || s ELSE s END"
+    levels = ",".join(_sql_level(i) for i in range(SQL_LEVELS))
     return f"""
     WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-    sh AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shape}) AS kinds FROM hp),
-    sp AS (SELECT page_id, host, path, CASE WHEN len(kinds) > {DEPTH} THEN list_concat(kinds[1:{DEPTH}], ['**']) ELSE kinds END AS shape FROM sh),
+    sp AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shape}) AS shape FROM hp),
     marks AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
     seen AS (SELECT host, shape, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM sp LEFT JOIN marks USING (page_id) GROUP BY host, shape),
     prior AS (SELECT coalesce(sum(bad), 0) / greatest(sum(labelled), 1) AS prior FROM seen),
-    steps AS (SELECT host, shape, labelled, bad, i - 1 AS level, shape[i] AS segment, array_to_string(shape[1:i - 1], '/') AS parent FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS i FROM seen)),
-    nodes AS (SELECT host, level, parent, segment, sum(labelled) AS n, sum(bad) AS b FROM steps GROUP BY ALL),
-    judged AS (SELECT *, sum(n) OVER w AS n_all, sum(b) OVER w AS b_all, count(*) OVER w AS branches FROM nodes WINDOW w AS (PARTITION BY host, level, parent)),
-    forms AS (SELECT host, level, parent, segment,
-        CASE WHEN starts_with(segment, '{{') OR segment = '**' OR branches = 1 OR (n >= {LEAST_LABELS} AND n_all - n >= {LEAST_LABELS}
-              AND pow(b / n - (b_all - b) / (n_all - n), 2) > {SIMILAR_Z * SIMILAR_Z} * ((b_all / n_all) * (1 - b_all / n_all) * (1 / n + 1 / (n_all - n))))
-             THEN segment ELSE '*' END AS form FROM judged),
-    named AS (SELECT host, shape, string_agg(form, '/' ORDER BY level) AS template FROM steps JOIN forms USING (host, level, parent, segment) GROUP BY host, shape),
-    full_named AS (SELECT seen.host, seen.shape, labelled, bad, coalesce(template, '') AS template FROM seen LEFT JOIN named ON seen.host = named.host AND seen.shape = named.shape),
+    state0 AS (SELECT *, '' AS prefix FROM seen),{levels},
+    full_named AS (SELECT host, shape, labelled, bad, prefix AS template FROM state{SQL_LEVELS}),
     pools AS (SELECT host, template, (sum(bad) + any_value(prior) * {STRENGTH}) / (sum(labelled) + {STRENGTH}) AS purity, sum(labelled) AS labelled FROM full_named, prior GROUP BY host, template)
     SELECT page_id, sp.host AS host, path, {rule.replace('host', 'sp.host')} AS rule,
            coalesce({verdict.replace('host', 'sp.host')}, CASE WHEN purity >= {PURITY} AND pools.labelled > 0 THEN 'block' ELSE 'allow' END) AS verdict,

@@ -536,3 +536,93 @@ def test_near_duplicates_of_rows_with_missing_and_equal_ids(spark):
     assert kept.columns == docs.columns
     want = [("3", c), ("5", "another text under one id"), ("8", None), ("None", "no id, own text")]
     assert sorted([(str(r.doc_id), r.text) for r in kept.collect()], key=str) == sorted(want, key=str)
+
+
+def brute_templates(paths, labels):
+    """Plain recursion over a host's tree: {path: template} of paths (lists of segments), labels being (n, bad) by path."""
+    out = {}
+
+    def differ(x, y):
+        share = (x[1] + y[1]) / (x[0] + y[0])
+        return (x[1] / x[0] - y[1] / y[0]) ** 2 > 1.96 * 1.96 * share * (1 - share) * (1 / x[0] + 1 / y[0])
+
+    def down(members, level, prefix):
+        branches = {}
+        for path in members:
+            if len(path) == level:
+                out[path] = "/".join(prefix)
+            else:
+                branches.setdefault(path[level], []).append(path)
+        count = {s: tuple(sum(labels[p][i] for p in ps) for i in (0, 1)) for s, ps in branches.items()}
+        literal = [s for s in branches if not s.startswith("{")]
+        thin = [s for s in literal if count[s][0] < 5]
+        bins = {}
+        for s in literal:
+            if s not in thin:
+                bins.setdefault(20 * count[s][1] // count[s][0], []).append(s)
+        clusters, last = [], None
+        for k in sorted(bins):
+            pool = tuple(sum(count[s][i] for s in bins[k]) for i in (0, 1))
+            if last is None or differ(last, pool):
+                clusters.append([])
+            clusters[-1] += bins[k]
+            last = pool
+        form = {s: s for s in branches}
+        main = max(range(len(clusters)), key=lambda c: (sum(count[s][0] for s in clusters[c]), -c), default=None)
+        for c, own in enumerate(clusters):
+            if c != main and len(own) > 1:
+                form |= dict.fromkeys(own, f"*{c}")
+        star = list(thin)
+        if main is not None and (len(clusters[main]) > 1 or len(clusters) == 1 and thin):
+            star += clusters[main]
+        if len(star) > 1:
+            form |= dict.fromkeys(star, "*")
+        below = {}
+        for s, ps in branches.items():
+            below.setdefault(form[s], []).extend(ps)
+        for f, ps in below.items():
+            down(ps, level + 1, [*prefix, f])
+
+    down(list(paths), 0, [])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_url_templates_match_a_plain_tree(spark, seed):
+    """Trees of several depths, also of paths that are a start of others, with branches of several shares of bad pages."""
+    rng = random.Random(seed)
+    rows, labels, by = [], [], {}
+    for host in ("a", "b", "c"):
+        for _ in range(500):
+            path = tuple(rng.choice(["p", "q", "r", "s", "12", "deadbeef0", "~x"]) for _ in range(rng.randrange(9)))
+            shaped = tuple("{n}" if s == "12" else "{hex}" if s == "deadbeef0" else "~~x" if s == "~x" else s for s in path)
+            page = len(rows)
+            rows.append((page, f"http://{host}/" + "/".join(path)))
+            n, bad = by.setdefault(host, {}).get(shaped, (0, 0))
+            if rng.random() < 0.8:
+                risk = {"p": 0.9, "q": 0.1, "r": 0.15}.get(path[rng.randrange(2) % len(path)] if path else "", 0.5)
+                x = int(rng.random() < risk)
+                labels.append((page, x))
+                n, bad = n + 1, bad + x
+            by[host][shaped] = (n, bad)
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {}
+    for r in url_templates.judge(pages, spark.createDataFrame(labels, "page_id long, bad int"), []).collect():
+        got.setdefault(r.host, {})[r.path] = r.template
+    for host, counted in by.items():
+        want = brute_templates(counted, counted)
+        assert len(set(want.values())) > 5
+        for path, template in got[host].items():
+            shaped = tuple("{n}" if s == "12" else "{hex}" if s == "deadbeef0" else "~~x" if s == "~x" else s for s in path.split("/") if s)
+            assert template == want[shaped]
+
+
+def test_children_of_merged_branches_are_pooled(spark):
+    """16 similar branches of thin counts: their common children spam and ham are judged together."""
+    pages = spark.createDataFrame([(i, f"http://h/b{i % 16:02d}x/{'spam' if i // 16 % 2 else 'ham'}/{i}") for i in range(160)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i // 16 % 2) for i in range(160)] * 2, "page_id long, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in url_templates.judge(pages, labels, []).collect()}
+    assert set(got.values()) == {("*/spam/{n}", "block"), ("*/ham/{n}", "allow")}
+    assert url_templates.judge(pages.limit(0), labels, []).count() == 0
+    deep = spark.createDataFrame([(1, "http://h/" + "a/" * 3000 + "x"), (2, "http://h/" + "a/" * 3000 + "y")], "page_id long, url string")
+    assert {len(r.template.split("/")) for r in url_templates.judge(deep, labels, []).collect()} == {3001}
