@@ -137,6 +137,31 @@ def test_top_k_is_exact(spark):
     assert va_topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_rows(spark):
+    """Repeated rows of an id, and several vectors of one id, take no place of others'."""
+    a, b, c = [1.0, 0.5], [0.25, 2.0], [-1.0, 3.0]
+    rows = [(0, a)] * 7 + [(0, b)] * 2 + [(1, a), (2, a), (3, b), (4, c), (5, [0.1, 0.1]), (6, [0.2, 0.1]), (7, a), (8, a), (50, c)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in va_topk.top_k(vectors, 5, 50, 3, 2).where("query_id = 50").collect())
+    assert got == [r for r in brute_top_k(rows, 5, 50) if r[0] == 50]
+    own = sorted((r.rank, r.vec_id) for r in va_topk.top_k(vectors.where("vec_id > 0 or embedding[0] = 1"), 5, 50).where("query_id = 0").collect())
+    assert own == [(r[1], r[2]) for r in brute_top_k([r for r in rows if r[0] or r[1] == a], 5, 50) if r[0] == 0] and len(own) == 5
+
+
+def test_bounds_leave_few_vectors_to_read(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, [int(x) for x in rng.normal(size=24) * 256]) for i in range(3000)]
+    points = spark.createDataFrame(data, "key long, v array<long>")
+    queries = points.where("key < 40")
+    found, left = va_topk.nearest(points, queries, 5, 512, 16)
+    exact = np.array([v for _, v in data]) @ np.array([v for _, v in data[:40]]).T
+    best = {q: sorted(-exact[:, q])[:5] for q in range(40)}
+    rows = found.collect()
+    assert all(r.score == exact[r.candidate, r.query] for r in rows)
+    assert {q: sorted(-r.score for r in rows if r.query == q)[:5] for q in range(40)} == best
+    assert len(rows) < 0.6 * left.count() < 0.6 * 40 * 3000 / 5 and len(rows) == len({(r.query, r.candidate) for r in rows})
+
+
 @pytest.mark.parametrize("size", [0, 1, 161, 162, 175, 176, 183, 184, 185, 576, 36_864, 36_865, 200_000])
 def test_transport_stream_round_trip(size):
     data = random.Random(size).randbytes(size)
