@@ -1,7 +1,7 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Components become integers, floor(256 * x). A table of approximations is stored beside the vectors: four bits a
-component name the cell that holds it, cells being quantiles of that component over a sample, closed by the least
+Components become integers, floor(256 * x). A table of approximations is stored beside the vectors: a byte a
+component (an eighth of the whole number) names the cell that holds it, cells being quantiles of that component over a sample, closed by the least
 and greatest values of all rows. A scan reads approximations only and bounds every score from both sides, as a
 cell bounds its component; a candidate whose upper bound is below the k-th best lower bound of its query
 can't be a result. Exact vectors are then read for what is left, in the order of the bounds: first a few for each
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import checkpointed, table, written
 
 K, QUERY_MODULO = 5, 50
-BITS = 4
+BITS = 8
 #: Rows of a candidate block and of a query block, on average.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 4096
 #: Vectors that the cells' borders are taken from, on average: a documented sample.
@@ -109,18 +109,17 @@ def cell_tables(points: DataFrame) -> dict[int, Cells]:
 
 
 def approximations(points: DataFrame, tables: dict[int, Cells]) -> DataFrame:
-    """key, size, cells of each vector: two components a byte."""
+    """key, size, cells of each vector: a byte for each component."""
     shared = points.sparkSession.sparkContext.broadcast({d: t[0] for d, t in tables.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _matrices(batch, 1):
                 size = x.shape[1]
-                codes = np.zeros((len(x), size + size % 2), np.uint8)
+                codes = np.zeros(x.shape, np.uint8)
                 for j in range(size):
                     codes[:, j] = np.searchsorted(shared.value[size][j], x[:, j], side="right")
-                packed = codes[:, 0::2] << 4 | codes[:, 1::2]
-                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(x), size, np.int32)), pa.array([p.tobytes() for p in packed], pa.binary())], names=["key", "size", "cells"])
+                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(x), size, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["key", "size", "cells"])
 
     return points.select("key", "v").mapInArrow(run, "key long, size int, cells binary")
 
@@ -136,8 +135,7 @@ def _block_scan(k: int, shared):
                 continue
             q_ids, c_ids = queries["key"].to_numpy(), rest["key"].to_numpy()
             q = np.array(queries["v"].tolist(), np.float64).reshape(len(queries), size)
-            packed = np.frombuffer(b"".join(rest["cells"]), np.uint8).reshape(len(rest), (size + 1) // 2)
-            codes = np.stack([packed >> 4, packed & 15], axis=-1).reshape(len(rest), -1)[:, :size]
+            codes = np.frombuffer(b"".join(rest["cells"]), np.uint8).reshape(len(rest), size)
             if size:
                 _, floors, tops = shared.value[size]
                 low, high = (t[np.arange(size), codes].astype(np.float64) for t in (floors, tops))
