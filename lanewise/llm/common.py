@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..storage import shared_dir, written
+
+__all__ = ["CHUNK_BYTES", "WordHasher", "checkpointed", "coded", "decoded", "fresh", "mixed", "shared_dir", "table", "text_chunks", "written"]
 
 #: Bytes of text that the numpy helpers work on at once; bounds a task's temporary arrays.
 CHUNK_BYTES = 1 << 20
@@ -18,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none, as in tests on one machine, a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        else:
-            base = tempfile.mkdtemp(prefix="lanewise-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, for what is added to it for a while."""
     taken = {c.lower() for c in df.columns}
@@ -42,19 +28,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def coded(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, .., so that any others can stand beside them."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def decoded(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns c0, c1, .. of df under their names again, all others left out."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession, "")
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read back."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def text_chunks(column: pa.Array, pad: int = 0, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of a string or binary column as (first row, bytes, offsets of each row's text and the end).
 

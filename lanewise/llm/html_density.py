@@ -19,7 +19,8 @@ the path, and every bare text, that reaches it counts as text too, subtrees if t
 text is returned block by block in page order.
 
 Defined results: null and empty pages, and pages without any text, give an empty string. Open
-elements end as their parents end; text outside of any element belongs to the body.
+elements end as their parents end; text outside of any element belongs to the body. Pages of any length
+count whole, repeated rows one each; empty tables give no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|header|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo|promoted|related|respond|share|sharing|sidebar|sidenav|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|widgets)(?:$|[\s_-])"
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<(?P<open>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<(?P<open>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: A subtree off the core's path counts only below this share of link characters.
 LINK_SHARE = 0.5
 #: Links that a block has at least to be a list of links.
@@ -58,7 +59,7 @@ LINK_LIST = 3
 class Node:
     __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "named", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: int = 0) -> None:
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: float = 0) -> None:
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.children: list[Node | str] = []
 
@@ -66,23 +67,25 @@ class Node:
 def _boilerplate(tag: str, rest: str) -> bool:
     if tag in DROPPED:
         return True
-    if not rest or "=" not in rest or tag in ("body", "html", "main", "article"):
+    if not rest or tag in ("body", "html", "main", "article"):
         return False
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden":
+            return True
         if name == "role" and value.strip() in ROLES or name == "aria-hidden" and value.strip() == "true":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/?$)", rest))
+    return False
 
 
-def _named(rest: str) -> int:
-    """2 if a whole word of class or id is a boilerplate name, 1 if only a part of one is, else 0."""
+def _named(rest: str) -> float:
+    """2 if a whole word of class or id is a boilerplate name, 1 if only a part of one is, 0.5 if that is only `related`, else 0."""
     found = 0
     for m in ATTRIBUTE.finditer(rest):
         if m[1].lower() in ("class", "id"):
             value = (m[2] or m[3] or m[4] or "").lower()
             if NAMES.search(value):
-                found = max(found, 2 if any(NAMES.search(w) and not re.search("[_-]", w.strip("_-")) for w in value.split()) else 1)
+                found = max(found, 2 if any(NAMES.search(w) and not re.search("[_-]", w.strip("_-")) for w in value.split()) else 1 if NAMES.search(re.sub(r"related[_-]|[_-]related", "", value)) else 0.5)
     return found
 
 
@@ -108,7 +111,9 @@ def _without_named(body: Node) -> Node:
     def stays(x: Node) -> bool:
         if not x.named or x.tag in ("article", "main") or id(x) in first:
             return True
-        return x.named == 1 and (id(x) in around or not mains and 2 * text(x) > text(body))
+        if x.named < 1 and x.link_chars <= LINK_SHARE * x.chars:  # related-work has text, related-posts has links
+            return True
+        return x.named <= 1 and (id(x) in around or not mains and 2 * text(x) > text(body))
 
     for x in order:
         x.children = [c for c in x.children if isinstance(c, str) or stays(c)]

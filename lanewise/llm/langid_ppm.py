@@ -13,7 +13,8 @@ look-ups a byte.
 
 Defined results: null texts and texts without a letter are `und` with score 0. Training rows with
 null text or null label are left out. A tie goes to the language that sorts first. Columns of the
-input other than the named ones are neither read nor returned.
+input other than the named ones are neither read nor returned, but by `keep_known_languages`, which returns
+all as they are, whatever their names. Repeated rows are judged each. Empty tables teach nothing and give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_chunks
+from .common import coded, decoded, text_chunks
 
 ORDER = 3
 #: Training texts of a language at most, on average: a documented bound, filled by a hash of the row.
@@ -225,6 +226,8 @@ KEEP_SCORE = 0.5
 
 def keep_known_languages(docs: DataFrame, min_score: float = KEEP_SCORE) -> DataFrame:
     """The documents, all columns kept, whose language is known with at least min_score."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))))
-    keep = docs.columns
-    return predict(docs, model, keep).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*keep)
+    named = docs.select("doc_id", "text", "lang")
+    model = fit(named.where(~held_out(F.col("doc_id"))))
+    rows, names = coded(docs), docs.columns
+    judged = predict(rows, model, rows.columns, f"c{names.index('text')}")
+    return decoded(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)), names)

@@ -17,7 +17,8 @@ and accumulated, and only within a bucket are documents accumulated one by one.
 Defined results: null text counts 0 tokens, null language or source is the branch `none`, null ids
 are ordered by an empty id. Documents of 0 tokens are taken with the prefix that they stand in.
 Branches that the weights don't name get the default weight; weight 0 takes nothing. Rows that are
-equal in id and order hash stand in text-length order and are taken as they fit.
+equal in id and order hash stand in text-length order and are taken as they fit. Empty tables give no rows;
+other columns are ignored, but returned by `keep_mix`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, fresh, table
 
 #: Hex digits of the seeded hash that name a leaf's bucket: 4096 buckets a leaf and epoch.
 BUCKET_DIGITS = 3
@@ -103,11 +104,12 @@ def budgets(leaves: DataFrame, plan: MixPlan) -> DataFrame:
 
 
 def select(sizes: DataFrame, plan: MixPlan) -> DataFrame:
-    """The taken documents of sizes (doc_id, lang, source, n_tokens), a row for each epoch that takes one.
+    """The taken documents of sizes (doc_id, lang, source, n_tokens and, if wanted, row), a row for each epoch that takes one.
 
     Returns domain, lang, source, doc_id, n_tokens, epoch and end_token, the leaf's tokens up to the document's end.
     """
-    named = sizes.select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), "n_tokens")
+    more = [c for c in sizes.columns if c == "row"]
+    named = sizes.select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), "n_tokens", *more)
     named = checkpointed(named.withColumn("domain", domain(F.col("source"))))
     leaf = ["domain", "lang", "source"]
     shares = checkpointed(budgets(named.groupBy(*leaf).agg(F.sum("n_tokens").alias("leaf_tokens")), plan))
@@ -119,10 +121,10 @@ def select(sizes: DataFrame, plan: MixPlan) -> DataFrame:
     before = Window.partitionBy(*leaf, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("earlier", F.coalesce(F.sum("held").over(before), F.lit(0))).join(shares, leaf)
     sums = sums.withColumn("earlier", F.col("earlier") + (F.col("epoch") - 1) * F.col("leaf_tokens")).where(F.col("earlier") < F.col("leaf_budget"))
-    inside = Window.partitionBy(*key).orderBy("place", "n_tokens")
+    inside = Window.partitionBy(*key).orderBy("place", "n_tokens", *more)
     reached = laid.join(sums.select(*key, "earlier", "leaf_budget"), key)
     ended = reached.withColumn("end_token", F.col("earlier") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return ended.where(F.col("end_token") <= F.col("leaf_budget")).select(*leaf, "doc_id", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "end_token")
+    return ended.where(F.col("end_token") <= F.col("leaf_budget")).select(*leaf, "doc_id", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "end_token", *more)
 
 
 def mixed_documents(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
@@ -130,9 +132,14 @@ def mixed_documents(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
 
 
 def keep_mix(docs: DataFrame, plan: MixPlan = PIPELINE_PLAN) -> DataFrame:
-    """The documents, all columns kept, that the plan takes (of repeated ids all rows if any is taken)."""
-    taken = mixed_documents(docs, plan).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(*docs.columns)
+    """The documents, all columns kept, that the plan takes: rows with equal or no ids each by their texts, repeated rows together."""
+    text_hash = fresh(docs, "text_hash")
+    named = docs.withColumn(text_hash, F.xxhash64("text"))
+    taken = select(named.select("doc_id", "lang", "source", tokens(F.col("text")).alias("n_tokens"), F.col(text_hash).alias("row")), plan).select("doc_id", "row").distinct()
+    taken_id, taken_row = fresh(docs, "taken_id"), fresh(docs, "taken_row")
+    taken = taken.toDF(taken_id, taken_row)
+    kept = named.join(taken, F.col("doc_id").eqNullSafe(F.col(taken_id)) & (F.col(text_hash) == F.col(taken_row)), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ stamp (90 kHz) and a random-access mark, so a reader can enter there. Reading pa
 packets and returns the samples with time stamps and random-access points.
 
 Defined results: null and empty texts are a payload of fill bytes of one block. Equal texts give
-equal streams. A damaged stream raises ValueError, naming the packet.
+equal streams, repeated rows one each; empty tables none. A damaged stream raises ValueError, naming the packet. Columns
+other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -175,6 +176,17 @@ def decode(media: bytes) -> Stream:
     return found
 
 
+def index_of(samples: int, unit: int = UNIT, rate: int = RATE) -> tuple[list[int], list[int]]:
+    """The time stamps of a stream's access units, and the byte offsets of the packets that they begin in."""
+    times, entries, packets = [], [], len(_TABLES) // PACKET
+    for start in range(0, samples, unit):
+        times.append(start * CLOCK // rate % (1 << 33))
+        entries.append(packets * PACKET)
+        pes = 14 + min(unit, samples - start)
+        packets += 1 + -(-max(0, pes - 176) // 184)
+    return times, entries
+
+
 def payload(text: str | None, block: int = BLOCK) -> tuple[bytes, int]:
     """A text's UTF-8 bytes, filled with bytes 255 up to a positive multiple of the block; and their number unfilled."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -190,7 +202,7 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
             for i in range(batch.num_rows):
                 data, n = payload(batch.column(1)[i].as_py())
                 media = encode(data)
-                held.append((batch.column(0)[i].as_py(), n, media))
+                held.append((batch.column(0)[i].as_py(), n, media, *index_of(len(data))))
                 size += len(media)
                 if size > 16 << 20:
                     yield pack(held, batch.schema.field(0).type)
@@ -199,10 +211,10 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pack(held, batch.schema.field(0).type)
 
     def pack(held: list, kind: pa.DataType) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        return pa.record_batch([pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary()), *[pa.array([x[j] for x in held], pa.list_(pa.int64())) for j in (3, 4)]], names=["doc_id", "n_bytes", "media", "times", "entries"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary, times array<long>, entries array<long>")
 
 
 def feature_of(found: Stream) -> str:
@@ -214,39 +226,29 @@ def feature_of(found: Stream) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What reading each stored stream gives: sizes, checksums and a feature."""
+    """What reading each stored stream gives: sizes, checksums and a feature; its times and entries must be the stored ones."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "random_access_points", "last_time"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for x in batch.column(2):
+            for x, times, entries in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 raw = x.as_py()
                 found = decode(raw)
+                if found.times != times.as_py() or found.entries != entries.as_py():
+                    raise ValueError("the stored time stamps or random-access points aren't the stream's")
                 rows.append((len(found.samples), hashlib.sha256(found.samples).hexdigest(), zlib.crc32(found.samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(found), len(found.entries), found.times[-1]))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.record_batch([*batch.columns[:2], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=names)
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, random_access_points long, last_time long")
+    return media.select("doc_id", "n_bytes", "media", "times", "entries").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, random_access_points long, last_time long")
 
 
 def random_access(media: DataFrame) -> DataFrame:
-    """doc_id, number, time, byte_offset: a row for each random-access point of each stored stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, times, places = [], [], [], []
-            for doc, x in zip(batch.column(0), batch.column(1), strict=True):
-                found = decode(x.as_py())
-                ids += [doc.as_py()] * len(found.entries)
-                numbers += range(len(found.entries))
-                times += found.times
-                places += found.entries
-            yield pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(times, pa.int64()), pa.array(places, pa.int64())], names=["doc_id", "number", "time", "byte_offset"])
-
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, number int, time long, byte_offset long")
+    """doc_id, number, time, byte_offset: a row for each stored random-access point, without reading the streams."""
+    points = media.select("doc_id", F.posexplode(F.arrays_zip("times", "entries")).alias("number", "x"))
+    return points.select("doc_id", "number", F.col("x.times").alias("time"), F.col("x.entries").alias("byte_offset"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, mixed, text_chunks
+from .common import WordHasher, coded, decoded, mixed, text_chunks
 
 #: Buckets of the hashed features.
 DIMENSIONS = 1 << 18
@@ -233,5 +233,6 @@ def quality_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, tail: float = KEEP_TAIL) -> DataFrame:
     """The documents, all columns kept, whose tail probability is at least `tail`."""
-    keep = docs.columns
-    return judge(docs, fit_documents(docs, labels), keep).where(F.col("tail_probability") >= tail).select(*keep)
+    rows, names = coded(docs), docs.columns
+    judged = judge(rows, fit_documents(docs, labels), rows.columns, f"c{names.index('text')}")
+    return decoded(judged.where(F.col("tail_probability") >= tail), names)

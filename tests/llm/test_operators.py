@@ -651,3 +651,96 @@ def test_children_of_merged_branches_are_pooled(spark):
     assert url_templates.judge(pages.limit(0), labels, []).count() == 0
     deep = spark.createDataFrame([(1, "http://h/" + "a/" * 3000 + "x"), (2, "http://h/" + "a/" * 3000 + "y")], "page_id long, url string")
     assert {len(r.template.split("/")) for r in url_templates.judge(deep, labels, []).collect()} == {3001}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body>Lead text. <div><p>One long paragraph.</p><p>Another long paragraph.</p></div></body>", "Lead text.\nOne long paragraph.\nAnother long paragraph."),
+        ("<article><p>Shown text.</p><div hidden>Not shown.</div><p title='the hidden gem'>Kept.</p></article>", "Shown text.\nKept."),
+        ("<article><p class='it's'>It's fine, isn't it</p></article>", "It's fine, isn't it"),
+        ("<article><!-->A<!-- b --!>C<!--->D</article>", "ACD"),
+        ("<article><p>Text of the article.</p><section class='related-work'><p>Others did this before.</p></section></article>", "Text of the article.\nOthers did this before."),
+        ("<article><p>Text of the article.</p><div class='related-posts'><a href=/a>One</a><a href=/b>Two</a></div></article>", "Text of the article."),
+        ('<article><p data-x="a>b" class=c>Quoted sign.</p></article>', "Quoted sign."),
+    ],
+)
+def test_attributes_comments_and_lead_text(page, text):
+    assert html_density.main_text(page) == text
+
+
+def plain_density(x, share):
+    """Density of a parsed node by direct recursion."""
+    import math
+
+    def count(n, link):
+        c = lc = t = lt = 0
+        for k in n.children:
+            if isinstance(k, str):
+                c += len(k.strip())
+                lc += len(k.strip()) if link else 0
+            else:
+                a = count(k, link or k.tag == "a")
+                c, lc, t, lt = c + a[0], lc + a[1], t + a[2] + 1, lt + a[3] + (k.tag == "a")
+        return c, lc, t, lt
+
+    c, lc, t, lt = count(x, x.tag == "a")
+    if not c:
+        return 0.0
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    value = c / max(t, 1)
+    return value * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0) + 1e-9) / max(math.log(base), 0.1) if base > 1 else value
+
+
+def test_densities_match_plain_recursion():
+    rng = random.Random(4)
+
+    def page(depth):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.random()
+            if kind < 0.4 or depth == 0:
+                parts.append("word " * rng.randrange(1, 30))
+            elif kind < 0.6:
+                parts.append(f"<a href=x>{'link ' * rng.randrange(1, 5)}</a>")
+            else:
+                tag = rng.choice(["div", "p", "span", "section"])
+                parts.append(f"<{tag}>{page(depth - 1)}</{tag}>")
+        return "".join(parts)
+
+    for _ in range(50):
+        body = html_density.parse(page(4))
+        nodes = html_density._measure(body)
+        share = body.link_chars / max(body.chars, 1)
+        assert all(abs(x.density - plain_density(x, share)) < 1e-9 * max(1, x.density) for x in nodes)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, sf):
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents").limit(150)
+    extra = ["score", "lang_pred", "bits_per_byte", "expected_grade", "tail_probability", "_text", "_letters", "text_hash", "row", "n_tokens", "epoch", "component_id", "pid", "node", "first", "c0", "a.b", "th", "rid", "domain"]
+    for name in extra:
+        docs = docs.withColumn(name, F.lit(f"theirs {name}"))
+    odd = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.unionByName(odd.withColumn("text", F.lit("The children went to the school by the river and read a good book there in the morning."))).unionByName(odd.withColumn("text", F.lit(None).cast("string"))).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert 0 < len(rows) <= docs.count() and all(r[c] == f"theirs {c}" for r in rows for c in extra), name
+        if name in ("near_duplicates", "mixing"):
+            assert any(r.doc_id is None for r in rows), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_stored_index_is_the_streams(spark):
+    docs = docs_of(spark, [(1, None), (2, "a" * 36_863), (3, "b" * 200_000), (4, "c" * 37_440)])
+    media = mpegts.stored(docs)
+    points = sorted(tuple(r) for r in mpegts.random_access(media).collect())
+    want = []
+    for r in media.collect():
+        found = mpegts.decode(bytes(r.media))
+        want += [(r.doc_id, i, t, at) for i, (t, at) in enumerate(zip(found.times, found.entries, strict=True))]
+    assert points == sorted(want) and len(points) > 6 and mpegts.digests(media.limit(0)).count() == 0
