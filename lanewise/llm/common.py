@@ -13,7 +13,7 @@ from ..storage import shared_dir, written
 __all__ = ["CHUNK_BYTES", "WordHasher", "checkpointed", "coded", "decoded", "fresh", "mixed", "shared_dir", "table", "text_chunks", "written"]
 
 #: Bytes of text that the numpy helpers work on at once; bounds a task's temporary arrays.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
