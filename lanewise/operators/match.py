@@ -35,14 +35,15 @@ def skipped(tables: Tables, phase: Phase) -> DataFrame:
 
 
 def excerpts(df: DataFrame) -> DataFrame:
-    """df with instr_text (first line of the label) and meta_text (detail and stage labels), 160 characters each."""
-    return df.withColumn("instr_text", F.left(first_line(F.col("label")), F.lit(EXCERPT))).withColumn("meta_text", F.left(F.concat(F.col("detail"), F.lit("\n"), F.col("labels")), F.lit(EXCERPT)))
+    """df with instr_text (first line of the label), phase_text, lane_text and meta_text (detail and stage labels), 160 characters each."""
+    shown = {"instr_text": first_line(F.col("label")), "phase_text": F.col("name"), "lane_text": F.col("lane"), "meta_text": F.concat(F.col("detail"), F.lit("\n"), F.col("labels"))}
+    return df.withColumns({k: F.left(v, F.lit(EXCERPT)) for k, v in shown.items()})
 
 
 def match_phases(tables: Tables, phase: Phase) -> DataFrame:
     """Every matching occurrence: hit_idx (order of row and stage), its place, cycle, elapsed and excerpts."""
     found = endpoints(tables, phase).withColumn("elapsed", F.coalesce("end_cycle", F.col("last_cycle") + 1) - F.col("start_cycle"))
-    kept = excerpts(found).select("trace", "op_id", "row_idx", "tid", "stage", "lane", "lane_index", "lane_count", "name", "start_cycle", "end_cycle", "open", "cycle", "elapsed", "instr_text", "meta_text")
+    kept = excerpts(found).select("trace", "op_id", "row_idx", "tid", "stage", "lane", "lane_index", "lane_count", "name", "start_cycle", "end_cycle", "open", "cycle", "elapsed", "instr_text", "phase_text", "lane_text", "meta_text")
     return numbered(kept, ["trace"], ["row_idx", "stage"], "hit_idx")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import written
+
 #: Rows of a bucket, if rows are dense.
 BUCKET = 65_536
 
@@ -46,3 +48,16 @@ def next_value(df: DataFrame, keys: list[str], order: str, value: Column, name:
     after = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     bases = totals.withColumn("_base", F.min("_n").over(after)).drop("_n")
     return inside.join(bases, [*keys, "_bucket"]).withColumn(name, F.least("_at", "_base")).drop("_bucket", "_value", "_at", "_base")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with `name`: each row's position (from 0) in an order of any columns, which should tell all rows apart.
+
+    A distributed sort cuts df into ranges; the sorted rows are written once, so that their places
+    stay the same, and each range's rows are counted: one row a sort partition is sent to every task.
+    """
+    placed = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.withColumn("_part", part).withColumn("_own", own).join(F.broadcast(bases), "_part").withColumn(name, F.col("_own") + F.col("_base")).drop("_at", "_part", "_own", "_base")

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scan import numbered
+from .scan import numbered, ranked
 
 SPANS = ("both", "source", "target", "all")
 PAGE_LIMIT, ROW_LIMIT, WINDOW_LIMIT = 128, 1024, 2048
+#: Rows up to which a sorted page is cut from the first ones; deeper pages come from a distributed sort.
+SHALLOW = 10_000
 
 
 def sort_elapsed(hits: DataFrame, descending: bool = True) -> DataFrame:
     """hits by elapsed; equal ones by hit_idx, ascending either way."""
-    return hits.orderBy(F.desc("elapsed") if descending else F.asc("elapsed"), F.asc("hit_idx"))
+    return hits.orderBy(*by_elapsed(descending))
+
+
+def by_elapsed(descending: bool) -> list[Column]:
+    return [F.desc("elapsed") if descending else F.asc("elapsed"), F.asc("hit_idx")]
+
+
+def ranked_elapsed(hits: DataFrame, descending: bool = True) -> DataFrame:
+    """All hits with sort_idx, their place in sort_elapsed's order."""
+    return ranked(hits, by_elapsed(descending), "sort_idx")
 
 
 def top_elapsed(hits: DataFrame, k: int, descending: bool = True) -> DataFrame:
@@ -27,13 +38,12 @@ def page(hits: DataFrame, start: int, count: int, index: str = "hit_idx", limit:
 
 
 def sorted_page(hits: DataFrame, start: int, count: int, descending: bool = True) -> DataFrame:
-    """A page in order of elapsed, with sort_idx: the first start + count rows are taken, then cut."""
-    taken = min(count, PAGE_LIMIT)
-    top = top_elapsed(hits, start + taken, descending)
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("elapsed") if descending else F.asc("elapsed"), F.asc("hit_idx"))  # over start + count rows
-    return top.withColumn("sort_idx", F.row_number().over(order).cast("long") - 1).where(F.col("sort_idx") >= start)
+    """A page in order of elapsed, with sort_idx."""
+    stop = start + min(count, PAGE_LIMIT)
+    if stop > SHALLOW:
+        return ranked_elapsed(hits, descending).where((F.col("sort_idx") >= start) & (F.col("sort_idx") < stop))
+    order = Window.orderBy(*by_elapsed(descending))  # over SHALLOW rows at most
+    return top_elapsed(hits, stop, descending).withColumn("sort_idx", F.row_number().over(order).cast("long") - 1).where(F.col("sort_idx") >= start)
 
 
 def hit(hits: DataFrame, index: int, ops: DataFrame, op: str = "s_op_id") -> DataFrame:
@@ -66,8 +76,7 @@ def hits_in_window(bounded: DataFrame, cycles: tuple[int, int], rows: tuple[int,
     With a limit, the first of them by number; hit `keep` stands in for the last of these if it
     meets the window but comes later.
     """
-    inside = (F.col("cycle_start") <= cycles[1]) & (F.col("cycle_end") >= cycles[0]) & (F.col("row_start") <= rows[1]) & (F.col("row_end") >= rows[0])
-    found = bounded.where(inside)
+    found = bounded.where(_meets(cycles, rows))
     if limit is None:
         return found
     first = found.orderBy("trace", "hit_idx").limit(limit)
@@ -78,6 +87,15 @@ def hits_in_window(bounded: DataFrame, cycles: tuple[int, int], rows: tuple[int,
     return first.unionByName(kept).distinct().orderBy(mark, "trace", "hit_idx").limit(limit)
 
 
+def window_total(bounded: DataFrame, cycles: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
+    """One row, total: how many hits meet the window, whatever limit hits_in_window has."""
+    return bounded.where(_meets(cycles, rows)).agg(F.count("*").alias("total"))
+
+
+def _meets(cycles: tuple[int, int], rows: tuple[int, int]) -> Column:
+    return (F.col("cycle_start") <= cycles[1]) & (F.col("cycle_end") >= cycles[0]) & (F.col("row_start") <= rows[1]) & (F.col("row_end") >= rows[0])
+
+
 def rows(ops: DataFrame, start: int, count: int, stride: int = 1, hide_flushed: bool = False) -> DataFrame:
     """Operations of rows [start, start + count * stride), every stride-th; with hide_flushed, rows count visible ones (view_row)."""
     if stride < 1 or start < 0 or count < 0:

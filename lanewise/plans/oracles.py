@@ -56,6 +56,43 @@ LONG = hits("st", "lower(name) = 'r' AND coalesce(end_cycle, last_cycle + 1) - s
 LOG = """WITH ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS t, row_number() OVER (ORDER BY event_id) - 1 AS row_idx FROM events WHERE event_id IS NOT NULL),
 clock AS (SELECT *, max(t + 0) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM ev)"""
 
+FILES = """ SELECT event_id // 4096 + 1 AS block, event_id AS op_id, user_id AS gid, user_id % 16 AS tid, t AS fetch_cycle, event_type AS label, 'user=' || user_id AS detail,
+    row_number() OVER (PARTITION BY event_id // 4096 ORDER BY event_id) - 1 AS row_idx FROM clock"""
+#: The log of the orders: the clock is set by each order, never back, and each line adds 3 to it.
+ORDER_LOG = """WITH o AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus = 'O' AS is_open, o_orderstatus = 'F' AS flushed, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 10 AS v,
+         o_orderpriority || '\\nclerk' || chr(9) || o_orderkey AS raw, coalesce(n, 0) AS n, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+d AS (SELECT *, CAST(3 * (sum(n) OVER (ORDER BY k) - n) AS BIGINT) AS before FROM o),
+c AS (SELECT *, before + greatest(max(v - before) OVER (ORDER BY k), 0) AS c FROM d),
+info AS (SELECT max(c + 3 * n) AS last_cycle FROM c),
+op AS (SELECT c.*, CASE WHEN is_open THEN last_cycle + 1 ELSE c + 3 * n END AS op_end FROM c, info),
+li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS i FROM lineitem),
+st AS (SELECT k, row_idx, i, l_linestatus AS lane, l_returnflag AS name, l_partkey, l_suppkey, l_linenumber, c + 3 * i AS start_cycle, 'part=' || l_partkey || chr(10) || 'line' || chr(10) || 'number=' || l_linenumber AS labels,
+         CASE WHEN l_quantity < 10 THEN c + 3 * i + 3 WHEN l_quantity < 25 THEN c + 3 * i + 1 ELSE coalesce(c + 3 * lead(i) OVER (PARTITION BY k, l_linestatus ORDER BY i), op_end) END AS end_cycle
+       FROM li JOIN op ON k = l_orderkey)"""
+NAMES = """sy0 AS (SELECT name, min(p) AS p FROM (SELECT lane AS name, (row_idx * 1000 + i) * 2 AS p FROM st UNION ALL SELECT name, (row_idx * 1000 + i) * 2 + 1 FROM st) GROUP BY name),
+sy AS (SELECT name, row_number() OVER (ORDER BY p) - 1 AS symbol_id FROM sy0)"""
+REFUSED = "refused AS ({})".format(
+    " UNION ALL ".join(
+        f"SELECT '{reason}' AS reason, count(*) AS n FROM {view} WHERE {where}"
+        for reason, view, where in (
+            ("backwards", "op", "v < c"), ("unknown_operation", "op", "k % 5 = 0"), ("unknown_command", "op", "k % 6 = 0"), ("unknown_label_kind", "op", "k % 7 = 0"), ("redefined", "op", "k % 9 = 0"),
+            ("label_without_stage", "op", "k % 10 = 0"), ("unknown_lane", "st", "l_partkey % 11 = 0"), ("missing_stage", "st", "l_partkey % 13 = 0"), ("future_producer", "st", "l_suppkey > k"),
+            ("after_retirement", "op", "NOT is_open AND k % 8 = 0"), ("already_retired", "op", "NOT is_open AND k % 8 = 0"), ("invalid_status", "op", "is_open AND k % 8 = 0"), ("invalid_number", "op", "k % 12 = 0"),
+        )
+    )
+)
+
+
+def line_pairs(skip: int = 0, where: str = "true") -> str:
+    """Returned lines' ends with the thread's later orders that have a new line, by their least start and stage."""
+    return f"""WITH {ORDERS},
+    tgt AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY row_idx) AS k FROM (SELECT tid, row_idx, any_value(op_id) AS op_id, min(start_cycle) AS cycle, arg_min(stage, start_cycle * 1000 + stage) AS stage FROM st WHERE name = 'N' GROUP BY tid, row_idx)),
+    src AS (SELECT op_id, row_idx, stage, tid, end_cycle AS cycle FROM st WHERE name = 'R' AND end_cycle IS NOT NULL),
+    nx AS (SELECT src.*, coalesce(tgt.k, 0) AS seen FROM src ASOF LEFT JOIN tgt ON src.tid = tgt.tid AND src.row_idx >= tgt.row_idx),
+    pr AS (SELECT nx.op_id AS s_op_id, tgt.op_id AS t_op_id, nx.row_idx AS s_row_idx, tgt.row_idx AS t_row_idx, nx.cycle AS s_cycle, tgt.cycle AS t_cycle, tgt.cycle - nx.cycle AS elapsed, CAST(nx.stage AS INTEGER) AS s_stage, CAST(tgt.stage AS INTEGER) AS t_stage
+           FROM nx JOIN tgt ON tgt.tid = nx.tid AND tgt.k = nx.seen + 1 + {skip})
+    SELECT *, row_number() OVER (ORDER BY s_row_idx, s_stage) - 1 AS hit_idx FROM pr WHERE {where}"""
+
 
 def found(where: str, view: str = "op", head: str = ORDERS) -> str:
     return f"WITH {head} SELECT op_id, row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS hit_idx FROM {view} WHERE {where}"
@@ -66,7 +103,9 @@ def op_rows(where: str, view: str = "op", head: str = ORDERS) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    order = "WITH h AS ({}) SELECT hit_idx, op_id, elapsed FROM h ORDER BY elapsed {}, hit_idx LIMIT 500"
+    order = "WITH h AS ({}) SELECT row_number() OVER (ORDER BY elapsed {}, hit_idx) - 1 AS sort_idx, hit_idx, op_id, elapsed FROM h"
+    some_line = "len(list_filter(string_split({}, chr(10)), lambda x: regexp_matches(x, '{}'))) > 0"
+    everyone = NO_NEW.replace(" AND x.tid < 3", "")
     return {
         "flagship_error_to_purchase": pairs(where=f"elapsed >= 0 AND {NO_NEW})", tail="SELECT s_op_id, t_op_id, s_cycle, t_cycle, elapsed, hit_idx FROM pr"),
         "match_single": hits("ev", "name = 'purchase'"),
@@ -77,16 +116,26 @@ def oracle_sql() -> dict[str, str]:
         "match_end_known": hits("st", "lower(name) = 'r' AND lower(lane) = 'f'", "end_cycle"),
         "match_meta_lines": hits("st", "len(list_filter(string_split(detail || chr(10) || labels, chr(10)), lambda x: lower(x) = 'status=p')) > 0"),
         "match_meta_scopes": hits("st", "len(list_filter(string_split(detail, chr(10)), lambda x: regexp_matches(x, 'price=1.*0'))) > 0 AND regexp_matches(labels, 'part=1.')"),
+        "match_op_meta": hits("st", some_line.format("detail", "(?i)^status=f$")),
+        "match_phase_meta": hits("st", some_line.format("labels", "^part=7.$")),
+        "match_meta_contains": hits("st", some_line.format("detail || chr(10) || labels", "=1.3")),
+        "match_op_meta_re": hits("st", some_line.format("detail", "^price=[0-9]{5}$")),
+        "match_phase_meta_re": hits("st", some_line.format("labels", "=(1|22)[0-4]$")),
+        "match_excerpts": f"WITH {TALKS} SELECT op_id, row_idx AS hit_idx, left(label, 160) AS instr_text, left(name, 160) AS phase_text, 'turn' AS lane_text, left(detail || chr(10), 160) AS meta_text FROM tk",
         "match_regex": hits("ev", "regexp_matches(label, 'value=[0-9]{2}$') AND len(list_filter(string_split(detail, chr(10)), lambda x: regexp_matches(x, '^user=1[0-5]$'))) > 0"),
         "pair_next": pairs(),
         "pair_skip2": pairs(2),
         "pair_overlaps": pairs(where="elapsed < 0"),
+        "pair_overlaps_lines": line_pairs(where="elapsed < 0"),
+        "pair_skip1_lines": line_pairs(1),
         "pair_gaps": pairs(where="elapsed > 1000000000 AND elapsed <= 90000000000"),
         "pair_row_distance": pairs(where="abs(t_row_idx - s_row_idx) <= 400 AND elapsed >= 0"),
         "exclude_rows": pairs(where=f"{NO_NEW}{BETWEEN})"),
         "exclude_all": pairs(where=f"{NO_NEW})"),
         "exclude_rows_shuffled": pairs(where=f"{NO_NEW}{BETWEEN})"),
         "exclude_all_shuffled": pairs(where=f"{NO_NEW})"),
+        "exclude_rows_everyone": pairs(where=f"{everyone}{BETWEEN})"),
+        "exclude_all_everyone": pairs(where=f"{everyone})"),
         "elapsed_desc": order.format(LONG, "DESC"),
         "elapsed_asc": order.format(LONG, "ASC"),
         "top_elapsed": pairs(tail="SELECT s_op_id, t_op_id, s_row_idx, t_row_idx, s_cycle, t_cycle, elapsed, hit_idx FROM pr ORDER BY elapsed DESC, hit_idx LIMIT 20"),
@@ -97,6 +146,8 @@ def oracle_sql() -> dict[str, str]:
         "hit_bounds_source": pairs(tail=BOX.format(a="greatest(s_row_idx - 3, 0)", b="least(s_row_idx + 3, n - 1)")),
         "hit_bounds_target": pairs(tail=BOX.format(a="greatest(t_row_idx - 2, 0)", b="least(t_row_idx + 2, n - 1)")),
         "hit_bounds_all": pairs(tail=BOX.format(a="CAST(0 AS BIGINT)", b="n - 1")),
+        "hit_bounds_single": f"SELECT hit_idx, cycle AS cycle_start, cycle + elapsed AS cycle_end, row_idx AS row_start, row_idx AS row_end FROM ({LONG})",
+        "window_total": pairs(tail="SELECT count(*) AS total FROM pr WHERE least(s_row_idx, t_row_idx) <= 400 AND greatest(s_row_idx, t_row_idx) >= 100"),
         "hits_in_window": pairs(tail=""", w AS (SELECT hit_idx, least(s_row_idx, t_row_idx) AS row_start, greatest(s_row_idx, t_row_idx) AS row_end FROM pr WHERE least(s_row_idx, t_row_idx) <= 400 AND greatest(s_row_idx, t_row_idx) >= 100)
             SELECT * FROM w ORDER BY CASE WHEN hit_idx = 700 THEN 0 ELSE 1 END, hit_idx LIMIT 2048"""),
         "query_stats": pairs(tail="SELECT (SELECT count(*) FROM pr) AS hits, (SELECT count(*) FROM ev WHERE name = 'error' AND end_cycle IS NULL) AS skipped"),
@@ -105,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "rows_hide_flushed": f"WITH {ORDERS} SELECT * FROM (SELECT op_id, row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS view_row FROM op WHERE NOT flushed) WHERE view_row BETWEEN 100 AND 149",
         "locate_ids": op_rows("op_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)"),
         "locate_rids": op_rows("NOT flushed AND rid IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 49)"),
-        "locate_rows": op_rows("row_idx IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)", "ev", EVENTS),
+        "locate_rows": op_rows("row_idx IN (SELECT o_custkey FROM orders)", "ev", EVENTS),
         "area_bounds": f"WITH {ORDERS}, v AS (SELECT op_id, row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS k FROM op WHERE NOT flushed) SELECT min(op_id) AS first_id, max(op_id) AS last_id, min(row_idx) AS first_row, max(row_idx) AS last_row FROM v WHERE k IN (40, 300)",
         "area_rows": op_rows("row_idx BETWEEN 40 AND 700 AND NOT flushed"),
         "search_text": found("lower(label) LIKE '%purchase value=1%' OR lower(detail) LIKE '%purchase value=1%' OR name LIKE '%purchase value=1%'", "ev", EVENTS),
@@ -117,6 +168,10 @@ def oracle_sql() -> dict[str, str]:
         "search_status": found("incomplete"),
         "search_stage_text": found("contains(label, 'part=77') OR contains(detail, 'part=77') OR op_id IN (SELECT op_id FROM st WHERE contains(labels, 'part=77'))"),
         "search_snippets": f"WITH {EVENTS} SELECT op_id, CAST(0 AS BIGINT) AS seq, 'Disassembly: ' || substr(label, greatest(instr(label, 'value=9') - 40, 1), instr(label, 'value=9') - greatest(instr(label, 'value=9') - 40, 1) + 67) AS snippet FROM ev WHERE contains(label, 'value=9')",
+        "search_snippets_fields": f"""WITH {ORDERS}, f AS (SELECT op_id, 0 AS seq, 'Disassembly' AS field, label AS v FROM op UNION ALL SELECT op_id, 1, 'Metadata', detail FROM op
+            UNION ALL SELECT op_id, stage * 2 + 2, 'Stage', name FROM st UNION ALL SELECT op_id, stage * 2 + 3, 'Stage metadata', labels FROM st)
+            SELECT op_id, CAST(seq AS BIGINT) AS seq, field || ': ' || v AS snippet FROM f WHERE regexp_matches(v, '(?i)-URG|price=1|part=7|^R$')""",
+        "search_total": f"WITH {ORDERS} SELECT count(*) AS total FROM op WHERE op_id IN (SELECT op_id FROM st WHERE contains(labels, 'part=7'))",
         "trace_info": f"WITH {ORDERS} SELECT 'orders' AS trace, count(*) AS n_ops, count(*) FILTER (flushed) AS flushed, CAST(min(fetch_cycle) AS BIGINT) AS first_cycle, any_value(last_cycle) AS last_cycle FROM op, info",
         "symbols": f"WITH {ORDERS}, f AS (SELECT name, min(k) AS k FROM (SELECT lane AS name, (row_idx * 1000 + stage) * 2 AS k FROM st UNION ALL SELECT name, (row_idx * 1000 + stage) * 2 + 1 FROM st) GROUP BY name) SELECT name, row_number() OVER (ORDER BY k) - 1 AS symbol_id FROM f",
         "suggest_instruction": f"WITH {EVENTS} SELECT value FROM (SELECT label AS value, min(row_idx) AS k FROM ev WHERE regexp_matches(label, 'click.*9') GROUP BY label ORDER BY k LIMIT 16)",
@@ -150,5 +205,20 @@ def oracle_sql() -> dict[str, str]:
         "ingest_rejects": "SELECT 'after_retirement' AS reason, count(*) AS n FROM events WHERE event_type <> 'error' AND event_id > 0",
         "ingest_trace_info": LOG + " SELECT 'log' AS trace, count(*) AS n_ops, count(*) FILTER (event_type = 'signup') AS flushed, min(t) AS first_cycle, max(t) + 1 AS last_cycle FROM clock",
         "ingest_saved": LOG + " SELECT event_id AS op_id, row_idx, CAST(0 AS BIGINT) AS stage, event_type AS name, t AS start_cycle, t + 1 AS end_cycle, 'value=' || CAST(floor(value) AS BIGINT) AS labels FROM clock",
+        "ingest_text_files": LOG + FILES,
+        "ingest_gzip_files": LOG + FILES,
+        "ingest_bad_files": """WITH b AS (SELECT o_orderkey >> 9 AS b, count(*) AS n FROM orders GROUP BY 1)
+            SELECT 'block-' || b AS trace, CASE b % 3 WHEN 0 THEN 'bad_header' WHEN 1 THEN 'not_utf8' ELSE 'read' END AS found, CASE b % 3 WHEN 2 THEN n ELSE 0 END AS n FROM b""",
+        "order_log_ops": f"""{ORDER_LOG} SELECT k AS op_id, o_custkey AS gid, k % 8 AS tid, CASE WHEN NOT is_open THEN k END AS rid, c AS fetch_cycle, op_end AS end_cycle, flushed, is_open AS incomplete,
+            replace(raw, '\\n', chr(10)) AS label, 'after' AS detail, row_idx FROM op""",
+        "order_log_stages": f"""{ORDER_LOG}, l AS (SELECT k, lane, row_number() OVER (PARTITION BY k ORDER BY min(i)) - 1 AS lane_index FROM st GROUP BY k, lane)
+            SELECT k AS op_id, i AS stage, name, lane, lane_index, start_cycle, end_cycle, labels FROM st JOIN l USING (k, lane)""",
+        "order_log_deps": f"{ORDER_LOG} SELECT k AS op_id, i AS seq, l_suppkey AS producer, CAST(l_linenumber AS BIGINT) AS kind, start_cycle + 3 AS cycle FROM st",
+        "order_log_symbols": f"{ORDER_LOG}, {NAMES} SELECT name, symbol_id FROM sy",
+        "order_log_rejects": f"{ORDER_LOG}, {REFUSED} SELECT reason, n FROM refused WHERE n > 0",
+        "order_log_info": f"""{ORDER_LOG}, {NAMES}, {REFUSED} SELECT 'orders' AS trace, (SELECT count(*) FROM op) AS n_ops, (SELECT count(*) FROM op WHERE flushed) AS flushed, (SELECT arg_min(v, k) FROM op) AS first_cycle, last_cycle,
+            CAST((SELECT sum(n) FROM refused) AS BIGINT) AS warning_count, (SELECT string_agg(name, ',' ORDER BY symbol_id) FROM sy) AS symbols, CAST(least(10, (SELECT sum(n) FROM refused)) AS BIGINT) AS n_shown FROM info""",
+        "order_log_limited": f"{ORDER_LOG} SELECT k AS op_id, CASE WHEN length(raw) + 5 <= 28 THEN replace(raw, '\\n', chr(10)) ELSE '' END AS label, CASE WHEN length(raw) + 5 <= 28 THEN 'after' ELSE '' END AS detail FROM op",
+        "order_log_too_large": f"{ORDER_LOG} SELECT 'operation_too_large' AS reason, count(*) AS n FROM op WHERE length(raw) + 5 > 28 HAVING count(*) > 0",
         "stream_ingest": LOG + " SELECT event_id AS op_id, event_type AS name, t AS start_cycle, t + 1 AS end_cycle FROM clock",
     }

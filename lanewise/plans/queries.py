@@ -13,9 +13,9 @@ from ..operators.match import match_phases, query_stats, skipped
 from ..operators.overview import overview, suggest, symbols
 from ..operators.pair import pair_phases
 from ..operators.search import search, snippets
-from ..operators.views import area_bounds, area_rows, hit, hit_bounds, hits_in_window, locate, page, rows, sort_elapsed, sorted_page, top_elapsed
-from ..sources.adapters import conversations_trace, event_log, events_trace, orders_trace
-from ..sources.ingest import ingest_lines
+from ..operators.views import area_bounds, area_rows, hit, hit_bounds, hits_in_window, locate, page, ranked_elapsed, rows, sort_elapsed, sorted_page, top_elapsed, window_total
+from ..sources.adapters import conversations_trace, event_log, events_trace, order_log, orders_trace
+from ..sources.ingest import ingest, ingest_lines, parse
 from ..sources.store import load, save
 from ..storage import shared_dir
 from ..streaming.stream import stream_ingest
@@ -46,10 +46,15 @@ def paired(**options) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: errors_to_purchases(spark, d, **options).select(*PAIR)
 
 
-def excluded(scope: str, few: int = 5_000) -> Callable[[SparkSession, str], DataFrame]:
+def paired_lines(**options) -> Callable[[SparkSession, str], DataFrame]:
+    """From the end of each returned line to the thread's next order with a new one."""
+    return lambda spark, d: pair_phases(orders_trace(spark, d), Phase("R", at="end"), Phase("N"), **options).select(*PAIR, "s_stage", "t_stage")
+
+
+def excluded(scope: str, few: int = 5_000, points: Phase = NEW_USER) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = events_trace(spark, d)
-        return exclude_between(pair_phases(t, ERROR_END, PURCHASE), t, NEW_USER, scope, few).select(*PAIR)
+        return exclude_between(pair_phases(t, ERROR_END, PURCHASE), t, points, scope, few).select(*PAIR)
 
     return run
 
@@ -80,6 +85,23 @@ def in_window(spark: SparkSession, d: str) -> DataFrame:
     return hits_in_window(box, (0, 1 << 62), (100, 400), limit=2048, keep=700).select("hit_idx", "row_start", "row_end")
 
 
+def total_in_window(spark: SparkSession, d: str) -> DataFrame:
+    return window_total(boxed("both")(spark, d), (0, 1 << 62), (100, 400))
+
+
+def single_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return hit_bounds(elapsed_hits(spark, d), 0).select("hit_idx", "cycle_start", "cycle_end", "row_start", "row_end")
+
+
+def excerpts_of_talks(spark: SparkSession, d: str) -> DataFrame:
+    return match_phases(conversations_trace(spark, d), Phase("*", lane="turn")).select("op_id", "hit_idx", "instr_text", "phase_text", "lane_text", "meta_text")
+
+
+def snippets_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    t, pattern = orders_trace(spark, d), "-URG|price=1|part=7|^R$"
+    return snippets(search(t, pattern, regex=True), t, pattern, regex=True).select("op_id", F.col("seq").cast("long").alias("seq"), "snippet")
+
+
 def stats(spark: SparkSession, d: str) -> DataFrame:
     t = events_trace(spark, d)
     return query_stats(pair_phases(t, ERROR_END, PURCHASE), [skipped(t, ERROR_END), skipped(t, PURCHASE)])
@@ -115,13 +137,56 @@ def round_trip(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, path).stages.select("op_id", "row_idx", F.col("stage").cast("long").alias("stage"), "name", "start_cycle", "end_cycle", "labels")
 
 
-def streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The log written as text files, one for each 4096 events with an own header, and ingested as they are found."""
-    base = shared_dir(spark, "stream")
-    log = event_log(spark, d).where("block > 0")
+def write_log(log: DataFrame, path: str, **options) -> None:
+    """The log as text files, one for each of its blocks with an own header."""
+    log = log.where("block > 0")
     head = log.select("block").distinct().select("block", F.lit(-1).cast("long").alias("pos"), F.lit("Kanata\t0004").alias("value"))
     each = log.select("block", "pos", "value").unionByName(head)
-    each.repartition("block").sortWithinPartitions("block", "pos").select("value", F.col("block").alias("part")).write.partitionBy("part").text(f"{base}/in")
+    each.repartition("block").sortWithinPartitions("block", "pos").select("value", F.col("block").alias("part")).write.partitionBy("part").text(path, **options)
+
+
+def files_read(**options) -> Callable[[SparkSession, str], DataFrame]:
+    """The log written as text files, and these ingested: each is a trace."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        base = shared_dir(spark, "files")
+        write_log(event_log(spark, d), base, **options)
+        t = ingest(spark, f"{base}/part=*")
+        block = F.regexp_extract("trace", "part=([0-9]+)", 1).cast("long").alias("block")
+        return t.ops.select(block, "op_id", "gid", "tid", "fetch_cycle", "label", "detail", "row_idx")
+
+    return run
+
+
+def order_tables(spark: SparkSession, d: str):
+    return ingest_lines(order_log(spark, d))
+
+
+def order_info(spark: SparkSession, d: str) -> DataFrame:
+    return order_tables(spark, d).traces.select("trace", F.col("count").alias("n_ops"), "flushed", "first_cycle", "last_cycle", "warning_count", F.array_join("symbols", ",").alias("symbols"), F.size("warnings").cast("long").alias("n_shown"))
+
+
+def limited(spark: SparkSession, d: str):
+    """The orders' tables with 28 bytes of text for an operation."""
+    return parse(order_log(spark, d), max_op_bytes=28)
+
+
+def mixed_files(spark: SparkSession, d: str) -> DataFrame:
+    """The log cut into traces of 512 orders, one third with a wrong version, one third with a line that isn't text."""
+    body = order_log(spark, d).where("block > 0").withColumn("block", F.shiftright("pos", 33)).withColumn("trace", F.concat(F.lit("block-"), F.col("block").cast("string")))
+    kind = F.pmod("block", F.lit(3))
+    each = body.select("trace", "block").distinct()
+    head = each.select("trace", "block", F.lit(-1).cast("long").alias("pos"), F.when(kind == 0, "Kanata\t0003").otherwise("Kanata\t0004").alias("value"))
+    broken = each.where(kind == 1).select("trace", "block", F.lit((1 << 62)).alias("pos"), F.unhex(F.lit("4CFF")).cast("string").alias("value"))
+    t = ingest_lines(body.unionByName(head).unionByName(broken), on_bad="reject")
+    read = t.traces.select("trace", F.lit("read").alias("found"), F.col("count").alias("n"))
+    return read.unionByName(t.rejects.where(F.col("reason").isin("bad_header", "not_utf8")).select("trace", F.col("reason").alias("found"), F.lit(0).cast("long").alias("n")))
+
+
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as text files and ingested as they are found."""
+    base = shared_dir(spark, "stream")
+    write_log(event_log(spark, d), f"{base}/in")
     stream_ingest(spark, f"{base}/in/part=*", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return load(spark, f"{base}/out").stages.select("op_id", "name", "start_cycle", "end_cycle")
 
@@ -137,18 +202,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_end_known": matched(orders_trace, Phase("R", at="end", lane="f")),
         "match_meta_lines": matched(orders_trace, Phase("*", meta="status=p")),
         "match_meta_scopes": matched(orders_trace, Phase("*", op_meta_contains="price=1*0", phase_meta_contains="part=1?")),
+        "match_op_meta": matched(orders_trace, Phase("*", op_meta="STATUS=f")),
+        "match_phase_meta": matched(orders_trace, Phase("*", phase_meta="part=7?")),
+        "match_meta_contains": matched(orders_trace, Phase("*", meta_contains="=1?3")),
+        "match_op_meta_re": matched(orders_trace, Phase("*", op_meta_re="^price=[0-9]{5}$")),
+        "match_phase_meta_re": matched(orders_trace, Phase("*", phase_meta_re="=(1|22)[0-4]$")),
+        "match_excerpts": excerpts_of_talks,
         "match_regex": matched(events_trace, Phase("*", instr_re="value=[0-9]{2}$", meta_re="^user=1[0-5]$")),
         "pair_next": paired(),
         "pair_skip2": paired(skip=2),
         "pair_overlaps": paired(kind="overlaps"),
+        "pair_overlaps_lines": paired_lines(kind="overlaps"),
+        "pair_skip1_lines": paired_lines(skip=1),
         "pair_gaps": paired(gaps=((">", 1_000_000_000), ("<=", 90_000_000_000))),
         "pair_row_distance": paired(rows=(("<=", 400),), kind="delays"),
         "exclude_rows": excluded("rows"),
         "exclude_all": excluded("all"),
         "exclude_rows_shuffled": excluded("rows", 0),
         "exclude_all_shuffled": excluded("all", 0),
-        "elapsed_desc": lambda s, d: top_elapsed(elapsed_hits(s, d), 500).select("hit_idx", "op_id", "elapsed"),
-        "elapsed_asc": lambda s, d: top_elapsed(elapsed_hits(s, d), 500, False).select("hit_idx", "op_id", "elapsed"),
+        "exclude_rows_everyone": excluded("rows", points=Phase("signup")),
+        "exclude_all_everyone": excluded("all", points=Phase("signup")),
+        "elapsed_desc": lambda s, d: ranked_elapsed(elapsed_hits(s, d)).select("sort_idx", "hit_idx", "op_id", "elapsed"),
+        "elapsed_asc": lambda s, d: ranked_elapsed(elapsed_hits(s, d), False).select("sort_idx", "hit_idx", "op_id", "elapsed"),
         "top_elapsed": lambda s, d: top_elapsed(errors_to_purchases(s, d), 20).select(*PAIR),
         "hits_page": lambda s, d: page(elapsed_hits(s, d), 256, 100).select("hit_idx", "op_id", "elapsed"),
         "sorted_page": lambda s, d: sorted_page(elapsed_hits(s, d), 128, 64).select("sort_idx", "hit_idx", "op_id", "elapsed"),
@@ -157,14 +232,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hit_bounds_source": boxed("source", 3),
         "hit_bounds_target": boxed("target", 2),
         "hit_bounds_all": boxed("all"),
+        "hit_bounds_single": single_bounds,
         "hits_in_window": in_window,
+        "window_total": total_in_window,
         "query_stats": stats,
         "rows_page": lambda s, d: op_columns(rows(orders_trace(s, d).ops, 500, 200)),
         "rows_stride": lambda s, d: op_columns(rows(orders_trace(s, d).ops, 3, 100, stride=7)),
         "rows_hide_flushed": lambda s, d: rows(orders_trace(s, d).ops, 100, 50, hide_flushed=True).select("op_id", "row_idx", "view_row"),
         "locate_ids": lambda s, d: op_columns(locate(orders_trace(s, d).ops, s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity = 50").select(F.col("l_orderkey").alias("op_id")))),
         "locate_rids": lambda s, d: op_columns(locate(orders_trace(s, d).ops, s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity = 49").select(F.col("l_orderkey").alias("rid")), "rid")),
-        "locate_rows": lambda s, d: op_columns(locate(events_trace(s, d).ops, s.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("row_idx")), "row_idx")),
+        "locate_rows": lambda s, d: op_columns(locate(events_trace(s, d).ops, s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("row_idx")), "row_idx")),
         "area_bounds": lambda s, d: area_bounds(orders_trace(s, d).ops, 300, 40, True).select("first_id", "last_id", "first_row", "last_row"),
         "area_rows": lambda s, d: op_columns(area_rows(orders_trace(s, d).ops, 40, 700, True)),
         "search_text": searched(events_trace, text="PURCHASE value=1"),
@@ -176,6 +253,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_status": searched(orders_trace, status="incomplete"),
         "search_stage_text": searched(orders_trace, text="part=77"),
         "search_snippets": snippets_of_errors,
+        "search_snippets_fields": snippets_of_orders,
+        "search_total": lambda s, d: search(orders_trace(s, d), "part=7").agg(F.count("*").alias("total")),
         "trace_info": lambda s, d: orders_trace(s, d).traces.select("trace", F.col("count").alias("n_ops"), "flushed", "first_cycle", "last_cycle"),
         "symbols": lambda s, d: symbols(orders_trace(s, d).stages).select("name", F.col("symbol_id").cast("long").alias("symbol_id")),
         "suggest_instruction": suggested(events_trace, "instruction", "click*9"),
@@ -199,5 +278,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_trace_info": lambda s, d: log_tables(s, d).traces.select("trace", F.col("count").alias("n_ops"), "flushed", "first_cycle", "last_cycle"),
         "ingest_saved": round_trip,
         "stream_ingest": streamed,
+        "ingest_text_files": files_read(),
+        "ingest_gzip_files": files_read(compression="gzip"),
+        "ingest_bad_files": mixed_files,
+        "order_log_ops": lambda s, d: order_tables(s, d).ops.select("op_id", "gid", "tid", "rid", "fetch_cycle", "end_cycle", "flushed", "incomplete", "label", "detail", "row_idx"),
+        "order_log_stages": lambda s, d: order_tables(s, d).stages.select("op_id", F.col("stage").cast("long").alias("stage"), "name", "lane", F.col("lane_index").cast("long").alias("lane_index"), "start_cycle", "end_cycle", "labels"),
+        "order_log_deps": lambda s, d: order_tables(s, d).deps.select("op_id", F.col("seq").cast("long").alias("seq"), "producer", "kind", "cycle"),
+        "order_log_symbols": lambda s, d: order_tables(s, d).symbols.select("name", F.col("symbol_id").cast("long").alias("symbol_id")),
+        "order_log_rejects": lambda s, d: order_tables(s, d).rejects.groupBy("reason").agg(F.count("*").alias("n")),
+        "order_log_info": order_info,
+        "order_log_limited": lambda s, d: limited(s, d).ops.select("op_id", "label", "detail"),
+        "order_log_too_large": lambda s, d: limited(s, d).rejects.where("reason = 'operation_too_large'").groupBy("reason").agg(F.count("*").alias("n")),
     }
     return found

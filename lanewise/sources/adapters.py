@@ -114,3 +114,40 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = e.select(F.lit("log").alias("trace"), F.floor(F.col("event_id") / 4096).cast("long").alias("block"), F.col("event_id").alias("_id"), F.posexplode(F.array(*own)).alias("_k", "value")).where("value is not null")
     body = body.select("trace", (F.col("block") + 1).alias("block"), (F.col("_id") * 16 + F.col("_k")).alias("pos"), "value")
     return spark.createDataFrame([("log", 0, 0, "Kanata\t0004")], "trace string, block long, pos long, value string").unionByName(body)
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r"""Log lines (trace, block, pos, value) of the orders and their lines, with most of what a log can hold.
+
+    An order sets the clock (often backwards), is introduced with signs and white space in its numbers, has
+    `\n` and tabs in its label, and retires unless it is open. Each of its lines opens a stage on a lane, has two labels,
+    adds to the clock, ends (once or twice) if its quantity is small, and names its supplier as producer.
+    Between them stand blank, resource and refused lines of many kinds. Blocks are runs of 4096 order keys.
+    """
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    text = lambda *parts: F.concat_ws("\t", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    key, is_open = F.col("o_orderkey"), F.col("o_orderstatus") == "O"
+    every = lambda n, *parts: F.when(F.pmod(key, F.lit(n)) == 0, text(*parts))
+    k = key.cast("string")
+    head = [
+        text("C=", (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")) * 10).cast("string")), text("I", k, F.concat(F.lit("+"), F.col("o_custkey").cast("string")), F.concat(F.lit(" "), F.pmod(key, F.lit(8)).cast("string"), F.lit(" "))),
+        text("L", k, "0", F.concat(F.col("o_orderpriority"), F.lit("\\nclerk")), k), every(5, "L", (key + 10**12).cast("string"), "0", "nobody"), every(3, ""), every(4, "core=CPU:width=4"), every(6, "Q", "1"),
+        every(7, "L", k, "3", "x"), every(9, "I", k, "-1", "0"), every(10, "L", k, "2", "early"),
+    ]
+    tail = [
+        F.when(~is_open, text("R", k, k, F.when(F.col("o_orderstatus") == "F", "1").otherwise("0"))), text("L", k, "1", "after"), F.when(~is_open, every(8, "R", k, k, "0")), F.when(is_open, every(8, "R", k, k, "2")), every(12, "C", "-3"),
+    ]
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    lk, few, part = F.col("l_orderkey").cast("string"), F.col("l_quantity"), F.col("l_partkey")
+    ends = text("E", lk, F.col("l_linestatus"), F.col("l_returnflag"))
+    own = [
+        text("S", lk, F.col("l_linestatus"), F.col("l_returnflag")), text("L", lk, "2", F.concat(F.lit("part="), part.cast("string"), F.lit("\\nline"))), text("L", lk, "2", F.concat(F.lit("number="), F.col("l_linenumber").cast("string"))),
+        text("C", "1"), F.when(few < 25, ends), text("C", " 2 "), F.when(few < 10, ends), F.when(F.pmod(part, F.lit(11)) == 0, text("E", lk, "nowhere", F.col("l_returnflag"))),
+        text("W", lk, F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")), F.when(F.pmod(part, F.lit(13)) == 0, text("E", lk, F.col("l_linestatus"))),
+    ]
+    lines = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").withColumn("_i", F.row_number().over(order).cast("long"))
+    placed = lambda df, key, i, parts: df.select(key.alias("_id"), i.alias("_i"), F.posexplode(F.array(*parts)).alias("_k", "value"))
+    body = placed(o, key, F.lit(0), head).unionByName(placed(lines, F.col("l_orderkey"), F.col("_i"), own)).unionByName(placed(o, key, F.lit((1 << 20) - 1), tail)).where("value is not null")
+    pos = F.shiftleft("_id", 24).bitwiseOR(F.shiftleft(F.col("_i").cast("long"), 4)).bitwiseOR(F.col("_k").cast("long"))
+    body = body.select(F.lit("orders").alias("trace"), (F.shiftright("_id", 12) + 1).cast("long").alias("block"), pos.alias("pos"), "value")
+    return spark.createDataFrame([("orders", 0, 0, "Kanata\t0004")], "trace string, block long, pos long, value string").unionByName(body)
