@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.patterns import unescaped
 from ..operators.scan import numbered
 from ..schemas import Tables
+from ..storage import written
 
 # Fixed values of the format and its limits
 MAGIC, VERSION = "Kanata", "0004"
@@ -52,24 +52,26 @@ def too_large(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\A\s*\+?[0-9]+\s*\z"), F.lit(False)) & number(text).isNull()
 
 
-def with_cycles(numbered_lines: DataFrame) -> DataFrame:
-    """Lines with cmd, parts and cycle, the clock after the line.
+def with_clock(lines: DataFrame) -> DataFrame:
+    """Lines with line, parts, cmd, set and cycle, the clock after the line. A trace's first line is its header.
 
     `C` adds, `C=` sets, never backwards. With D the sum of additions, the clock is
     D + max(0, max(set value - D)): inside a block both are running windows; a block as a whole maps
-    a clock x to A + max(x, M), and those maps are carried across blocks the same way.
+    a clock x to A + max(x, M), and those maps are carried across blocks the same way. Lines with their
+    place in the block are written once; the blocks' totals, a row for each, are joined when they are read.
     """
-    parts = F.split("value", "\t", -1)
-    cmd = numbered_lines.withColumn("parts", parts).withColumn("cmd", F.col("parts")[0])
-    arg = number(F.get("parts", 1))
-    cmd = cmd.withColumn("add", F.when((F.col("cmd") == "C") & (F.col("line") > 1), arg)).withColumn("set", F.when((F.col("cmd") == "C=") & (F.col("line") > 1), arg))
-    own = Window.partitionBy("trace", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    inside = cmd.withColumn("d", F.coalesce(F.sum("add").over(own), F.lit(0))).withColumn("m", F.max(F.col("set") - F.col("d")).over(own))
-    totals = inside.groupBy("trace", "block").agg(F.max("d").alias("a"), F.max("m").alias("most"))
+    arg = number(F.get(F.split("value", "\t", -1), 1))
+    cmd = F.get(F.split("value", "\t", -1), 0)
+    own = Window.partitionBy("trace", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lines.withColumn("cmd", cmd).withColumn("add", F.when(F.col("cmd") == "C", arg)).withColumn("set", F.when(F.col("cmd") == "C=", arg))
+    inside = inside.withColumn("at", F.row_number().over(own)).withColumn("d", F.coalesce(F.sum("add").over(own), F.lit(0))).withColumn("m", F.max(F.col("set") - F.col("d")).over(own))
+    inside = written(inside.select("trace", "block", "at", "value", "cmd", "set", "d", "m"), "lines")
+    totals = inside.groupBy("trace", "block").agg(F.count("*").alias("n"), F.max("d").alias("a"), F.max("m").alias("most"))
     before = Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("s", F.coalesce(F.sum("a").over(before), F.lit(0)))
-    carried = carried.withColumn("x", F.col("s") + F.greatest(F.lit(0), F.coalesce(F.max(F.col("most") - F.col("s")).over(before), F.lit(0)))).select("trace", "block", "x")
-    return inside.join(carried, ["trace", "block"]).select("trace", "line", "value", "parts", "cmd", "set", (F.col("d") + F.greatest(F.col("x"), F.coalesce("m", F.col("x")))).alias("cycle"))
+    carried = totals.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("s", F.coalesce(F.sum("a").over(before), F.lit(0)))
+    carried = carried.withColumn("x", F.col("s") + F.greatest(F.lit(0), F.coalesce(F.max(F.col("most") - F.col("s")).over(before), F.lit(0)))).select("trace", "block", "base", "x")
+    cycle = F.col("d") + F.greatest(F.col("x"), F.coalesce("m", F.col("x")))
+    return inside.join(carried, ["trace", "block"]).select("trace", (F.col("at") + F.col("base")).alias("line"), "value", F.split("value", "\t", -1).alias("parts"), "cmd", "set", cycle.alias("cycle"))
 
 
 def any_bad(lines: DataFrame) -> bool:
@@ -93,10 +95,11 @@ def bad_traces(numbered_lines: DataFrame) -> DataFrame:
 def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int = OP_BYTES) -> Tables:
     """The tables of lines (trace, block, pos, value). Lines of traces with a bad header should be left out before.
 
-    All tables come from the same numbered and grouped lines, so these are kept (in memory, then on
-    the executors' disks; lost parts are computed again) until the session clears its cache.
+    All tables come from the same lines with their place and clock, the lines of operations with what begins and
+    ends them, and the numbered operations: these three are written to the shared folder, so that they
+    are computed once and survive lost executors; all else is lazy.
     """
-    clock = with_cycles(with_line_numbers(lines)).persist(StorageLevel.MEMORY_AND_DISK)
+    clock = with_clock(lines)
     events = clock.where(F.col("cmd").isin(*COMMANDS) & (F.col("line") > 1)).withColumn("op_id", number(F.get("parts", 1)))
     own = Window.partitionBy(*OP)
     p = lambda k: F.get("parts", k)
@@ -104,8 +107,9 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     good_r = (F.col("cmd") == "R") & number(p(2)).isNotNull() & (number(p(3)) <= 1)
     good_s = (F.col("cmd") == "S") & p(3).isNotNull() & (F.octet_length(F.trim(p(2))) <= NAME_LIMIT) & (F.octet_length(F.trim(p(3))) <= NAME_LIMIT)
     placed = events.where("op_id is not null").withColumn("intro", F.min(F.when(good_i, F.col("line"))).over(own))
-    live = placed.where(F.col("line") > F.col("intro"))
-    live = live.withColumn("r_line", F.min(F.when(good_r, F.col("line"))).over(own)).withColumn("lane", F.trim(p(2))).withColumn("name", F.trim(p(3))).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = placed.withColumn("r_line", F.min(F.when(good_r & (F.col("line") > F.col("intro")), F.col("line"))).over(own))
+    placed = written(placed.drop("parts"), "placed").withColumn("parts", F.split("value", "\t", -1))  # split anew rather than stored
+    live = placed.where(F.col("line") > F.col("intro")).withColumn("lane", F.trim(p(2))).withColumn("name", F.trim(p(3)))
     last_cycle = clock.groupBy("trace").agg(F.max("cycle").alias("last_cycle"))
 
     # operations: all of one is gathered by a single grouping, which the window's shuffle already serves
@@ -123,7 +127,8 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     ops = gathered.join(F.broadcast(last_cycle), "trace").select(
         *OP, "gid", "tid", "rid", "fetch_cycle", F.coalesce("r_cycle", F.col("last_cycle") + 1).alias("end_cycle"), F.coalesce("r_flushed", F.lit(False)).alias("flushed"), F.col("rid").isNull().alias("incomplete"), "line", shown("label"), shown("detail"), "_large"
     )
-    marked_ops = numbered(ops, ["trace"], ["op_id"], "row_idx").persist(StorageLevel.MEMORY_AND_DISK)
+    marked_ops = numbered(ops, ["trace"], ["op_id"], "row_idx")
+    marked_ops = written(marked_ops, "ops")
     ops = marked_ops.drop("_large")
 
     # stages: an E sets the end of the latest S of its lane and name, over what a later S of the lane or R would
