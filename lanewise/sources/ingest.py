@@ -224,6 +224,7 @@ def ingest_lines(lines: DataFrame, on_bad: str = "error", sizes: DataFrame | Non
     if on_bad == "error":
         worst = bad.orderBy("trace", "line").first()
         raise ValueError(f"{worst['trace']}, line {worst['line']}: {worst['reason']}")
+    bad = written(bad, "bad-lines")  # it tells which lines are parsed, and is part of the rejects
     tables = parse(lines.join(bad.select("trace").distinct(), "trace", "left_anti"), sizes)
     return Tables(tables.ops, tables.stages, tables.deps, tables.symbols, tables.traces, tables.rejects.unionByName(bad.withColumn("line", F.col("line").cast("long"))))
 
