@@ -1,4 +1,4 @@
-"""Operators for preparing training text at scale: ten operators, their queries and their SQL.
+"""Operators for preparing training text at scale, their queries and their SQL.
 
 Nothing else in the library imports this package.
 """

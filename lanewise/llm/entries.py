@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, langid_ppm, mixing, mpegts, packing, quality, simhash, url_templates, va_topk, warc_bundles
+from . import filter_audit, html_density, langid_ppm, mixing, mpegts, packing, quality, simhash, url_templates, va_topk, warc_bundles
 from .common import table
 
 
@@ -28,8 +28,9 @@ def queries() -> dict:
         "op8_warc_bundles": warc_bundles.query,
         "op9_simhash_pigeonring": simhash.query,
         "op10_source_mixing": mixing.query,
+        "op11_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_templates": url_templates.url_sql(), "op4_va_topk": va_topk.SQL, "op8_warc_bundles": warc_bundles.SQL, "op10_source_mixing": mixing.mix_sql()}
+    return {"op3_url_templates": url_templates.url_sql(), "op4_va_topk": va_topk.SQL, "op8_warc_bundles": warc_bundles.SQL, "op10_source_mixing": mixing.mix_sql(), "op11_filter_audit": filter_audit.SQL}
