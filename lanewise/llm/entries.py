@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, html_density, langid_ppm, mixing, mpegts, packing, quality, simhash, url_templates, va_topk, warc_bundles
+from . import filter_audit, html_density, langid_ppm, mixing, mpegts, packing, quality, simhash, token_alignment, url_templates, va_topk, warc_bundles
 from .common import table
 
 
@@ -29,6 +29,7 @@ def queries() -> dict:
         "op9_simhash_pigeonring": simhash.query,
         "op10_source_mixing": mixing.query,
         "op11_filter_audit": filter_audit.query,
+        "op12_token_alignment": token_alignment.query,
     }
 
 
