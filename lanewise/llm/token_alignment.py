@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ from .common import table, written
 
 FIRST, SECOND = "byte_bpe_50k", "piece_bpe_32k"
 #: Bytes of the texts of a chunk, and segments remembered between chunks.
-CHUNK, REMEMBERED = 4 << 20, 200_000
+CHUNK, REMEMBERED = 4 << 20, 400_000
 #: Texts of more than one in so many documents are broadcast at the end.
 HEAVY = 1000
 SEGMENT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s*\Z)?|\s+")
@@ -107,7 +108,7 @@ class Aligner:
         self.encode_a, self.bytes_a = first_tokenizer()
         self.encode_b, self.bytes_b = second_tokenizer()
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.shown = [[b"%d," % i for i in range(len(self.bytes_a))], [b"%d|" % i for i in range(len(self.bytes_a))], [b"%d," % i for i in range(len(self.bytes_b))], [b"%d;" % i for i in range(len(self.bytes_b))]]
+        self.shown = [form % i for form in (b"%d,", b"%d|", b"%d;") for i in range(len(self.bytes_a))]  # an id within, at the end of the first and of the second side
         self.forget()
 
     def forget(self) -> None:
@@ -116,16 +117,34 @@ class Aligner:
         self.counts = np.zeros((4, 0), np.int64)  # tokens of both sides, groups, links
         self.begin, self.pair, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, segments: list[str]) -> None:
-        """Adds new segments; each starts with a space."""
-        a = [self.encode_a(s) for s in segments]
-        b = self.encode_b([s[1:] for s in segments])
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers for all segments in a row, how many each has, and which segments' bytes they give.
+
+        Segments may follow each other in a text, so the first tokenizer gets them at once, and its ids are cut at their ends. Where that
+        doesn't give the segments' bytes, each is encoded on its own, and those that differ have no ids.
+        """
         raw = [s.encode() for s in segments]
+        stops, whole = np.cumsum([len(x) for x in raw]), b"".join(raw)
+        a, b = self.encode_a("".join(segments)), self.encode_b([s[1:] for s in segments])
+        n_b, b = np.fromiter(map(len, b), np.int64, len(b)), list(chain.from_iterable(b))
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        last_a = np.minimum(np.searchsorted(ends_a, stops), len(a) - 1)
+        if b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)) and np.array_equal(ends_a[last_a], stops) and np.array_equal(ends_b[np.cumsum(n_b) - 1], stops):
+            return ids_a, np.diff(last_a, prepend=-1), ids_b, n_b, np.ones(len(segments), bool)
+        a, b = [self.encode_a(s) for s in segments], self.encode_b([s[1:] for s in segments])
         fit = np.array([b"".join([self.bytes_a[i] for i in x]) == s == b"".join([self.bytes_b[i] for i in y]) for x, y, s in zip(a, b, raw, strict=True)], bool)
-        for k in np.flatnonzero(~fit):
-            a[k], b[k] = [], []
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        ids_a, ids_b = (np.array([i for x in side for i in x], np.int64) for side in (a, b))
+        a, b = ([x if ok else [] for x, ok in zip(side, fit, strict=True)] for side in (a, b))
+        return *(x for side in (a, b) for x in (np.array([i for x in side for i in x], np.int64), np.array([len(x) for x in side], np.int64))), fit
+
+    def learn(self, segments: list[str]) -> None:
+        """Adds new segments; each starts with a space. Those that end in white space only stand last in a text."""
+        ends_open = [s for s in segments if s[-1].isspace()]
+        inner = [s for s in segments if not s[-1].isspace()]
+        for part in ([inner] if inner else []) + [[s] for s in ends_open]:
+            self._add(part, *self.encode(part))
+
+    def _add(self, segments: list[str], ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, fit: np.ndarray) -> None:
         end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
@@ -145,15 +164,14 @@ class Aligner:
         offset = np.cumsum(size_a + size_b) - size_a - size_b
         at_a = offset[group_a] + np.arange(len(ids_a)) - (np.cumsum(size_a) - size_a)[group_a]
         at_b = (offset + size_a)[group_b] + np.arange(len(ids_b)) - (np.cumsum(size_b) - size_b)[group_b]
-        kind, ids = np.zeros(len(at_a) + len(at_b), np.int64), np.zeros(len(at_a) + len(at_b), np.int64)
-        kind[at_a], ids[at_a], kind[at_b], ids[at_b] = 0, ids_a, 2, ids_b
-        kind[offset + size_a - 1], kind[offset + size_a + size_b - 1] = 1, 3
-        shown = [self.shown[k][i] for k, i in zip(kind.tolist(), ids.tolist(), strict=True)]
+        shown = np.zeros(len(at_a) + len(at_b), np.int64)
+        shown[at_a], shown[at_b] = ids_a, ids_b
+        shown[offset + size_a - 1] += len(self.bytes_a)
+        shown[offset + size_a + size_b - 1] += 2 * len(self.bytes_a)
+        shown = list(map(self.shown.__getitem__, shown.tolist()))
         stops = np.cumsum(n_a + n_b).tolist()
-        start = len(self.strings)
-        for k, (s, stop) in enumerate(zip(segments, stops, strict=True)):
-            self.strings.append(b"".join(shown[stops[k - 1] if k else 0 : stop])[:-1])
-            self.place[s] = start + k
+        self.place.update(zip(segments, range(len(self.strings), len(self.strings) + len(segments)), strict=True))
+        self.strings += [b"".join(shown[i:j])[:-1] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
         own = owned >> 32
         n_pairs = np.bincount(own, minlength=len(segments))
         n_links = np.bincount(own, weights=times, minlength=len(segments)).astype(np.int64)
@@ -167,13 +185,15 @@ class Aligner:
         cut = [SEGMENT.findall(" " + t) for t in texts]
         if len(self.place) > REMEMBERED:
             self.forget()
-        if new := [s for s in dict.fromkeys(s for x in cut for s in x) if s not in self.place]:
-            self.learn(new)
-        at = [np.array([self.place[s] for s in x], np.int64) for x in cut]
-        kept = [k for k, x in enumerate(at) if self.fit[x].all()]
-        at = [at[k] for k in kept]
-        flat, sizes = np.concatenate([*at, np.zeros(0, np.int64)]), np.array([len(x) for x in at], np.int64)
+        flat, sizes = [s for x in cut for s in x], np.array([len(x) for x in cut], np.int64)
+        if new := set(flat) - self.place.keys():
+            self.learn(sorted(new))
+        flat = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        fit = np.logical_and.reduceat(self.fit[flat], np.cumsum(sizes) - sizes) if len(flat) else np.zeros(0, bool)
+        kept = np.flatnonzero(fit).tolist()
+        flat, sizes = flat[np.repeat(fit, sizes)], sizes[fit]
         begins = np.cumsum(sizes) - sizes
+        at = np.split(flat, begins[1:]) if kept else []
         counts = np.add.reduceat(self.counts[:, flat], begins, axis=1) if len(at) else np.zeros((4, 0), np.int64)
         width = (self.begin[1:] - self.begin[:-1])[flat]
         links = spread(self.begin[flat], width)
@@ -185,7 +205,7 @@ class Aligner:
         first = np.cumsum(per_text) - per_text
         steps[first] = ranks[first]  # a text's ranks rise, so the steps between them are not negative
         digests = [hashlib.sha256(texts[k].encode()).digest() for k in kept]
-        groups = [hashlib.sha256(b";".join([self.strings[i] for i in x.tolist()])).hexdigest() for x in at]
+        groups = [hashlib.sha256(b";".join(map(self.strings.__getitem__, x.tolist()))).hexdigest() for x in at]
         row = [int.from_bytes(digests[0][:8], "big", signed=True) if digests else 0, digests, [n[k] for k in kept], *counts, groups, planes(pairs), per_text, planes(steps), planes(times)]
         kinds = [pa.int64(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
