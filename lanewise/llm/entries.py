@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, html_density, langid_ppm, mixing, mpegts, packing, quality, simhash, token_alignment, url_templates, va_topk, warc_bundles
+from . import filter_audit, html_density, langid_ppm, mixing, mpegts, packing, quality, simhash, token_alignment, toxicity, url_templates, va_topk, warc_bundles
 from .common import table
 
 
@@ -30,6 +30,7 @@ def queries() -> dict:
         "op10_source_mixing": mixing.query,
         "op11_filter_audit": filter_audit.query,
         "op12_token_alignment": token_alignment.query,
+        "op13_toxicity": toxicity.query,
     }
 
 
