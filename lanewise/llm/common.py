@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..storage import shared_dir, written
 
-__all__ = ["CHUNK_BYTES", "WordHasher", "checkpointed", "coded", "decoded", "fresh", "mixed", "shared_dir", "table", "text_chunks", "written"]
+__all__ = ["CHUNK_BYTES", "WordHasher", "checkpointed", "coded", "decoded", "fresh", "mixed", "shared_dir", "spread", "table", "text_chunks", "written"]
 
 #: Bytes of text that the numpy helpers work on at once; bounds a task's temporary arrays.
 CHUNK_BYTES = 1 << 18
@@ -131,6 +131,12 @@ class WordHasher:
         return of(stops), starts, stops, np.searchsorted(offsets, starts, side="right") - 1, *[of(np.minimum(stops, starts + k)) for k in prefixes]
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, .. (sizes[0] of them), then those of the next."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values so that their low bits are usable as buckets."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import spread, table, written
 
 FIRST, SECOND = "byte_bpe_50k", "piece_bpe_32k"
 #: Bytes of the texts of a chunk, and segments remembered between chunks.
@@ -78,12 +78,6 @@ def second_tokenizer():
     return lambda texts: sp.encode(texts, num_threads=1), table_
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, .. (sizes[0] of them), then those of the next."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, and the sum of each one's weights."""
     order = np.argsort(keys, kind="stable")

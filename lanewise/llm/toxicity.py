@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import WordHasher, mixed, table, text_chunks, written
+from .common import WordHasher, mixed, spread, table, text_chunks, written
 
 #: Labelled rows of each label that the fit reads, on average: a documented bound, drawn by a hash of the row's id.
 EXAMPLES = 4000
@@ -36,6 +36,8 @@ BEGINNINGS, SHINGLE = (4, 5, 6), 5
 #: A term takes part if its presence among label 1 exceeds that among label 0 by this many standard errors.
 LEAST_Z = 6.0
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks whose postings are summed at once.
+AT_ONCE = 16
 #: The weight of the base rate in a vote, and what keeps the weight of an equal vector finite.
 BASE, NEAR = 0.5, 0.05
 TOXIC = 0.7
@@ -93,20 +95,24 @@ class BlockMaxIndex:
         """(example, cosine) of the k greatest cosines above 0, ties to the smaller example."""
         bound = weights @ self.most[terms_]
         found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
+        order = np.argsort(-bound, kind="stable")
+        for i in range(0, len(order), AT_ONCE):
             # sums of floats may differ in their last bits, so blocks within such a difference are visited too
-            if bound[block] <= 0 or (len(found) == k and bound[block] < cosine[-1] - 1e-9):
+            least = cosine[-1] - 1e-9 if len(found) == k else 0.0
+            blocks = order[i : i + AT_ONCE]
+            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least)]
+            if not len(blocks):
                 break
-            own = np.zeros(BLOCK)
-            for t, w in zip(terms_, weights, strict=True):
-                part = slice(self.starts[t, block], self.starts[t, block + 1])
-                own[self.example[part] - block * BLOCK] += w * self.weight[part]
-            own = np.round(own, 12)
+            begin = self.starts[terms_[:, None], blocks]
+            size = (self.starts[terms_[:, None], blocks + 1] - begin).ravel()
+            at = spread(begin.ravel(), size)
+            place = self.example[at] + np.repeat(np.tile((np.arange(len(blocks)) - blocks) * BLOCK, len(terms_)), size)
+            own = np.round(np.bincount(place, weights=np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at], minlength=len(blocks) * BLOCK), 12)
             hit = np.flatnonzero(own)
-            hit = hit[hit + block * BLOCK != without]
-            found, cosine = np.append(found, hit + block * BLOCK), np.append(cosine, own[hit])
-            order = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[order], cosine[order]
+            number = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+            found, cosine = np.append(found, number[number != without]), np.append(cosine, own[hit[number != without]])
+            best = np.lexsort((found, -cosine))[:k]
+            found, cosine = found[best], cosine[best]
         return found, cosine
 
 
@@ -293,7 +299,8 @@ def calibrated(judge: Judge, vectors: DataFrame) -> Judge:
             votes = [shared.value.vote(np.array(r["place"]), np.array(r["times"]), r["example"])[0] for r in rows]
             yield pa.record_batch([pa.array([r["label"] for r in rows], pa.int32()), pa.array(votes, pa.float64())], names=["label", "vote"])
 
-    got = vectors.where(F.size("place") > 0).mapInArrow(run, "label int, vote double").toArrow()  # bounded rows
+    dealt = vectors.where(F.size("place") > 0).repartition(vectors.sparkSession.sparkContext.defaultParallelism)
+    got = dealt.mapInArrow(run, "label int, vote double").toArrow()  # bounded rows
     label, votes = got.column(0).to_numpy().astype(np.int64), np.round(got.column(1).to_numpy(), 6)
     if len(np.unique(label)) == 2:
         judge.votes, judge.scores = isotonic(votes, label.astype(float), judge.label_weight[label])
