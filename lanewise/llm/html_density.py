@@ -13,13 +13,14 @@ A node's density sum is the sum of its children's densities (its own text counts
 subtree with the largest sum is the core of the text. The highest article or main around it (or, without
 one, the highest element) that isn't mostly links is the container, and all of its text counts, headings,
 short sections and bare text too. Only blocks off the core's path that are lists of links (three at least,
-of over half the characters) leave a container that is no article or main. The smallest density on the path from
+of over half the characters, and no paragraph with text beside its links) leave a container that is no article or main. The smallest density on the path from
 the core up to the body is the threshold for what lies outside of the container: every highest subtree off
 the path, and every bare text, that reaches it counts as text too, subtrees if they aren't mostly links. The
 text is returned block by block in page order.
 
 Defined results: null and empty pages, and pages without any text, give an empty string. Open
-elements end as their parents end; text outside of any element belongs to the body. Pages of any length
+elements end as their parents end; text outside of any element belongs to the body. A head ends where text or an element
+begins that can't stand in one. Elements are opened and closed in time linear in the page, however deep they are. Pages of any length
 count whole, repeated rows one each; empty tables give no rows; columns other than the named ones are ignored.
 """
 
@@ -39,6 +40,7 @@ from .common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("script style head title noscript template iframe object embed svg canvas nav header footer aside form button select textarea dialog menu noembed noframes".split())
+HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLING_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -57,7 +59,7 @@ LINK_LIST = 3
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "named", "parent", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "named", "parent", "prose", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, named: float = 0) -> None:
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
@@ -120,29 +122,57 @@ def _without_named(body: Node) -> Node:
     return body
 
 
+class _Open:
+    """The open elements from the body down, and for each name the depths at which it is open."""
+
+    def __init__(self, body: Node) -> None:
+        self.path, self.depths = [body], {"body": [0]}
+
+    def push(self, x: Node) -> None:
+        self.depths.setdefault(x.tag, []).append(len(self.path))
+        self.path.append(x)
+
+    def close(self, tag: str, fence: frozenset | set = frozenset()) -> None:
+        """Ends the innermost open `tag` and all within it, unless a fence is open within it."""
+        depth = self.depths.get(tag)
+        if not depth or any(inner[-1] > depth[-1] for f in fence if (inner := self.depths.get(f))):
+            return
+        keep = depth[-1]
+        while len(self.path) > keep:
+            self.depths[self.path.pop().tag].pop()
+
+
 def parse(page: str) -> Node:
     """The body's tree, without boilerplate."""
     body = Node("body", None, False)
-    at, node, end = 0, body, len(page)
+    opened = _Open(body)
+    at, end = 0, len(page)
+
+    def text(part: str) -> None:
+        if opened.path[-1].tag == "head" and part.strip():
+            opened.close("head")
+        opened.path[-1].children.append(part)
+
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
-            node.children.append(page[at:])
+            text(page[at:])
             break
         if m.start() > at:
-            node.children.append(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         if tag := m["open"]:
             tag = tag.lower()
+            if tag == "body" or opened.path[-1].tag == "head" and tag not in HEAD:
+                opened.close("head")
             if tag in ("html", "body"):
                 continue
             if tag in ENDS_P:
-                node = _close(node, "p", {"table", "td", "th", "button", "article", "section", "div", "blockquote"})
+                opened.close("p", {"table", "td", "th", "button", "article", "section", "div", "blockquote"})
             if tag in SIBLING_END:
                 for name in sorted(SIBLING_END[tag]):
-                    node = _close(node, name, SCOPE[tag])
-            if tag == "body" or (tag in ("article", "main", "section", "div", "p", "nav", "header") and node.tag == "head"):
-                node = node.parent or body
+                    opened.close(name, SCOPE[tag])
+            node = opened.path[-1]
             child = Node(tag, node, node.dropped or _boilerplate(tag, m["rest"]), _named(m["rest"]) if m["rest"] and "=" in m["rest"] else 0)
             if tag in VOID:
                 if tag in ("br", "hr", "wbr") or not child.dropped:
@@ -156,28 +186,16 @@ def parse(page: str) -> Node:
             else:
                 if not child.dropped:
                     node.children.append(child)
-                node = child
+                opened.push(child)
         elif tag := m["close"]:
             tag = tag.lower()
             if tag not in ("html", "body"):
-                node = _close(node, tag, frozenset())
+                opened.close(tag)
         elif m["cdata"]:
-            node.children.append(m["cdata"])
+            text(m["cdata"])
     return _without_named(body)
 
 
-def _close(node: Node, tag: str, fence: frozenset | set) -> Node:
-    """The parent of the nearest open `tag`; node itself if there is none before a fence."""
-    up = node
-    while up.parent is not None:
-        if up.tag == tag:
-            return up.parent
-        if up.tag in fence:
-            return node
-        up = up.parent
-    return node
-
-
 def _measure(body: Node) -> list[Node]:
     """Counts characters and tags of all nodes; returns them, children before parents."""
     order, stack = [], [body]
@@ -187,7 +205,7 @@ def _measure(body: Node) -> list[Node]:
         stack += [c for c in x.children if not isinstance(c, str)]
     order.reverse()
     for x in order:
-        x.chars = x.link_chars = x.tags = x.link_tags = 0
+        x.chars = x.link_chars = x.tags = x.link_tags = x.prose = 0
         for c in x.children:
             if isinstance(c, str):
                 x.chars += len(c.strip())
@@ -196,8 +214,11 @@ def _measure(body: Node) -> list[Node]:
                 x.tags += c.tags + 1
                 x.link_chars += c.link_chars
                 x.link_tags += c.link_tags + (c.tag == "a")
+                x.prose += c.prose
         if x.tag == "a":
             x.link_chars = x.chars
+        elif x.tag == "p":
+            x.prose = x.chars - x.link_chars
     share = body.link_chars / max(body.chars, 1)
     for x in order:
         x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, share)
@@ -223,7 +244,7 @@ def _container(path: list[Node]) -> Node:
 
 
 def _link_list(x: Node) -> bool:
-    return x.tag in BLOCKS and x.link_tags >= LINK_LIST and x.link_chars > LINK_SHARE * x.chars
+    return x.tag in BLOCKS and x.link_tags >= LINK_LIST and x.link_chars > LINK_SHARE * x.chars and not x.prose
 
 
 def chosen(body: Node) -> list[Node | str]:
