@@ -9,10 +9,12 @@ from ..schemas import Tables
 from ..storage import written
 from .match import endpoints
 from .pair import renumbered
-from .scan import BUCKET, next_value
+from .scan import bounds_of, next_value
 
-#: Exclusion points up to which they are sent to every task; beyond, they are found by shuffles.
-BROADCAST_POINTS = 5_000
+#: Exclusion points up to which they are sent to every task and compared with each pair; beyond, pairs look for their next point.
+BROADCAST_POINTS = 500
+#: Points a bucket of cycles holds, so that a block that most points fall into is many tasks.
+POINTS = 1 << 18
 KEY = ["trace", "s_row_idx", "s_stage"]
 
 
@@ -38,18 +40,12 @@ def exclude_between(pairs: DataFrame, tables: Tables, phase: Phase, scope: str =
     return renumbered(pairs.join(hit, KEY, "left_anti"))
 
 
-def _width(points: DataFrame) -> int:
-    """Cycles of a bucket so that points fill buckets about evenly, at BUCKET rows each."""
-    low, high, n = points.agg(F.min("p_cycle"), F.max("p_cycle"), F.count("*")).first()
-    return 1 if not n else max(1, (high - low) * BUCKET // n)
-
-
 def _hit_any(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Keys of pairs whose cycles enclose a point: the next point after the lower cycle is below the higher one."""
     low, high = F.least("s_cycle", "t_cycle"), F.greatest("s_cycle", "t_cycle")
     asked = pairs.select(*KEY, low.alias("at"), high.alias("high"), F.lit(None).cast("long").alias("point"))
     given = points.select("trace", F.lit(None).cast("long").alias("s_row_idx"), F.lit(None).cast("int").alias("s_stage"), F.col("p_cycle").alias("at"), F.lit(None).cast("long").alias("high"), F.col("p_cycle").alias("point")).distinct()
-    after = next_value(asked.unionByName(given), ["trace"], "at", F.col("point"), "next", _width(points))
+    after = next_value(asked.unionByName(given), ["trace"], "at", F.col("point"), "next", bounds_of(points, "p_cycle", POINTS))
     return after.where("high is not null and next < high").select(*KEY)
 
 
@@ -57,8 +53,8 @@ def _hit_rows(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Keys of pairs that enclose a point by rows and cycles.
 
     A pair's open row interval is the union of at most two power-of-two blocks a level; each point
-    is in one block a level. In a block, only cycles are left to compare. Levels end at the longest
-    row distance of the pairs.
+    is in one block a level. In a block, only cycles are left to compare: the pair is hit if the next point
+    after its lower cycle comes before its higher one. Levels end at the longest row distance of the pairs.
     """
     first, last = F.least("s_row_idx", "t_row_idx") + 1, F.greatest("s_row_idx", "t_row_idx") - 1
     spans = pairs.select(*KEY, first.alias("first"), (last + 1).alias("stop"), F.least("s_cycle", "t_cycle").alias("at"), F.greatest("s_cycle", "t_cycle").alias("high")).where("first < stop")
@@ -74,5 +70,5 @@ def _hit_rows(pairs: DataFrame, points: DataFrame) -> DataFrame:
     asked = nodes.select(*KEY, "at", "high", F.lit(None).cast("long").alias("point"), "n.level", "n.block")
     own = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("p_row", k).alias("block")) for k in levels])).alias("n")
     given = points.select("trace", "p_cycle", own).select("trace", F.lit(None).cast("long").alias("s_row_idx"), F.lit(None).cast("int").alias("s_stage"), F.col("p_cycle").alias("at"), F.lit(None).cast("long").alias("high"), F.col("p_cycle").alias("point"), "n.level", "n.block")
-    after = next_value(asked.unionByName(given), ["trace", "level", "block"], "at", F.col("point"), "next", _width(points))
+    after = next_value(asked.unionByName(given), ["trace", "level", "block"], "at", F.col("point"), "next", bounds_of(points, "p_cycle", POINTS))
     return after.where("high is not null and next < high").select(*KEY).distinct()

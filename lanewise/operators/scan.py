@@ -39,14 +39,37 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
     return inside.join(bases, [*keys, "_bucket"]).withColumn(name, F.col("_at") + F.col("_base")).drop("_bucket", "_value", "_at", "_base")
 
 
-def next_value(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: Column | int) -> DataFrame:
-    """df with `name`: the least non-null value among rows strictly later in order. width: order units a bucket."""
-    cut = df.withColumn("_bucket", F.floor(F.col(order).cast("decimal(38,0)") / F.lit(width)).cast("long")).withColumn("_value", value)
-    own = Window.partitionBy(*keys, "_bucket").orderBy(order).rangeBetween(1, Window.unboundedFollowing)
+def cut_by(column: Column, bounds: list[int]) -> Column:
+    """How many of the rising bounds are at most the column's value, by halving."""
+    if not bounds:
+        return F.lit(0)
+    k = len(bounds) // 2
+    return F.when(column < bounds[k], cut_by(column, bounds[:k])).otherwise(cut_by(column, bounds[k + 1 :]) + (k + 1))
+
+
+def bounds_of(df: DataFrame, column: str, size: int, most: int = 256) -> list[int]:
+    """Values that cut df's rows into parts of about `size` rows, or of more if that were over `most` parts."""
+    parts = min(most, -(-df.count() // size))
+    if parts < 2:
+        return []
+    found = df.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10_000)).first()[0]
+    return sorted({int(x) for x in found})
+
+
+def next_value(df: DataFrame, keys: list[str], order: str, value: Column, name: str, bounds: list[int]) -> DataFrame:
+    """df with `name`: the least non-null value among rows strictly later in order.
+
+    Rows of a key are cut into buckets at bounds (of bounds_of). A bucket is read from its end with a running least
+    value, which costs one step a row; the least values of later buckets are carried in from one row each.
+    """
+    cut = df.withColumn("_bucket", cut_by(F.col(order), bounds)).withColumn("_value", value)
+    own = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
     inside = cut.withColumn("_at", F.min("_value").over(own))
+    if not bounds:
+        return inside.withColumnRenamed("_at", name).drop("_bucket", "_value")
     totals = cut.groupBy(*keys, "_bucket").agg(F.min("_value").alias("_n"))
-    after = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    bases = totals.withColumn("_base", F.min("_n").over(after)).drop("_n")
+    later = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("_base", F.min("_n").over(later)).drop("_n")
     return inside.join(bases, [*keys, "_bucket"]).withColumn(name, F.least("_at", "_base")).drop("_bucket", "_value", "_at", "_base")
 
 

@@ -50,6 +50,7 @@ def pairs(skip: int = 0, where: str = "true", head: str = "WITH", tail: str = "S
 INSIDE = "x.start_cycle > least(s_cycle, t_cycle) AND x.start_cycle < greatest(s_cycle, t_cycle)"
 BETWEEN = " AND x.row_idx > least(s_row_idx, t_row_idx) AND x.row_idx < greatest(s_row_idx, t_row_idx)"
 NO_NEW = f"NOT EXISTS (SELECT 1 FROM ev x WHERE x.name = 'signup' AND x.tid < 3 AND {INSIDE}"
+NO_LONG = f"NOT EXISTS (SELECT 1 FROM st x, info WHERE x.name = 'A' AND coalesce(x.end_cycle, last_cycle + 1) - x.start_cycle >= 45 AND {INSIDE}"
 BOX = "SELECT hit_idx, least(s_cycle, t_cycle) AS cycle_start, greatest(s_cycle, t_cycle) AS cycle_end, {a} AS row_start, {b} AS row_end FROM pr, info"
 LONG = hits("st", "lower(name) = 'r' AND coalesce(end_cycle, last_cycle + 1) - start_cycle >= 30")
 #: The log of the events: each event at its time, its end one cycle later, a producer before it.
@@ -136,6 +137,8 @@ def oracle_sql() -> dict[str, str]:
         "exclude_all_shuffled": pairs(where=f"{NO_NEW})"),
         "exclude_rows_everyone": pairs(where=f"{everyone}{BETWEEN})"),
         "exclude_all_everyone": pairs(where=f"{everyone})"),
+        "exclude_rows_lines": line_pairs(where=f"{NO_LONG}{BETWEEN})"),
+        "exclude_all_lines": line_pairs(where=f"{NO_LONG})"),
         "elapsed_desc": order.format(LONG, "DESC"),
         "elapsed_asc": order.format(LONG, "ASC"),
         "top_elapsed": pairs(tail="SELECT s_op_id, t_op_id, s_row_idx, t_row_idx, s_cycle, t_cycle, elapsed, hit_idx FROM pr ORDER BY elapsed DESC, hit_idx LIMIT 20"),

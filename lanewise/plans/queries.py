@@ -59,6 +59,17 @@ def excluded(scope: str, few: int = 5_000, points: Phase = NEW_USER) -> Callable
     return run
 
 
+def excluded_lines(scope: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Returned lines' ends to new lines without a long accepted line in between: rows are not in the order of cycles here, so the scopes differ."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = orders_trace(spark, d)
+        pairs = pair_phases(t, Phase("R", at="end"), Phase("N"))
+        return exclude_between(pairs, t, Phase("A", where=(("duration", ">=", 45),)), scope, 0).select(*PAIR, "s_stage", "t_stage")
+
+    return run
+
+
 def elapsed_hits(spark: SparkSession, d: str) -> DataFrame:
     return match_phases(orders_trace(spark, d), Phase("R", where=(("duration", ">=", 30),)))
 
@@ -222,6 +233,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exclude_all_shuffled": excluded("all", 0),
         "exclude_rows_everyone": excluded("rows", points=Phase("signup")),
         "exclude_all_everyone": excluded("all", points=Phase("signup")),
+        "exclude_rows_lines": excluded_lines("rows"),
+        "exclude_all_lines": excluded_lines("all"),
         "elapsed_desc": lambda s, d: ranked_elapsed(elapsed_hits(s, d)).select("sort_idx", "hit_idx", "op_id", "elapsed"),
         "elapsed_asc": lambda s, d: ranked_elapsed(elapsed_hits(s, d), False).select("sort_idx", "hit_idx", "op_id", "elapsed"),
         "top_elapsed": lambda s, d: top_elapsed(errors_to_purchases(s, d), 20).select(*PAIR),

@@ -1,6 +1,7 @@
 """Matching, pairing, exclusion and views on small tables against the sequential model."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +9,10 @@ from pyspark.sql import functions as F
 from lanewise.functions.patterns import lines, user_regex, wildcard
 from lanewise.functions.predicates import Phase
 from lanewise.operators.details import to_json_rows
-from lanewise.operators.exclude import exclude_between
+from lanewise.operators.exclude import _hit_any, _hit_rows, exclude_between
 from lanewise.operators.match import match_phases, query_stats, skipped
 from lanewise.operators.pair import pair_phases
-from lanewise.operators.scan import next_value, numbered, running_sum
+from lanewise.operators.scan import bounds_of, next_value, numbered, running_sum
 from lanewise.operators.views import area_bounds, hit_bounds, hits_in_window, page, rows, sort_elapsed, sorted_page
 from lanewise.schemas import OPS, STAGES, Tables
 
@@ -37,9 +38,10 @@ def test_scans_match_a_plain_window(spark):
     for r in running_sum(df, ["k"], "at", F.col("v"), "total", size=64).collect():
         got.setdefault((r.k, r.at), set()).add(r.total)
     assert all(v == {sum(x for k, a, x in data if k == key and a <= at)} for (key, at), v in got.items())
-    nexts = next_value(df, ["k"], "at", F.when(F.col("v") > 6, F.col("at")), "later", 100).collect()
-    for r in nexts:
-        assert r.later == min((a for k, a, v in data if k == r.k and a > r.at and v > 6), default=None)
+    assert bounds_of(df, "at", 10_000) == [] and 6 <= len(cuts := bounds_of(df, "at", 100)) <= 8
+    for bounds in ([], cuts, [0]):
+        for r in next_value(df, ["k"], "at", F.when(F.col("v") > 6, F.col("at")), "later", bounds).collect():
+            assert r.later == min((a for k, a, v in data if k == r.k and a > r.at and v > 6), default=None)
     one = numbered(spark.createDataFrame([(a,) for a in set(x[1] for x in data)], "at long").withColumn("k", F.lit(1)), ["k"], ["at"], "n", size=64)
     assert [r.n for r in one.orderBy("at").collect()] == list(range(one.count()))
 
@@ -138,3 +140,23 @@ def test_hundred_threads(spark):
     t = tables_of(spark, ops, [(i, 0, "P", i, i + 1) for i in range(300)])
     got = pair_phases(t, Phase("P", at="end"), Phase("P"), skip=1).collect()
     assert len(got) == 100 and all(r.t_op_id == r.s_op_id + 200 and r.elapsed == 199 for r in got)
+
+
+def test_exclusion_of_many_points(spark):
+    """Every row has points and pairs, cycles are skewed and row order isn't cycle order; held against the model on some pairs."""
+    rng = random.Random(8)
+    n = 30_000
+    cycle = [rng.randrange(50) if rng.random() < 0.5 else rng.randrange(10**9) for _ in range(n)]
+    points = spark.createDataFrame([("t", i, c) for i, c in enumerate(cycle)], "trace string, p_row long, p_cycle long")
+    pairs = []
+    for i in range(n):
+        a, b = rng.randrange(10**9), rng.randrange(60)
+        pairs.append(("t", i, 0, i + rng.choice((0, 1, 3, -2, 500, n)), *((a, a + rng.randrange(10**7)) if rng.random() < 0.7 else (b, b + rng.randrange(4)))))
+    df = spark.createDataFrame(pairs, "trace string, s_row_idx long, s_stage int, t_row_idx long, s_cycle long, t_cycle long")
+    began = time.time()
+    got = {r.s_row_idx for r in _hit_rows(df, points).collect()}, {r.s_row_idx for r in _hit_any(df, points).collect()}
+    assert time.time() - began < 120
+    for p in rng.sample(pairs, 400):
+        pair = ((0, p[1], 0, p[4]), (0, p[3], 0, p[5]))
+        for k, rows_ in enumerate((True, False)):
+            assert (p[1] in got[k]) == model.enclosed(pair, enumerate(cycle), rows_)
