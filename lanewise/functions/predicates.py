@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -18,10 +19,8 @@ LIMIT, LABEL_LIMIT = 1 << 64, 80
 def compare(column: Column, op: str, value: int) -> Column:
     if op not in COMPARISONS:
         raise ValueError(f"unknown comparison {op!r}")
-    if abs(value) >= 1 << 63:  # beyond a long: the answer is the same for each value
-        above = value > 0
-        holds = {"=": False, "!=": True, "<": above, "<=": above, ">": not above, ">=": not above}[op]
-        return column.isNotNull() & F.lit(holds)
+    if abs(value) >= 1 << 63:  # a decimal, of 38 digits at most: no column has more
+        value = Decimal(max(-(10**37), min(value, 10**37)))
     return getattr(column, COMPARISONS[op])(F.lit(value))
 
 
@@ -34,6 +33,11 @@ def boundary_cycle(at: str) -> Column:
     return F.col("end_cycle") if at == "end" else F.col("start_cycle")
 
 
+def after_last() -> Column:
+    """The end shown of what hasn't ended: the cycle after the trace's last one, or that one if there is none beyond."""
+    return F.coalesce(F.try_add(F.col("last_cycle"), F.lit(1)), F.col("last_cycle"))
+
+
 @dataclass(frozen=True)
 class Phase:
     """Conditions on a stage occurrence, all of which must hold; text is compared without case.
@@ -104,7 +108,7 @@ class Phase:
         if field == "cycle":
             return boundary_cycle(self.at)
         if field == "duration":
-            return F.greatest(F.coalesce(F.col("end_cycle"), F.col("last_cycle") + 1) - F.col("start_cycle"), F.lit(0))
+            return F.greatest(F.coalesce(F.col("end_cycle"), after_last()) - F.col("start_cycle"), F.lit(0))
         return F.col(NUMBERS[field])
 
     def needs_text(self) -> bool:

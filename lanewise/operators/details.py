@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.predicates import after_last
 from ..schemas import Tables
 
 #: Columns whose 64-bit values are written as text, so that JSON readers keep them exact.
@@ -17,7 +18,7 @@ def status_col() -> Column:
 def stage_elapsed(tables: Tables) -> DataFrame:
     """Stages with shown_end (the last cycle + 1 if not known) and elapsed, not below 0."""
     s = tables.stages.join(tables.traces.select("trace", "last_cycle"), "trace")
-    end = F.coalesce("end_cycle", F.col("last_cycle") + 1)
+    end = F.coalesce(F.col("end_cycle"), after_last())
     return s.withColumn("shown_end", end).withColumn("elapsed", F.greatest(end - F.col("start_cycle"), F.lit(0))).drop("last_cycle")
 
 

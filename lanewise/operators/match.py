@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.patterns import first_line
-from ..functions.predicates import Phase, boundary_cycle
+from ..functions.predicates import Phase, after_last, boundary_cycle
 from ..schemas import Tables
 from .scan import numbered
 
@@ -42,7 +42,7 @@ def excerpts(df: DataFrame) -> DataFrame:
 
 def match_phases(tables: Tables, phase: Phase) -> DataFrame:
     """Every matching occurrence: hit_idx (order of row and stage), its place, cycle, elapsed and excerpts."""
-    found = endpoints(tables, phase).withColumn("elapsed", F.coalesce("end_cycle", F.col("last_cycle") + 1) - F.col("start_cycle"))
+    found = endpoints(tables, phase).withColumn("elapsed", F.coalesce(F.col("end_cycle"), after_last()) - F.col("start_cycle"))
     kept = excerpts(found).select("trace", "op_id", "row_idx", "tid", "stage", "lane", "lane_index", "lane_count", "name", "start_cycle", "end_cycle", "open", "cycle", "elapsed", "instr_text", "phase_text", "lane_text", "meta_text")
     return numbered(kept, ["trace"], ["row_idx", "stage"], "hit_idx")
 

@@ -30,7 +30,7 @@ def overview(tables: Tables, width: int = MAX_WIDTH, height: int = MAX_HEIGHT) -
     info = tables.traces.select("trace", F.col("count").alias("n"), F.col("first_cycle").alias("c0"), F.col("last_cycle").alias("c1"))
     h = F.greatest(F.least(F.lit(min(height, MAX_HEIGHT)), F.col("n")), F.lit(1))
     s = tables.stages.join(F.broadcast(info), "trace").join(names, ["trace", "name"]).join(tables.ops.select("trace", "op_id", "flushed"), ["trace", "op_id"])
-    last = F.greatest(F.coalesce("end_cycle", F.col("c1") + 1) - 1, F.col("start_cycle"))
+    last = F.greatest(F.coalesce(F.col("end_cycle") - 1, F.col("c1")), F.col("start_cycle"))
     first_x, last_x = column(F.col("start_cycle"), w), column(last, w)
     cells = s.select(
         "trace", "row_idx", "stage", "flushed", (1 + F.pmod("symbol_id", F.lit(COLORS))).cast("int").alias("color"),

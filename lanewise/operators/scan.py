@@ -8,6 +8,8 @@ so a task that runs again finds the same ones.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import written
@@ -44,7 +46,8 @@ def cut_by(column: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     k = len(bounds) // 2
-    return F.when(column < bounds[k], cut_by(column, bounds[:k])).otherwise(cut_by(column, bounds[k + 1 :]) + (k + 1))
+    bound = bounds[k] if bounds[k] < 1 << 63 else Decimal(bounds[k])
+    return F.when(column < bound, cut_by(column, bounds[:k])).otherwise(cut_by(column, bounds[k + 1 :]) + (k + 1))
 
 
 def bounds_of(df: DataFrame, column: str, size: int, most: int = 256) -> list[int]:
@@ -73,6 +76,34 @@ def next_value(df: DataFrame, keys: list[str], order: str, value: Column, name:
     return inside.join(bases, [*keys, "_bucket"]).withColumn(name, F.least("_at", "_base")).drop("_bucket", "_value", "_at", "_base")
 
 
+def numbered_by_ranges(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """numbered for order columns of any kind and spread, which should tell a key's rows apart.
+
+    A distributed sort by keys and order cuts the rows into ranges and is written once; the rows of each range and
+    key are counted, a row each, and every key's counts are carried from range to range.
+    """
+    placed = written(df.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    bases = bases.select("_part", *keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return placed.join(bases, ["_part", *keys]).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_part", "_base")
+
+
+def is_dense(df: DataFrame, column: str, size: int = BUCKET) -> bool:
+    """Whether a whole-number column's values fill the buckets that numbered would cut them into: one row in 1024 at most per bucket."""
+    if df.schema[column].dataType.simpleString().startswith("decimal"):
+        return False
+    low, high, n = df.agg(F.min(column), F.max(column), F.count("*")).first()
+    return not n or (high - low) // size <= n // 1024
+
+
+def with_rows(ops: DataFrame, dense: bool | None = None) -> DataFrame:
+    """ops with row_idx: each operation's place in its trace by op_id. Ids that are far apart, such as hashes, are numbered by sorted ranges."""
+    if dense is None:
+        dense = is_dense(ops, "op_id")
+    return numbered(ops, ["trace"], ["op_id"], "row_idx") if dense else numbered_by_ranges(ops, ["trace"], ["op_id"], "row_idx")
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with `name`: each row's position (from 0) in an order of any columns, which should tell all rows apart.
 

@@ -67,9 +67,15 @@ c AS (SELECT *, before + greatest(max(v - before) OVER (ORDER BY k), 0) AS c FRO
 info AS (SELECT max(c + 3 * n) AS last_cycle FROM c),
 op AS (SELECT c.*, CASE WHEN is_open THEN last_cycle + 1 ELSE c + 3 * n END AS op_end FROM c, info),
 li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS i FROM lineitem),
-st AS (SELECT k, row_idx, i, l_linestatus AS lane, l_returnflag AS name, l_partkey, l_suppkey, l_linenumber, c + 3 * i AS start_cycle, 'part=' || l_partkey || chr(10) || 'line' || chr(10) || 'number=' || l_linenumber AS labels,
+st AS (SELECT k, row_idx, i, l_linestatus AS lane, l_returnflag AS name, l_partkey, l_suppkey, l_linenumber, c + 3 * i AS start_cycle, 'part=' || l_partkey || chr(10) || 'line' || chr(10) || CASE WHEN l_partkey % 17 = 0 THEN chr(10) ELSE '' END || 'number=' || l_linenumber AS labels,
          CASE WHEN l_quantity < 10 THEN c + 3 * i + 3 WHEN l_quantity < 25 THEN c + 3 * i + 1 ELSE coalesce(c + 3 * lead(i) OVER (PARTITION BY k, l_linestatus ORDER BY i), op_end) END AS end_cycle
        FROM li JOIN op ON k = l_orderkey)"""
+#: The log with numbers from 2**63 on: one stage an order, each adds 3 to the clock.
+WIDE_LOG = """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS name, o_custkey, 9223372036854775808::HUGEINT + o_orderkey AS id, 9223372036854775808::HUGEINT + datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 10 AS v,
+         row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders),
+c AS (SELECT *, 3 * row_idx + greatest(max(v - 3 * row_idx) OVER (ORDER BY k), 0) AS c FROM o),
+info AS (SELECT max(c) + 3 AS last_cycle, min(c) AS c0, count(*) AS n FROM c),
+op AS (SELECT c.*, k % 3 <> 0 AS retired, CASE WHEN k % 3 <> 0 THEN c + 3 ELSE last_cycle + 1 END AS op_end, CASE WHEN k % 3 <> 0 OR name <> 'O' THEN c + 3 ELSE last_cycle + 1 END AS end_cycle FROM c, info)"""
 NAMES = """sy0 AS (SELECT name, min(p) AS p FROM (SELECT lane AS name, (row_idx * 1000 + i) * 2 AS p FROM st UNION ALL SELECT name, (row_idx * 1000 + i) * 2 + 1 FROM st) GROUP BY name),
 sy AS (SELECT name, row_number() OVER (ORDER BY p) - 1 AS symbol_id FROM sy0)"""
 REFUSED = "refused AS ({})".format(
@@ -78,7 +84,7 @@ REFUSED = "refused AS ({})".format(
         for reason, view, where in (
             ("backwards", "op", "v < c"), ("unknown_operation", "op", "k % 5 = 0"), ("unknown_command", "op", "k % 6 = 0"), ("unknown_label_kind", "op", "k % 7 = 0"), ("redefined", "op", "k % 9 = 0"),
             ("label_without_stage", "op", "k % 10 = 0"), ("unknown_lane", "st", "l_partkey % 11 = 0"), ("missing_stage", "st", "l_partkey % 13 = 0"), ("future_producer", "st", "l_suppkey > k"),
-            ("after_retirement", "op", "NOT is_open AND k % 8 = 0"), ("already_retired", "op", "NOT is_open AND k % 8 = 0"), ("invalid_status", "op", "is_open AND k % 8 = 0"), ("invalid_number", "op", "k % 12 = 0"),
+            ("after_retirement", "op", "NOT is_open AND k % 8 = 0"), ("already_retired", "op", "NOT is_open AND k % 8 = 0"), ("invalid_status", "op", "is_open AND k % 8 = 0"), ("invalid_number", "op", "k % 12 = 0"), ("out_of_range", "op", "k % 11 = 0"),
         )
     )
 )
@@ -212,6 +218,23 @@ def oracle_sql() -> dict[str, str]:
         "ingest_gzip_files": LOG + FILES,
         "ingest_bad_files": """WITH b AS (SELECT o_orderkey >> 9 AS b, count(*) AS n FROM orders GROUP BY 1)
             SELECT 'block-' || b AS trace, CASE b % 3 WHEN 0 THEN 'bad_header' WHEN 1 THEN 'not_utf8' ELSE 'read' END AS found, CASE b % 3 WHEN 2 THEN n ELSE 0 END AS n FROM b""",
+        "rows_of_hashed_ids": """WITH h AS (SELECT CAST(o_orderkey % 2 AS VARCHAR) AS trace, CAST((o_orderkey::HUGEINT * 6364136223846793005) % 9223372036854775783 AS BIGINT) AS op_id, o_orderkey AS gid FROM orders)
+            SELECT trace, op_id, gid, row_number() OVER (PARTITION BY trace ORDER BY op_id) - 1 AS row_idx FROM h""",
+        "wide_log_ops": f"{WIDE_LOG} SELECT CAST(id AS VARCHAR) AS op_id, CASE WHEN retired THEN CAST(id AS VARCHAR) END AS rid, CAST(k % 8 AS VARCHAR) AS tid, CAST(c AS VARCHAR) AS fetch_cycle, CAST(op_end AS VARCHAR) AS end_cycle, NOT retired AS incomplete, row_idx FROM op",
+        "wide_log_deps": f"{WIDE_LOG} SELECT CAST(id AS VARCHAR) AS op_id, CAST(id - 1 AS VARCHAR) AS producer, CAST(c + 3 AS VARCHAR) AS cycle FROM op WHERE k % 5 = 0",
+        "wide_log_matches": f"""{WIDE_LOG}, m AS (SELECT * FROM op WHERE id > 9223372036854775908::HUGEINT)
+            SELECT CAST(id AS VARCHAR) AS op_id, row_idx, CAST(c AS VARCHAR) AS cycle, CAST(end_cycle - c AS VARCHAR) AS elapsed, row_number() OVER (ORDER BY row_idx) - 1 AS hit_idx FROM m""",
+        "wide_log_pairs": f"""{WIDE_LOG}, src AS (SELECT id, row_idx, k % 8 AS tid, end_cycle AS cycle FROM op WHERE name = 'F'), tgt AS (SELECT id, row_idx, k % 8 AS tid, c AS cycle FROM op WHERE name = 'O'),
+            pr AS (SELECT src.id AS s_id, tgt.id AS t_id, src.row_idx, src.cycle AS s_cycle, tgt.cycle AS t_cycle FROM src ASOF JOIN tgt ON src.tid = tgt.tid AND src.row_idx < tgt.row_idx),
+            kept AS (SELECT * FROM pr WHERE NOT EXISTS (SELECT 1 FROM op x WHERE x.name = 'P' AND x.c > least(s_cycle, t_cycle) AND x.c < greatest(s_cycle, t_cycle)))
+            SELECT CAST(s_id AS VARCHAR) AS s_op_id, CAST(t_id AS VARCHAR) AS t_op_id, CAST(s_cycle AS VARCHAR) AS s_cycle, CAST(t_cycle AS VARCHAR) AS t_cycle, CAST(t_cycle - s_cycle AS VARCHAR) AS elapsed, row_number() OVER (ORDER BY row_idx) - 1 AS hit_idx FROM kept""",
+        "wide_log_json": f"{WIDE_LOG} SELECT '{{\"op_id\":\"' || id || '\",\"row_idx\":\"' || row_idx || '\"}}' AS json FROM op",
+        "wide_log_overview": f"""{WIDE_LOG}, f AS (SELECT name, min(k) AS p FROM (SELECT '0' AS name, min(k) * 2 AS k FROM op UNION ALL SELECT name, min(k) * 2 + 1 FROM op GROUP BY name) GROUP BY name),
+            sy AS (SELECT name, row_number() OVER (ORDER BY p) - 1 AS symbol_id FROM f), c0 AS (SELECT v AS first_cycle FROM op ORDER BY k LIMIT 1),
+            g AS (SELECT row_idx, 1 + symbol_id % 8 AS color, least(row_idx * least(n, 128) // n, least(n, 128) - 1) AS y, CAST(least(greatest(c - first_cycle, 0) * 64 // (last_cycle - first_cycle + 1), 63) AS BIGINT) AS a,
+                    CAST(least(greatest(greatest(end_cycle - 1, c) - first_cycle, 0) * 64 // (last_cycle - first_cycle + 1), 63) AS BIGINT) AS z FROM op JOIN sy USING (name), info, c0),
+            cells AS (SELECT y, unnest(generate_series(a, greatest(z, least(a + 2, 63)))) AS x, color, row_idx AS k FROM g)
+            SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(arg_max(color, k) AS BIGINT) AS color FROM cells GROUP BY y, x""",
         "order_log_ops": f"""{ORDER_LOG} SELECT k AS op_id, o_custkey AS gid, k % 8 AS tid, CASE WHEN NOT is_open THEN k END AS rid, c AS fetch_cycle, op_end AS end_cycle, flushed, is_open AS incomplete,
             replace(raw, '\\n', chr(10)) AS label, 'after' AS detail, row_idx FROM op""",
         "order_log_stages": f"""{ORDER_LOG}, l AS (SELECT k, lane, row_number() OVER (PARTITION BY k ORDER BY min(i)) - 1 AS lane_index FROM st GROUP BY k, lane)

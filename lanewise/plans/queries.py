@@ -12,9 +12,10 @@ from ..operators.exclude import exclude_between
 from ..operators.match import match_phases, query_stats, skipped
 from ..operators.overview import overview, suggest, symbols
 from ..operators.pair import pair_phases
+from ..operators.scan import with_rows
 from ..operators.search import search, snippets
 from ..operators.views import area_bounds, area_rows, hit, hit_bounds, hits_in_window, locate, page, ranked_elapsed, rows, sort_elapsed, sorted_page, top_elapsed, window_total
-from ..sources.adapters import conversations_trace, event_log, events_trace, order_log, orders_trace
+from ..sources.adapters import conversations_trace, event_log, events_trace, hashed_orders, order_log, orders_trace, wide_log
 from ..sources.ingest import ingest, ingest_lines, parse
 from ..sources.store import load, save
 from ..storage import shared_dir
@@ -182,6 +183,28 @@ def limited(spark: SparkSession, d: str):
     return parse(order_log(spark, d), max_op_bytes=28)
 
 
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """df with columns beyond 64 signed bits as text."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def wide_tables(spark: SparkSession, d: str):
+    return ingest_lines(wide_log(spark, d), wide=True)
+
+
+def wide_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """From finished to open orders of a thread, none that is partly done in between."""
+    t = wide_tables(spark, d)
+    kept = exclude_between(pair_phases(t, Phase("F", at="end"), Phase("O")), t, Phase("P"), "all", 0)
+    return as_text(kept.select("s_op_id", "t_op_id", "s_cycle", "t_cycle", "elapsed", "hit_idx"), "s_op_id", "t_op_id", "s_cycle", "t_cycle", "elapsed")
+
+
+def wide_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Stages of an order beyond 2**63 + 100, with their elapsed time."""
+    hits = match_phases(wide_tables(spark, d), Phase("*", where=(("op", ">", (1 << 63) + 100), ("cycle", ">=", 1 << 63))))
+    return as_text(hits.select("op_id", "row_idx", "cycle", "elapsed", "hit_idx"), "op_id", "cycle", "elapsed")
+
+
 def mixed_files(spark: SparkSession, d: str) -> DataFrame:
     """The log cut into traces of 512 orders, one third with a wrong version, one third with a line that isn't text."""
     body = order_log(spark, d).where("block > 0").withColumn("block", F.shiftright("pos", 33)).withColumn("trace", F.concat(F.lit("block-"), F.col("block").cast("string")))
@@ -294,6 +317,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_text_files": files_read(),
         "ingest_gzip_files": files_read(compression="gzip"),
         "ingest_bad_files": mixed_files,
+        "rows_of_hashed_ids": lambda s, d: with_rows(hashed_orders(s, d)).select("trace", "op_id", "gid", "row_idx"),
+        "wide_log_ops": lambda s, d: as_text(wide_tables(s, d).ops.select("op_id", "rid", "tid", "fetch_cycle", "end_cycle", "incomplete", "row_idx"), "op_id", "rid", "tid", "fetch_cycle", "end_cycle"),
+        "wide_log_deps": lambda s, d: as_text(wide_tables(s, d).deps.select("op_id", "producer", "cycle"), "op_id", "producer", "cycle"),
+        "wide_log_matches": wide_matches,
+        "wide_log_pairs": wide_pairs,
+        "wide_log_json": lambda s, d: to_json_rows(wide_tables(s, d).ops.select("op_id", "row_idx")),
+        "wide_log_overview": lambda s, d: overview(wide_tables(s, d), 64, 128).select("y", "x", F.col("color").cast("long").alias("color")),
         "order_log_ops": lambda s, d: order_tables(s, d).ops.select("op_id", "gid", "tid", "rid", "fetch_cycle", "end_cycle", "flushed", "incomplete", "label", "detail", "row_idx"),
         "order_log_stages": lambda s, d: order_tables(s, d).stages.select("op_id", F.col("stage").cast("long").alias("stage"), "name", "lane", F.col("lane_index").cast("long").alias("lane_index"), "start_cycle", "end_cycle", "labels"),
         "order_log_deps": lambda s, d: order_tables(s, d).deps.select("op_id", F.col("seq").cast("long").alias("seq"), "producer", "kind", "cycle"),

@@ -13,6 +13,14 @@ DEPS = "trace STRING, op_id BIGINT, seq INT, producer BIGINT, kind BIGINT, cycle
 SYMBOLS = "trace STRING, symbol_id INT, name STRING"
 TRACES = "trace STRING, count BIGINT, flushed BIGINT, first_cycle BIGINT, last_cycle BIGINT, warning_count BIGINT, warnings ARRAY<STRING>, symbols ARRAY<STRING>, bytes BIGINT, complete BOOLEAN"
 REJECTS = "trace STRING, line BIGINT, reason STRING, value STRING"
+#: Columns that are unsigned 64-bit numbers in tables of wide traces.
+WIDE_COLUMNS = frozenset("op_id gid tid rid fetch_cycle end_cycle start_cycle producer kind cycle first_cycle last_cycle".split())
+
+
+def of(name: str, wide: bool = False) -> str:
+    """A table's schema by its name."""
+    columns = [c.split(" ", 1) for c in globals()[name.upper()].split(", ")]
+    return ", ".join(f"{c} DECIMAL(20,0)" if wide and c in WIDE_COLUMNS else f"{c} {t}" for c, t in columns)
 
 
 @dataclass(frozen=True)

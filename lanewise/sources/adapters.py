@@ -5,6 +5,8 @@ Events and turns are numbered once and kept in the shared folder, as operators u
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.scan import numbered
@@ -122,7 +124,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     An order sets the clock (often backwards), is introduced with signs and white space in its numbers, has
     `\n` and tabs in its label, and retires unless it is open. Each of its lines opens a stage on a lane, has two labels,
     adds to the clock, ends (once or twice) if its quantity is small, and names its supplier as producer.
-    Between them stand blank, resource and refused lines of many kinds. Blocks are runs of 4096 order keys.
+    Between them stand blank, resource and refused lines of many kinds, labels without text, and additions beyond the greatest number. Blocks are runs of 4096 order keys.
     """
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     text = lambda *parts: F.concat_ws("\t", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -132,7 +134,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = [
         text("C=", (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")) * 10).cast("string")), text("I", k, F.concat(F.lit("+"), F.col("o_custkey").cast("string")), F.concat(F.lit(" "), F.pmod(key, F.lit(8)).cast("string"), F.lit(" "))),
         text("L", k, "0", F.concat(F.col("o_orderpriority"), F.lit("\\nclerk")), k), every(5, "L", (key + 10**12).cast("string"), "0", "nobody"), every(3, ""), every(4, "core=CPU:width=4"), every(6, "Q", "1"),
-        every(7, "L", k, "3", "x"), every(9, "I", k, "-1", "0"), every(10, "L", k, "2", "early"),
+        every(7, "L", k, "3", "x"), every(9, "I", k, "-1", "0"), every(10, "L", k, "2", "early"), every(11, "C", str((1 << 63) - 1)), every(13, "L", k, "0"),
     ]
     tail = [
         F.when(~is_open, text("R", k, k, F.when(F.col("o_orderstatus") == "F", "1").otherwise("0"))), text("L", k, "1", "after"), F.when(~is_open, every(8, "R", k, k, "0")), F.when(is_open, every(8, "R", k, k, "2")), every(12, "C", "-3"),
@@ -141,7 +143,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lk, few, part = F.col("l_orderkey").cast("string"), F.col("l_quantity"), F.col("l_partkey")
     ends = text("E", lk, F.col("l_linestatus"), F.col("l_returnflag"))
     own = [
-        text("S", lk, F.col("l_linestatus"), F.col("l_returnflag")), text("L", lk, "2", F.concat(F.lit("part="), part.cast("string"), F.lit("\\nline"))), text("L", lk, "2", F.concat(F.lit("number="), F.col("l_linenumber").cast("string"))),
+        text("S", lk, F.col("l_linestatus"), F.col("l_returnflag")), text("L", lk, "2", F.concat(F.lit("part="), part.cast("string"), F.lit("\\nline"))), F.when(F.pmod(part, F.lit(17)) == 0, text("L", lk, "2")), text("L", lk, "2", F.concat(F.lit("number="), F.col("l_linenumber").cast("string"))),
         text("C", "1"), F.when(few < 25, ends), text("C", " 2 "), F.when(few < 10, ends), F.when(F.pmod(part, F.lit(11)) == 0, text("E", lk, "nowhere", F.col("l_returnflag"))),
         text("W", lk, F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")), F.when(F.pmod(part, F.lit(13)) == 0, text("E", lk, F.col("l_linestatus"))),
     ]
@@ -151,3 +153,25 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.shiftleft("_id", 24).bitwiseOR(F.shiftleft(F.col("_i").cast("long"), 4)).bitwiseOR(F.col("_k").cast("long"))
     body = body.select(F.lit("orders").alias("trace"), (F.shiftright("_id", 12) + 1).cast("long").alias("block"), pos.alias("pos"), "value")
     return spark.createDataFrame([("orders", 0, 0, "Kanata\t0004")], "trace string, block long, pos long, value string").unionByName(body)
+
+
+def wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of the orders with identifiers and cycles from 2**63 on: each order is one stage, some of them end, some retire."""
+    o = table(spark, sf_dir, "orders")
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    high = lambda c: (c.cast("decimal(20,0)") + F.lit(Decimal(1 << 63))).cast("decimal(20,0)").cast("string")
+    text = lambda *parts: F.concat_ws("\t", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    i = high(key)
+    own = [
+        text("C=", high(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")) * 10)), text("I", i, F.col("o_custkey").cast("string"), F.pmod(key, F.lit(8)).cast("string")),
+        text("S", i, "0", status), text("C", "3"), F.when(status != "O", text("E", i, "0", status)), F.when(F.pmod(key, F.lit(3)) != 0, text("R", i, i, "0")), F.when(F.pmod(key, F.lit(5)) == 0, text("W", i, high(key - 1), "0")),
+    ]
+    body = o.select(F.lit("wide").alias("trace"), (F.shiftright(key, 12) + 1).cast("long").alias("block"), key.alias("_id"), F.posexplode(F.array(*own)).alias("_k", "value")).where("value is not null")
+    body = body.select("trace", "block", (F.col("_id") * 8 + F.col("_k")).alias("pos"), "value")
+    return spark.createDataFrame([("wide", 0, 0, "Kanata\t0004")], "trace string, block long, pos long, value string").unionByName(body)
+
+
+def hashed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as operations (without rows) whose ids are spread over 63 bits, as hashes are."""
+    spread = (F.col("o_orderkey").cast("decimal(20,0)") * F.lit(Decimal(6364136223846793005))) % F.lit(Decimal(9223372036854775783))
+    return table(spark, sf_dir, "orders").select(F.pmod("o_orderkey", F.lit(2)).cast("string").alias("trace"), spread.cast("long").alias("op_id"), F.col("o_orderkey").alias("gid"))

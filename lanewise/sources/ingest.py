@@ -9,11 +9,14 @@ Lines that are not understood are never lost: they are rows of `rejects` with a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from decimal import Decimal
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.patterns import unescaped
-from ..operators.scan import numbered
+from ..operators.scan import is_dense, numbered_by_ranges, with_rows
 from ..schemas import Tables
 from ..storage import written
 
@@ -24,6 +27,20 @@ COMMANDS = ("I", "L", "S", "E", "R", "W")
 OP = ["trace", "op_id"]
 
 
+@dataclass(frozen=True)
+class Numbers:
+    """The type of identifiers and cycles, and the greatest one."""
+
+    type: str
+    most: int
+
+    def lit(self, value: int) -> Column:
+        return F.lit(Decimal(value)).cast(self.type)
+
+
+LONG, WIDE = Numbers("bigint", (1 << 63) - 1), Numbers("decimal(20,0)", (1 << 64) - 1)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     r"""trace, block, pos, value of text files, plain or compressed by their name's ending (.gz, .zst, .zstd).
 
@@ -43,47 +60,118 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     return lines.withColumn("at", F.row_number().over(own)).join(bases, ["trace", "block"]).select("trace", "block", (F.col("at") + F.col("base")).alias("line"), "value")
 
 
-def number(text: Column) -> Column:
-    """A whole number: digits, a plus sign before them allowed, white space around; null for all else and from 2**63 on."""
-    return F.when(text.rlike(r"\A\s*\+?[0-9]+\s*\z"), F.trim(text).try_cast("bigint"))
+def _number(text: Column, kind: Numbers = LONG) -> Column:
+    """A whole number: digits, a plus sign before them allowed, white space around; null for all else and beyond the kind's greatest."""
+    found = F.trim(text).try_cast(kind.type)
+    if kind is WIDE:
+        found = F.when(found <= kind.lit(kind.most), found)
+    return F.when(text.rlike(r"\A\s*\+?[0-9]+\s*\z"), found)
 
 
-def too_large(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\A\s*\+?[0-9]+\s*\z"), F.lit(False)) & number(text).isNull()
+def _too_large(text: Column, kind: Numbers = LONG) -> Column:
+    return F.coalesce(text.rlike(r"\A\s*\+?[0-9]+\s*\z"), F.lit(False)) & _number(text, kind).isNull()
 
 
-def with_clock(lines: DataFrame) -> DataFrame:
-    """Lines with line, parts, cmd, set and cycle, the clock after the line. A trace's first line is its header.
+def with_clock(lines: DataFrame, kind: Numbers = LONG) -> DataFrame:
+    """Lines with line, parts, cmd, set, refused and cycle, the clock after the line. A trace's first line is its header.
 
     `C` adds, `C=` sets, never backwards. With D the sum of additions, the clock is
     D + max(0, max(set value - D)): inside a block both are running windows; a block as a whole maps
     a clock x to A + max(x, M), and those maps are carried across blocks the same way. Lines with their
     place in the block are written once; the blocks' totals, a row for each, are joined when they are read.
+    An addition beyond the greatest number does not count, so order matters where one occurs: only traces whose
+    clock would pass it are searched for refused additions, and placed again without these.
     """
-    arg = number(F.get(F.split("value", "\t", -1), 1))
-    cmd = F.get(F.split("value", "\t", -1), 0)
-    own = Window.partitionBy("trace", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = lines.withColumn("cmd", cmd).withColumn("add", F.when(F.col("cmd") == "C", arg)).withColumn("set", F.when(F.col("cmd") == "C=", arg))
-    inside = inside.withColumn("at", F.row_number().over(own)).withColumn("d", F.coalesce(F.sum("add").over(own), F.lit(0))).withColumn("m", F.max(F.col("set") - F.col("d")).over(own))
-    inside = written(inside.select("trace", "block", "at", "value", "cmd", "set", "d", "m"), "lines")
-    totals = inside.groupBy("trace", "block").agg(F.count("*").alias("n"), F.max("d").alias("a"), F.max("m").alias("most"))
+    arg = _number(F.get(F.split("value", "\t", -1), 1), kind)
+    given = lines.withColumn("cmd", F.get(F.split("value", "\t", -1), 0)).withColumn("add", F.when(F.col("cmd") == "C", arg)).withColumn("set", F.when(F.col("cmd") == "C=", arg))
+    given = given.withColumn("at", F.row_number().over(Window.partitionBy("trace", "block").orderBy("pos"))).withColumn("refused", F.lit(False))
+    inside = written(_placed(given), "lines")
+    over = _carried(inside).groupBy("trace").agg(F.max("final").alias("final"), F.bool_or("broken").alias("broken"))
+    over = over.where(F.col("broken") | (F.col("final") > F.lit(Decimal(kind.most)))).select("trace")
+    if not over.isEmpty():
+        own = inside.where("add is not null or set is not null").join(over, "trace", "left_semi").select("trace", "block", "at", "add", "set")
+        gone = refused_additions(written(own, "clock"), kind.most).withColumn("_gone", F.lit(True))
+        marked = inside.join(gone, ["trace", "block", "at"], "left").withColumn("refused", F.coalesce("_gone", F.lit(False)))
+        inside = written(_placed(marked), "lines")
+    x = F.col("x").cast(kind.type)
+    cycle = (F.col("d") + F.greatest(x, F.coalesce("m", x))).cast(kind.type)
+    return inside.join(_carried(inside).select("trace", "block", "base", "x"), ["trace", "block"]).select("trace", (F.col("at") + F.col("base")).alias("line"), "value", F.split("value", "\t", -1).alias("parts"), "cmd", "set", "refused", cycle.alias("cycle"))
+
+
+def _placed(given: DataFrame) -> DataFrame:
+    """Lines with d, the sum of their block's additions so far (null beyond its type), and m, the greatest set value less d."""
+    own = Window.partitionBy("trace", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = F.when(~F.col("refused"), F.col("add"))
+    d = F.when(F.count(counted).over(own) == 0, F.lit(0).cast(given.schema["add"].dataType)).otherwise(F.try_sum(counted).over(own))
+    return given.withColumn("d", d).withColumn("m", F.max(F.col("set") - F.col("d")).over(own)).select("trace", "block", "at", "value", "cmd", "add", "set", "refused", "d", "m")
+
+
+def _carried(inside: DataFrame) -> DataFrame:
+    """A row a block: base (lines before it), x (the clock before it), final (the clock after it), broken (its sums passed their type)."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    totals = inside.groupBy("trace", "block").agg(F.count("*").alias("n"), F.max(big("d")).alias("a"), F.max(big("m")).alias("most"), F.bool_or(F.col("d").isNull()).alias("broken"))
     before = Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("s", F.coalesce(F.sum("a").over(before), F.lit(0)))
-    carried = carried.withColumn("x", F.col("s") + F.greatest(F.lit(0), F.coalesce(F.max(F.col("most") - F.col("s")).over(before), F.lit(0)))).select("trace", "block", "base", "x")
-    cycle = F.col("d") + F.greatest(F.col("x"), F.coalesce("m", F.col("x")))
-    return inside.join(carried, ["trace", "block"]).select("trace", (F.col("at") + F.col("base")).alias("line"), "value", F.split("value", "\t", -1).alias("parts"), "cmd", "set", cycle.alias("cycle"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    carried = totals.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("s", F.coalesce(F.try_sum("a").over(before).cast("decimal(38,0)"), zero))
+    carried = carried.withColumn("x", F.col("s") + F.greatest(zero, F.coalesce(F.max(F.col("most") - F.col("s")).over(before), zero)))
+    return carried.withColumn("final", F.col("a") + F.greatest("x", F.coalesce("most", "x")))
 
 
-def any_bad(lines: DataFrame) -> bool:
-    """Whether some trace is unreadable, without numbering the lines."""
+def refused_additions(clock: DataFrame, most: int) -> DataFrame:
+    """trace, block, at of the additions that would pass `most`, of clock lines (trace, block, at, add, set).
+
+    The room left under `most` never grows. While it lies in [unit, 2 unit), unit a power of two, smaller additions than
+    unit always fit and those from 2 unit on never do; one in between may fit, and then the room falls below
+    unit. So a trace has at most 65 phases of one unit, each an ordinary scan with carry across blocks, and all traces
+    take a phase at once.
+    """
+    big = "decimal(38,0)"
+    lit = lambda v: F.lit(Decimal(v)).cast(big)
+    room = lambda x: lit(most) - x
+    unit_of = lambda x: F.array_max(F.filter(F.array(*[lit(1 << k) for k in range(65)]), lambda p: p <= room(x)))
+    c = clock.select("trace", F.struct("block", "at").alias("place"), "block", F.col("add").cast(big).alias("add"), F.col("set").cast(big).alias("set"))
+    start = F.struct(F.lit(-(1 << 62)).alias("block"), F.lit(0).alias("at"))
+    state = c.select("trace").distinct().select("trace", start.alias("begin"), lit(0).alias("x")).withColumn("unit", unit_of(F.col("x")))
+    phases = []
+    own = Window.partitionBy("trace", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        state = written(state, "phase")
+        if state.isEmpty():
+            break
+        rest = c.join(state, "trace").where(F.col("place") > F.col("begin"))
+        rest = rest.withColumn("d", F.coalesce(F.sum(F.when(F.col("add") < F.col("unit"), F.col("add"))).over(own).cast(big), lit(0))).withColumn("m", F.max(F.col("set") - F.col("d")).over(own))
+        totals = rest.groupBy("trace", "block").agg(F.max("d").alias("a"), F.max("m").alias("top"))
+        totals = totals.withColumn("s", F.coalesce(F.sum("a").over(before).cast(big), lit(0))).withColumn("best", F.max(F.col("top") - F.col("s")).over(before)).select("trace", "block", "s", "best")
+        x = F.col("s") + F.greatest(F.col("x"), F.coalesce("best", "x"))
+        rest = rest.join(totals, ["trace", "block"]).withColumn("y", F.col("d") + F.greatest(x, F.coalesce("m", x)))
+        fits = (F.col("add") >= F.col("unit")) & (F.col("add") <= room(F.col("y")))
+        ends = rest.where(fits | (room(F.col("y")) < F.col("unit"))).groupBy("trace").agg(F.min(F.struct("place", (F.col("y") + F.when(fits, F.col("add")).otherwise(0)).cast(big).alias("x"), F.coalesce(fits, F.lit(False)).alias("fits"))).alias("end"))
+        phase = written(state.select("trace", "begin", "unit").join(ends, "trace", "left"), "phase")
+        phases.append(phase)
+        # with no room left, only additions of nothing fit, and nothing sets the clock any more
+        state = phase.where("end is not null").select("trace", F.col("end.place").alias("begin"), F.col("end.x").alias("x")).withColumn("unit", F.coalesce(unit_of(F.col("x")), lit(0)))
+        full = written(state.where("unit = 0").select("trace", "begin", lit(1).alias("unit"), F.lit(None).cast(phase.schema["end"].dataType).alias("end")), "phase")
+        phases.append(full)
+        state = state.where("unit > 0")
+    every = phases[0]
+    for p in phases[1:]:
+        every = every.unionByName(p)
+    inside = (F.col("place") > F.col("begin")) & (F.col("end").isNull() | (F.col("place") <= F.col("end.place")))
+    kept = (F.col("add") < F.col("unit")) | ((F.col("place") == F.col("end.place")) & F.col("end.fits"))
+    return c.where("add is not null").join(every, "trace").where(inside & ~F.coalesce(kept, F.lit(False))).select("trace", "place.block", "place.at")
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """trace, unreadable of each trace that has lines, without numbering them."""
     first = F.min_by("value", F.struct("block", "pos"))
     each = lines.groupBy("trace").agg(first.alias("value"), F.bool_and(F.is_valid_utf8("value") & (F.octet_length("value") <= LINE_LIMIT)).alias("fit"))
-    return not each.where(_no_header() | ~F.coalesce("fit", F.lit(True))).isEmpty()
+    return each.select("trace", (_no_header() | ~F.coalesce("fit", F.lit(True))).alias("unreadable"))
 
 
 def _no_header() -> Column:
     fields = F.split("value", "\t", -1)
-    return ~F.coalesce((fields[0] == MAGIC) & (F.trim(F.get(fields, 1)) == VERSION), F.lit(False))
+    return ~F.coalesce((fields[0] == MAGIC) & (F.get(fields, 1) == VERSION), F.lit(False))
 
 
 def bad_traces(numbered_lines: DataFrame) -> DataFrame:
@@ -92,30 +180,40 @@ def bad_traces(numbered_lines: DataFrame) -> DataFrame:
     return numbered_lines.select("trace", "line", reason.alias("reason"), F.left("value", F.lit(200)).alias("value")).where("reason is not null")
 
 
-def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int = OP_BYTES) -> Tables:
+def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int = OP_BYTES, wide: bool = False, symbol_limit: int = SYMBOL_LIMIT) -> Tables:
     """The tables of lines (trace, block, pos, value). Lines of traces with a bad header should be left out before.
 
+    wide: identifiers and cycles are unsigned 64-bit numbers, as DECIMAL(20, 0). symbol_limit: stage and lane names a
+    trace has at most; a stage whose name or lane would be one more is refused.
+
     All tables come from the same lines with their place and clock, the lines of operations with what begins and
-    ends them, and the numbered operations: these three are written to the shared folder, so that they
+    ends them, the names' first lines, and the numbered operations: these are written to the shared folder, so that they
     are computed once and survive lost executors; all else is lazy.
     """
-    clock = with_clock(lines)
+    kind = WIDE if wide else LONG
+    number = partial(_number, kind=kind)
+    clock = with_clock(lines, kind)
     events = clock.where(F.col("cmd").isin(*COMMANDS) & (F.col("line") > 1)).withColumn("op_id", number(F.get("parts", 1)))
     own = Window.partitionBy(*OP)
     p = lambda k: F.get("parts", k)
     good_i = (F.col("cmd") == "I") & number(p(2)).isNotNull() & number(p(3)).isNotNull()
     good_r = (F.col("cmd") == "R") & number(p(2)).isNotNull() & (number(p(3)) <= 1)
-    good_s = (F.col("cmd") == "S") & p(3).isNotNull() & (F.octet_length(F.trim(p(2))) <= NAME_LIMIT) & (F.octet_length(F.trim(p(3))) <= NAME_LIMIT)
     placed = events.where("op_id is not null").withColumn("intro", F.min(F.when(good_i, F.col("line"))).over(own))
     placed = placed.withColumn("r_line", F.min(F.when(good_r & (F.col("line") > F.col("intro")), F.col("line"))).over(own))
     placed = written(placed.drop("parts"), "placed").withColumn("parts", F.split("value", "\t", -1))  # split anew rather than stored
     live = placed.where(F.col("line") > F.col("intro")).withColumn("lane", F.trim(p(2))).withColumn("name", F.trim(p(3)))
     last_cycle = clock.groupBy("trace").agg(F.max("cycle").alias("last_cycle"))
+    names = written(first_lines(live), "names")
+    live = live.withColumn("_over", F.lit(False))
+    crowded = names.groupBy("trace").agg(F.count("*").alias("n")).where(F.col("n") > symbol_limit).select("trace")
+    if not crowded.isEmpty():
+        names, live = admitted(names, live, crowded, symbol_limit)
+    good_s = (F.col("cmd") == "S") & p(3).isNotNull() & (F.octet_length("lane") <= NAME_LIMIT) & (F.octet_length("name") <= NAME_LIMIT) & ~F.col("_over")
 
     # operations: all of one is gathered by a single grouping, which the window's shuffle already serves
-    text = F.get(F.split("value", "\t", 4), 3)
+    text = label_text()
     after = F.col("line") > F.col("intro")
-    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(after & (F.col("cmd") == "L") & (number(p(2)) == k) & text.isNotNull(), F.struct("line", text.alias("text"))))), lambda x: x["text"]), "")
+    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(after & (F.col("cmd") == "L") & (number(p(2)) == k), F.struct("line", text.alias("text"))))), lambda x: x["text"]), "")
     gathered = placed.where(F.col("line") >= F.col("intro")).groupBy(*OP).agg(
         F.min_by(F.struct(number(p(2)).alias("gid"), number(p(3)).alias("tid"), F.col("cycle").alias("fetch_cycle"), "line"), F.when(~after, F.col("line"))).alias("i"),
         F.min_by(F.struct(number(p(2)).alias("rid"), F.col("cycle").alias("r_cycle"), (number(p(3)) == 1).alias("r_flushed")), F.when(after & good_r, F.col("line"))).alias("r"),
@@ -125,15 +223,15 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     gathered = gathered.select(*OP, "i.*", "r.*", "label", "detail", large.alias("_large"))
     shown = lambda c: F.when(F.col("_large"), "").otherwise(unescaped(F.col(c))).alias(c)
     ops = gathered.join(F.broadcast(last_cycle), "trace").select(
-        *OP, "gid", "tid", "rid", "fetch_cycle", F.coalesce("r_cycle", F.col("last_cycle") + 1).alias("end_cycle"), F.coalesce("r_flushed", F.lit(False)).alias("flushed"), F.col("rid").isNull().alias("incomplete"), "line", shown("label"), shown("detail"), "_large"
+        *OP, "gid", "tid", "rid", "fetch_cycle", F.coalesce("r_cycle", (F.least("last_cycle", kind.lit(kind.most - 1)) + 1).cast(kind.type)).alias("end_cycle"), F.coalesce("r_flushed", F.lit(False)).alias("flushed"), F.col("rid").isNull().alias("incomplete"), "line", shown("label"), shown("detail"), "_large"
     )
-    marked_ops = numbered(ops, ["trace"], ["op_id"], "row_idx")
+    marked_ops = with_rows(ops, is_dense(placed.where(F.col("line") == F.col("intro")), "op_id"))
     marked_ops = written(marked_ops, "ops")
     ops = marked_ops.drop("_large")
 
     # stages: an E sets the end of the latest S of its lane and name, over what a later S of the lane or R would
     by_line = Window.partitionBy(*OP).orderBy("line")
-    marks = live.where(good_s | ((F.col("cmd") == "E") & p(3).isNotNull()) | ((F.col("cmd") == "L") & (number(p(2)) == 2) & text.isNotNull()))
+    marks = live.where(good_s | ((F.col("cmd") == "E") & p(3).isNotNull()) | ((F.col("cmd") == "L") & (number(p(2)) == 2)))
     marks = marks.withColumn("stage", F.sum(F.when(F.col("cmd") == "S", 1).otherwise(0)).over(by_line) - 1)
     begun_ended = marks.where("cmd <> 'L'")
     same = Window.partitionBy(*OP, "lane", "name").orderBy("line")
@@ -156,32 +254,62 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     # dependencies, symbols
     w = live.where((F.col("cmd") == "W") & number(p(2)).isNotNull() & number(p(3)).isNotNull())
     deps = w.select(*OP, (F.row_number().over(by_line) - 1).alias("seq"), number(p(2)).alias("producer"), number(p(3)).alias("kind"), "cycle")
-    names = live.where(good_s).select("trace", F.explode(F.array(F.struct("line", F.lit(0).alias("k"), F.col("lane").alias("name")), F.struct("line", F.lit(1).alias("k"), F.col("name")))).alias("x"))
-    firsts = names.groupBy("trace", F.col("x.name").alias("name")).agg(F.min(F.struct("x.line", "x.k")).alias("first"))
-    ids = firsts.withColumn("symbol_id", F.row_number().over(Window.partitionBy("trace").orderBy("first")) - 1)
-    symbols = ids.where(F.col("symbol_id") < SYMBOL_LIMIT).select("trace", "symbol_id", "name")
+    # at most symbol_limit names a trace
+    symbols = names.select("trace", (F.row_number().over(Window.partitionBy("trace").orderBy("first")) - 1).alias("symbol_id"), "name")
 
-    found = rejects(clock, events, placed, live, ids, marked_ops)
+    found = rejects(clock, events, placed, live, names, marked_ops, kind)
     return Tables(ops, stages, deps, symbols, trace_info(clock, ops, symbols, found, last_cycle, sizes), found)
 
 
-def rejects(clock: DataFrame, events: DataFrame, placed: DataFrame, live: DataFrame, names: DataFrame, ops: DataFrame) -> DataFrame:
+def label_text() -> Column:
+    """An L line's text, tabs included; empty if the line ends before it."""
+    return F.coalesce(F.get(F.split("value", "\t", 4), 3), F.lit(""))
+
+
+def first_lines(live: DataFrame) -> DataFrame:
+    """trace, name, first (line, and 0 for a lane or 1 for a stage's name) of the names that S lines give.
+
+    A line's lane comes first; a lane that is too long refuses the line before its name is seen.
+    """
+    fits = lambda c: F.octet_length(c) <= NAME_LIMIT
+    own = live.where((F.col("cmd") == "S") & F.get("parts", 3).isNotNull() & fits("lane"))
+    each = own.select("trace", F.explode(F.array_compact(F.array(F.struct("line", F.lit(0).alias("k"), F.col("lane").alias("name")), F.when(fits("name"), F.struct("line", F.lit(1).alias("k"), F.col("name")))))).alias("x"))
+    return each.groupBy("trace", F.col("x.name").alias("name")).agg(F.min(F.struct("x.line", "x.k")).alias("first"))
+
+
+def admitted(names: DataFrame, live: DataFrame, crowded: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The names of which each trace has at most `limit`, and live with _over on the S lines that were refused for that.
+
+    Until a trace has its last name every name that fits is taken, so the first ones by line are those that stay; from then on
+    a line is refused if one of its names isn't among them. In traces with too many names, names are numbered by a distributed sort.
+    """
+    many = names.join(crowded, "trace", "left_semi").select("trace", "name", "first", F.col("first.line").alias("line"), F.col("first.k").alias("k"))
+    numbered_names = numbered_by_ranges(many, ["trace"], ["line", "k"], "symbol_id")
+    out = written(numbered_names.where(F.col("symbol_id") >= limit).select("trace", "name"), "names")
+    own = live.where((F.col("cmd") == "S") & F.get("parts", 3).isNotNull() & (F.octet_length("lane") <= NAME_LIMIT)).select("trace", "line", F.explode(F.array_distinct(F.array("lane", "name"))).alias("name"))
+    gone = own.join(out, ["trace", "name"], "left_semi").select("trace", "line").distinct().withColumn("_gone", F.lit(True))
+    marked = live.join(gone, ["trace", "line"], "left").withColumn("_over", F.coalesce("_gone", F.lit(False))).drop("_gone")
+    return written(names.join(out, ["trace", "name"], "left_anti"), "names"), written(marked.drop("parts"), "live").withColumn("parts", F.split("value", "\t", -1))
+
+
+def rejects(clock: DataFrame, events: DataFrame, placed: DataFrame, live: DataFrame, names: DataFrame, ops: DataFrame, kind: Numbers = LONG) -> DataFrame:
     """trace, line, reason, value of what was left out; a line can have two reasons."""
     p = lambda k: F.get("parts", k)
+    number, too_large = partial(_number, kind=kind), partial(_too_large, kind=kind)
     arg = F.when(too_large(p(1)), "out_of_range").when(number(p(1)).isNull(), "invalid_number")
     resource = (F.size("parts") == 1) & F.contains("cmd", F.lit("="))
-    outer = F.when(F.col("cmd").isin("C", "C="), F.coalesce(arg, F.when(F.col("set") < F.col("cycle"), "backwards")))
+    outer = F.when(F.col("cmd").isin("C", "C="), F.coalesce(arg, F.when(F.col("refused"), "out_of_range").when(F.col("set") < F.col("cycle"), "backwards")))
     outer = outer.when((F.col("cmd") == "") | resource, F.lit(None)).when(F.col("cmd").isin(*COMMANDS), arg).otherwise("unknown_command")
     first = clock.where("line > 1").select("trace", "line", outer.alias("reason"), "value")
     numbers = F.when(too_large(p(2)) | too_large(p(3)), "out_of_range").when(number(p(2)).isNull() | number(p(3)).isNull(), "invalid_number")
     early = F.when(F.col("intro").isNull() | (F.col("line") < F.col("intro")), F.when(F.col("cmd") == "I", numbers).otherwise("unknown_operation"))
     second = placed.select("trace", "line", early.alias("reason"), "value")
     late = live.where((F.col("line") > F.col("r_line")) & ~F.col("cmd").isin("L", "I")).select("trace", "line", F.lit("after_retirement").alias("reason"), "value")
-    text = F.get(F.split("value", "\t", 4), 3)
-    kind = number(p(2))
-    stages_before = F.sum(F.when(F.col("cmd") == "S", 1).otherwise(0)).over(Window.partitionBy(*OP).orderBy("line"))
-    of_l = F.when(kind.isNull(), "invalid_number").when(text.isNull(), "missing_text").when(kind > 2, "unknown_label_kind").when((kind == 2) & (F.col("_stages") == 0), "label_without_stage")
-    of_s = F.when(p(2).isNull(), "missing_lane").when(p(3).isNull(), "missing_stage").when((F.octet_length("lane") > NAME_LIMIT) | (F.octet_length("name") > NAME_LIMIT), "symbol_too_long")
+    label = number(p(2))
+    good_s = (F.col("cmd") == "S") & p(3).isNotNull() & (F.octet_length("lane") <= NAME_LIMIT) & (F.octet_length("name") <= NAME_LIMIT) & ~F.col("_over")
+    stages_before = F.sum(F.when(good_s, 1).otherwise(0)).over(Window.partitionBy(*OP).orderBy("line"))
+    of_l = F.when(_too_large(p(2), kind), "out_of_range").when(label.isNull(), "invalid_number").when(label > 2, "unknown_label_kind").when((label == 2) & (F.col("_stages") == 0), "label_without_stage")
+    of_s = F.when(p(2).isNull(), "missing_lane").when(p(3).isNull(), "missing_stage").when((F.octet_length("lane") > NAME_LIMIT) | (F.octet_length("name") > NAME_LIMIT), "symbol_too_long").when(F.col("_over"), "symbol_limit")
     of_r = F.when(F.col("line") > F.col("r_line"), "already_retired").when(numbers.isNotNull(), numbers).when(number(p(3)) > 1, "invalid_status")
     inner = F.when(F.col("cmd") == "I", "redefined").when(F.col("cmd") == "L", of_l).when(F.col("cmd") == "S", of_s).when(F.col("cmd") == "R", of_r)
     inner = inner.when((F.col("cmd") == "E") & p(2).isNull(), "missing_lane").when((F.col("cmd") == "E") & p(3).isNull(), "missing_stage").when(F.col("cmd") == "W", F.coalesce(numbers, F.when(number(p(2)) > F.col("op_id"), "future_producer")))
@@ -210,29 +338,41 @@ def trace_info(clock: DataFrame, ops: DataFrame, symbols: DataFrame, found: Data
     none = F.array().cast("array<string>")
     out = last_cycle.join(own, "trace", "left").join(first, "trace", "left").join(warned, "trace", "left").join(shown, "trace", "left").join(named, "trace", "left")
     out = out.join(sizes, "trace", "left") if sizes is not None else out.withColumn("bytes", F.lit(None).cast("long"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long" if c != "first_cycle" else last_cycle.schema["last_cycle"].dataType).alias(c)
     return out.select("trace", zero("count"), zero("flushed"), zero("first_cycle"), "last_cycle", zero("warning_count"), F.coalesce("warnings", none).alias("warnings"), F.coalesce("symbols", none).alias("symbols"), "bytes", F.lit(True).alias("complete"))
 
 
-def ingest_lines(lines: DataFrame, on_bad: str = "error", sizes: DataFrame | None = None) -> Tables:
-    """parse, after traces that can't be read raise ValueError or, with on_bad='reject', become rejects only."""
+def ingest_lines(lines: DataFrame, on_bad: str = "error", sizes: DataFrame | None = None, wide: bool = False) -> Tables:
+    """parse, after traces that can't be read raise ValueError or, with on_bad='reject', become rejects only.
+
+    With sizes (trace, bytes of every file), a file without any line is one that can't be read.
+    """
     if on_bad not in ("error", "reject"):
         raise ValueError("on_bad is error or reject")
-    if not any_bad(lines):
-        return parse(lines, sizes)
-    bad = bad_traces(with_line_numbers(lines))
+    seen = written(headers(lines), "headers")
+    bad = None
+    if not seen.where("unreadable").isEmpty():
+        bad = bad_traces(with_line_numbers(lines.join(seen.where("unreadable"), "trace", "left_semi")))
+    if sizes is not None:
+        empty = sizes.join(seen, "trace", "left_anti").select("trace", F.lit(1).cast("long").alias("line"), F.lit("empty_file").alias("reason"), F.lit("").alias("value"))
+        if not empty.isEmpty():
+            bad = empty if bad is None else bad.unionByName(empty)
+    if bad is None:
+        return parse(lines, sizes, wide=wide)
     if on_bad == "error":
         worst = bad.orderBy("trace", "line").first()
         raise ValueError(f"{worst['trace']}, line {worst['line']}: {worst['reason']}")
     bad = written(bad, "bad-lines")  # it tells which lines are parsed, and is part of the rejects
-    tables = parse(lines.join(bad.select("trace").distinct(), "trace", "left_anti"), sizes)
+    tables = parse(lines.join(bad.select("trace").distinct(), "trace", "left_anti"), sizes, wide=wide)
     return Tables(tables.ops, tables.stages, tables.deps, tables.symbols, tables.traces, tables.rejects.unionByName(bad.withColumn("line", F.col("line").cast("long"))))
 
 
-def ingest(spark: SparkSession, paths: str | Sequence[str], on_bad: str = "error") -> Tables:
-    """The tables of trace files, a trace for each. A file without any line fails (or is left out, if others are read)."""
-    lines = read_lines(spark, paths)
-    if on_bad == "error" and lines.isEmpty():
-        raise ValueError("the file is empty")
-    sizes = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("trace"), F.col("length").alias("bytes"))
-    return ingest_lines(lines, on_bad, sizes)
+def ingest(spark: SparkSession, paths: str | Sequence[str], on_bad: str = "error", wide: bool = False) -> Tables:
+    """The tables of trace files, a trace for each. A file without any line can't be read."""
+    files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
+    sizes = files.select(F.col("_metadata.file_path").alias("trace"), F.col("length").alias("bytes"))
+    # a reader leaves out files of no bytes, so names come from the listing that the driver has made for it; paths without
+    # an authority may have one slash or three
+    plain = lambda c: F.regexp_replace(c, r"\A([A-Za-z0-9+.-]+):///", "$1:/")
+    named = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").join(sizes.withColumn("path", plain("trace")), plain("file") == F.col("path"), "left")
+    return ingest_lines(read_lines(spark, paths), on_bad, named.select(F.coalesce("trace", "file").alias("trace"), "bytes"), wide)

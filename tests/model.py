@@ -1,14 +1,18 @@
 """A plain sequential reading of a log, and of pairing and exclusion, to hold the plans against."""
 
+from functools import partial
 
-def number(text):
+
+
+def _number(text, most=(1 << 63) - 1):
     t = text.strip() if text is not None else ""
     t = t[1:] if t.startswith("+") else t
-    return int(t) if t.isascii() and t.isdigit() and int(t) < 1 << 63 else None
+    return int(t) if t.isascii() and t.isdigit() and int(t) <= most else None
 
 
-def read(lines):
+def read(lines, most=(1 << 63) - 1, limit=65_536):
     """ops: id -> dict with stages and deps; the last cycle; names in order; number of refused lines."""
+    number = partial(_number, most=most)
     cycle, first_cycle, ops, names, refused = 0, 0, {}, [], 0
     for n, line in enumerate(lines, 1):
         if n == 1:
@@ -17,7 +21,7 @@ def read(lines):
         cmd, arg = p[0], lambda k: p[k] if k < len(p) else None  # noqa: B023
         if cmd in ("C", "C="):
             v = number(arg(1))
-            if v is None or (cmd == "C=" and v < cycle):
+            if v is None or (cmd == "C=" and v < cycle) or (cmd == "C" and cycle + v > most):
                 refused += 1
                 continue
             cycle = v if cmd == "C=" else cycle + v
@@ -46,8 +50,8 @@ def read(lines):
         if op["rid"] is not None and cmd != "L":
             refused += 1
         if cmd == "L":
-            kind, text = number(arg(2)), line.split("\t", 3)[3] if len(p) > 3 else None
-            if kind is None or text is None or kind > 2 or (kind == 2 and not op["stages"]):
+            kind, text = number(arg(2)), line.split("\t", 3)[3] if len(p) > 3 else ""
+            if kind is None or kind > 2 or (kind == 2 and not op["stages"]):
                 refused += 1
             elif kind == 2:
                 s = op["stages"][-1]
@@ -59,7 +63,15 @@ def read(lines):
                 refused += 1
                 continue
             lane, name = p[2].strip(), p[3].strip()
-            names += [x for x in dict.fromkeys((lane, name)) if x not in names]
+            for x in (lane, name):
+                if x not in names and (len(names) >= limit or len(x.encode()) > 256):
+                    break
+                names += [x] if x not in names else []
+            else:
+                x = None
+            if x is not None:
+                refused += 1
+                continue
             for s in reversed(op["stages"]):
                 if s["lane"] == lane and s["end"] is None:
                     s["end"] = cycle
@@ -88,9 +100,9 @@ def read(lines):
             op["deps"].append((number(p[2]), number(p[3]), cycle))
     for op in ops.values():
         if op["rid"] is None:
-            op.update(end=cycle + 1, incomplete=True)
+            op.update(end=min(cycle + 1, most), incomplete=True)
             for s in op["stages"]:
-                s["end"] = cycle + 1 if s["end"] is None else s["end"]
+                s["end"] = op["end"] if s["end"] is None else s["end"]
         for key in ("label", "detail"):
             op[key] = op[key].replace("\\n", "\n")
         for s in op["stages"]:

@@ -6,9 +6,11 @@ import random
 import pytest
 import zstandard
 
+from lanewise.functions.predicates import Phase
+from lanewise.operators.match import match_phases
 from lanewise.operators.overview import overview, suggest
 from lanewise.operators.search import search, snippets
-from lanewise.sources.ingest import ingest, ingest_lines
+from lanewise.sources.ingest import ingest, ingest_lines, parse
 from lanewise.sources.store import load, save
 from lanewise.streaming.stream import stream_ingest
 
@@ -138,6 +140,75 @@ def test_bad_files(spark, tmp_path):
     (tmp_path / "none" / "empty").write_text("")
     with pytest.raises(ValueError, match="empty"):
         ingest(spark, str(tmp_path / "none"))
+    (tmp_path / "none" / "good").write_text(BASIC)
+    (tmp_path / "none" / "nothing.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "none" / "spaced").write_text("Kanata\t0004 \n")
+    with pytest.raises(ValueError, match="empty"):
+        ingest(spark, str(tmp_path / "none"))
+    t = ingest(spark, str(tmp_path / "none"), on_bad="reject")
+    assert [r.trace.rsplit("/", 1)[-1] for r in t.traces.collect()] == ["good"]
+    assert {(r.trace.rsplit("/", 1)[-1], r.reason) for r in t.rejects.collect()} == {("empty", "empty_file"), ("nothing.gz", "empty_file"), ("spaced", "bad_header")}
+
+
+def clock_log(seed, most, n=260):
+    """Additions of every size up to the greatest number and beyond, in an order that matters."""
+    rng, out = random.Random(seed), ["Kanata\t0004", "I\t1\t1\t1"]
+    for k in range(n):
+        add = rng.choice([rng.randrange(4), rng.randrange(1 << rng.randrange(1, most.bit_length() + 1)), most - rng.randrange(5)])
+        out += [f"C\t{add}" if rng.random() < 0.8 else f"C=\t{rng.randrange(1 << rng.randrange(1, most.bit_length() + 1))}", f"S\t1\t0\tn{k % 7}"]
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_clock_beyond_the_greatest_number(spark, wide, tmp_path):
+    most = (1 << 64) - 1 if wide else (1 << 63) - 1
+    texts = {f"t{k}": clock_log(k, most, 60 * k + 20) for k in range(3)}
+    texts |= {"two": f"Kanata\t0004\nC\t{most}\nI\t0\t0\t0\nC\t{most}\nC\t1\nC\t0\nS\t0\t0\tF\n", "set": f"Kanata\t0004\nC=\t{most}\nI\t0\t0\t0\nC\t5\n", "calm": BASIC}
+    lines = None
+    for name, text in texts.items():
+        part = lines_of(spark, text, name, 11)
+        lines = part if lines is None else lines.unionAll(part)
+    t = ingest_lines(lines, wide=wide)
+    stages, infos = t.stages.collect(), {r.trace: r for r in t.traces.collect()}
+    for name, text in texts.items():
+        want, first, last, names, refused = model.read(text.split("\n")[:-1], most)
+        got = sorted((s.op_id, s.stage, s.name, s.start_cycle, s.end_cycle) for s in stages if s.trace == name)
+        assert got == sorted((i, k, s["name"], s["start"], s["end"]) for i, o in want.items() for k, s in enumerate(o["stages"]))
+        assert (infos[name].first_cycle, infos[name].last_cycle, infos[name].symbols, infos[name].warning_count) == (first, last, names, refused)
+    save(t, str(tmp_path / "saved"))
+    back = load(spark, str(tmp_path / "saved"), wide)
+    assert sorted(map(str, back.stages.collect())) == sorted(map(str, stages)) and back.ops.schema["op_id"].dataType.simpleString() == ("decimal(20,0)" if wide else "bigint")
+    hits = match_phases(back, Phase("*", where=(("cycle", "=", most),)))
+    assert hits.count() == sum(s.start_cycle == most for s in stages) > 0 and {r.elapsed for r in hits.where("trace = 'two'").collect()} <= {0, 1}
+
+
+def test_labels_without_text(spark):
+    t = ingest_lines(lines_of(spark, "Kanata\t0004\nI\t0\t0\t0\nL\t0\t0\nL\t0\t1\tx\nL\t0\t1\nS\t0\t0\tF\nL\t0\t2\ta\nL\t0\t2\nL\t0\t2\tb\nL\t0\n"))
+    assert (t.ops.first().label, t.ops.first().detail, t.stages.first().labels) == ("", "x", "a\n\nb")
+    assert [r.reason for r in t.rejects.collect()] == ["invalid_number"]
+
+
+@pytest.mark.parametrize("limit", [3, 6])
+def test_names_beyond_the_limit(spark, limit):
+    rng, texts = random.Random(limit), {}
+    for k in range(3):
+        out = ["Kanata\t0004", "I\t1\t1\t1", "I\t2\t1\t1"]
+        for _ in range(120):
+            lane, name, op = rng.choice(["0", "1", "2", "long" * 70]), rng.choice([*"abcdefgh", "0", "much" * 70])[: 300 if k else 1], rng.choice("123")
+            out.append(rng.choice([f"S\t{op}\t{lane}\t{name}", f"S\t{op}\t{lane}\t{name}", f"E\t{op}\t{lane}\t{name}", "C\t1", f"L\t{op}\t2\tx{rng.randrange(9)}"]))
+        texts[f"t{k}"] = "\n".join(out) + "\n"
+    lines = None
+    for name, text in texts.items():
+        part = lines_of(spark, text, name, 13)
+        lines = part if lines is None else lines.unionAll(part)
+    t = parse(lines, symbol_limit=limit)
+    stages, infos = t.stages.collect(), {r.trace: r for r in t.traces.collect()}
+    for name, text in texts.items():
+        want, _, _, names, refused = model.read(text.split("\n")[:-1], limit=limit)
+        got = sorted((s.op_id, s.stage, s.lane, s.name, s.start_cycle, s.end_cycle, s.labels) for s in stages if s.trace == name)
+        assert got == sorted((i, k, s["lane"], s["name"], s["start"], s["end"], s["labels"]) for i, o in want.items() for k, s in enumerate(o["stages"]))
+        assert (infos[name].symbols, infos[name].warning_count) == (names, refused)
+    assert "symbol_limit" in {r.reason for r in t.rejects.collect()}
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
