@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, functions as F
 
@@ -83,15 +84,19 @@ class Phase:
             if not isinstance(value, int) or isinstance(value, bool) or not 0 <= value < LIMIT:
                 raise ValueError(f"{field} is compared with a whole number from 0 to 2**64 - 1, not {value!r}")
 
-    def conditions(self) -> Column:
-        """Over a stage table joined with its operations' columns; cheap tests first, expressions last."""
-        tests = [name_matches(F.col("name"), self.name)]
-        if self.lane is not None:
-            tests.append(name_matches(F.col("lane"), self.lane))
-        if self.status != "all":
-            tests.append(status_is(self.status))
-        for field, op, value in self.where:
-            tests.append(compare(self._number(field), op, value))
+    def on_names(self) -> Column:
+        """The test of a stage's name and lane."""
+        test = name_matches(F.col("name"), self.name)
+        return test if self.lane is None else test & name_matches(F.col("lane"), self.lane)
+
+    def on_numbers(self) -> Column:
+        """The tests of status and numbers, over stages with their operation's and the trace's last cycle."""
+        tests = [F.lit(True) if self.status == "all" else status_is(self.status)]
+        return reduce(and_, [*tests, *[compare(self._number(field), op, value) for field, op, value in self.where]])
+
+    def on_texts(self) -> Column:
+        """The tests of texts; those but phase_meta need the operation's label and detail."""
+        tests = [F.lit(True)]
         if self.instr is not None:
             tests.append(F.col("label").rlike(wildcard(self.instr, whole=False)))
         if self.instr_re is not None:
@@ -102,7 +107,11 @@ class Phase:
             for suffix, compiled in (("", lambda p: wildcard(p, whole=True)), ("_contains", lambda p: wildcard(p, whole=False)), ("_re", user_regex)):
                 if (pattern := getattr(self, scope + suffix)) is not None:
                     tests.append(some_line(array, compiled(pattern)))
-        return reduce(lambda a, b: a & b, tests)
+        return reduce(and_, tests)
+
+    def needs_text(self) -> bool:
+        """Whether a test reads the operation's label or detail."""
+        return any(getattr(self, x) is not None for x in ("instr", "instr_re", "meta", "op_meta", "meta_contains", "op_meta_contains", "meta_re", "op_meta_re"))
 
     def _number(self, field: str) -> Column:
         if field == "cycle":
@@ -110,6 +119,3 @@ class Phase:
         if field == "duration":
             return F.greatest(F.coalesce(F.col("end_cycle"), after_last()) - F.col("start_cycle"), F.lit(0))
         return F.col(NUMBERS[field])
-
-    def needs_text(self) -> bool:
-        return any(getattr(self, x) is not None for x in ("instr", "instr_re", "meta", "op_meta", "meta_contains", "op_meta_contains", "meta_re", "op_meta_re"))

@@ -10,15 +10,25 @@ from ..schemas import Tables
 from .scan import numbered
 
 EXCERPT = 160
-OP_FIELDS = ["gid", "rid", "flushed", "incomplete", "label", "detail"]
+STATUS, TEXTS = ["gid", "rid", "flushed", "incomplete"], ["label", "detail"]
+
+
+def with_op_columns(stages: DataFrame, tables: Tables, columns: list[str]) -> DataFrame:
+    """stages with their operations' columns; joined with operations only for those it doesn't have."""
+    missing = [c for c in columns if c not in stages.columns]
+    return stages.join(tables.ops.select("trace", "op_id", *missing), ["trace", "op_id"]) if missing else stages
 
 
 def phase_rows(tables: Tables, phase: Phase) -> DataFrame:
-    """The stage occurrences that meet the phase's conditions, open ones included, with their operations' fields."""
-    ops = tables.ops.select("trace", "op_id", *OP_FIELDS)
+    """The stage occurrences that meet the phase's conditions, open ones included, with their operations' status.
+
+    Stages alone answer conditions on names, numbers and status; operations are met only for their texts, by the stages that
+    pass the other conditions.
+    """
     last = tables.traces.select("trace", "last_cycle")
-    rows = tables.stages.where(Phase(phase.name, lane=phase.lane).conditions()).join(ops, ["trace", "op_id"]).join(F.broadcast(last), "trace")  # one row a trace
-    return rows.where(phase.conditions())
+    rows = with_op_columns(tables.stages.where(phase.on_names()), tables, STATUS).join(F.broadcast(last), "trace")  # one row a trace
+    rows = rows.where(phase.on_numbers())
+    return with_op_columns(rows, tables, TEXTS).where(phase.on_texts()) if phase.needs_text() else rows.where(phase.on_texts())
 
 
 def endpoints(tables: Tables, phase: Phase) -> DataFrame:
@@ -40,11 +50,15 @@ def excerpts(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.left(v, F.lit(EXCERPT)) for k, v in shown.items()})
 
 
-def match_phases(tables: Tables, phase: Phase) -> DataFrame:
-    """Every matching occurrence: hit_idx (order of row and stage), its place, cycle, elapsed and excerpts."""
+def match_phases(tables: Tables, phase: Phase, texts: bool = True) -> DataFrame:
+    """Every matching occurrence: hit_idx (order of row and stage), its place, cycle, elapsed and, with texts, excerpts."""
     found = endpoints(tables, phase).withColumn("elapsed", F.coalesce(F.col("end_cycle"), after_last()) - F.col("start_cycle"))
-    kept = excerpts(found).select("trace", "op_id", "row_idx", "tid", "stage", "lane", "lane_index", "lane_count", "name", "start_cycle", "end_cycle", "open", "cycle", "elapsed", "instr_text", "phase_text", "lane_text", "meta_text")
-    return numbered(kept, ["trace"], ["row_idx", "stage"], "hit_idx")
+    place = ["trace", "op_id", "row_idx", "tid", "stage", "lane", "lane_index", "lane_count", "name", "start_cycle", "end_cycle", "open", "cycle", "elapsed"]
+    if texts:
+        found = excerpts(with_op_columns(found, tables, TEXTS)).select(*place, "instr_text", "phase_text", "lane_text", "meta_text")
+    else:
+        found = found.select(*place)
+    return numbered(found, ["trace"], ["row_idx", "stage"], "hit_idx")
 
 
 def query_stats(hits: DataFrame, skips: list[DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.patterns import first_line, lines, wildcard
 from ..schemas import Tables
+from .match import with_op_columns
 
 MAX_WIDTH, MAX_HEIGHT, COLORS, FLUSHED_BIT = 256, 1024, 8, 128
 SUGGESTIONS, VALUE_LIMIT = 16, 160
@@ -22,22 +23,24 @@ def symbols(stages: DataFrame) -> DataFrame:
 def overview(tables: Tables, width: int = MAX_WIDTH, height: int = MAX_HEIGHT) -> DataFrame:
     """trace, y, x, color, flushed: the cells of a raster that stages cover; of several stages the last by row and stage shows.
 
-    At most width x height cells a trace leave a task, as the latest stage of a cell is aggregated
-    before the shuffle.
+    Of stages with one span of cells the latest is found first, then that of each cell; both are aggregated before
+    their shuffles, so at most height x width^2 spans and height x width cells a trace leave a task.
     """
     w = max(1, min(width, MAX_WIDTH))
     names = tables.symbols if tables.symbols is not None else symbols(tables.stages)
     info = tables.traces.select("trace", F.col("count").alias("n"), F.col("first_cycle").alias("c0"), F.col("last_cycle").alias("c1"))
     h = F.greatest(F.least(F.lit(min(height, MAX_HEIGHT)), F.col("n")), F.lit(1))
-    s = tables.stages.join(F.broadcast(info), "trace").join(names, ["trace", "name"]).join(tables.ops.select("trace", "op_id", "flushed"), ["trace", "op_id"])
+    s = with_op_columns(tables.stages, tables, ["flushed"]).join(F.broadcast(info), "trace").join(names, ["trace", "name"])
     last = F.greatest(F.coalesce(F.col("end_cycle") - 1, F.col("c1")), F.col("start_cycle"))
     first_x, last_x = column(F.col("start_cycle"), w), column(last, w)
-    cells = s.select(
+    spans = s.select(
         "trace", "row_idx", "stage", "flushed", (1 + F.pmod("symbol_id", F.lit(COLORS))).cast("int").alias("color"),
         F.least(F.floor(F.col("row_idx").cast("decimal(20,0)") * h / F.greatest("n", F.lit(1))), h - 1).cast("int").alias("y"),
-        F.explode(F.sequence(first_x, F.greatest(last_x, F.least(first_x + 2, F.lit(w - 1))))).alias("x"),
+        first_x.alias("first_x"), F.greatest(last_x, F.least(first_x + 2, F.lit(w - 1))).alias("last_x"),
     )
-    shown = cells.groupBy("trace", "y", "x").agg(F.max_by(F.struct("color", "flushed"), F.struct("row_idx", "stage")).alias("c"))
+    latest = F.max(F.struct("row_idx", "stage", "color", "flushed")).alias("c")
+    cells = spans.groupBy("trace", "y", "first_x", "last_x").agg(latest).select("trace", "y", "c.*", F.explode(F.sequence("first_x", "last_x")).alias("x"))
+    shown = cells.groupBy("trace", "y", "x").agg(latest)
     return shown.select("trace", "y", "x", (F.col("c.color") + F.when(F.col("c.flushed"), FLUSHED_BIT).otherwise(0)).alias("color"), F.col("c.flushed").alias("flushed"))
 
 

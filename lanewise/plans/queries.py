@@ -40,7 +40,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched(trace: Callable, phase: Phase) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: match_phases(trace(spark, d), phase).select(*HIT)
+    return lambda spark, d: match_phases(trace(spark, d), phase, texts=False).select(*HIT)
 
 
 def paired(**options) -> Callable[[SparkSession, str], DataFrame]:
@@ -72,7 +72,7 @@ def excluded_lines(scope: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def elapsed_hits(spark: SparkSession, d: str) -> DataFrame:
-    return match_phases(orders_trace(spark, d), Phase("R", where=(("duration", ">=", 30),)))
+    return match_phases(orders_trace(spark, d), Phase("R", where=(("duration", ">=", 30),)), texts=False)
 
 
 def searched(trace: Callable, **options) -> Callable[[SparkSession, str], DataFrame]:

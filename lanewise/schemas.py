@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 LINES = "trace STRING, block BIGINT, pos BIGINT, value STRING"
 OPS = "trace STRING, op_id BIGINT, gid BIGINT, tid BIGINT, rid BIGINT, fetch_cycle BIGINT, end_cycle BIGINT, flushed BOOLEAN, incomplete BOOLEAN, line BIGINT, label STRING, detail STRING, row_idx BIGINT"
-STAGES = "trace STRING, op_id BIGINT, row_idx BIGINT, tid BIGINT, stage INT, lane STRING, name STRING, lane_index INT, lane_count INT, start_cycle BIGINT, end_cycle BIGINT, labels STRING, open BOOLEAN"
+STAGES = "trace STRING, op_id BIGINT, row_idx BIGINT, tid BIGINT, gid BIGINT, rid BIGINT, flushed BOOLEAN, incomplete BOOLEAN, stage INT, lane STRING, name STRING, lane_index INT, lane_count INT, start_cycle BIGINT, end_cycle BIGINT, labels STRING, open BOOLEAN"
 DEPS = "trace STRING, op_id BIGINT, seq INT, producer BIGINT, kind BIGINT, cycle BIGINT"
 SYMBOLS = "trace STRING, symbol_id INT, name STRING"
 TRACES = "trace STRING, count BIGINT, flushed BIGINT, first_cycle BIGINT, last_cycle BIGINT, warning_count BIGINT, warnings ARRAY<STRING>, symbols ARRAY<STRING>, bytes BIGINT, complete BOOLEAN"

@@ -46,7 +46,7 @@ def events_trace(spark: SparkSession, sf_dir: str) -> Tables:
     rows = written(numbered(base, ["trace"], ["op_id"], "row_idx"), "events")
     ops = rows.drop("name")
     stages = rows.select(
-        "trace", "op_id", "row_idx", "tid", F.lit(0).alias("stage"), F.pmod("op_id", F.lit(2)).cast("string").alias("lane"), "name", F.lit(0).alias("lane_index"), F.lit(1).alias("lane_count"),
+        "trace", "op_id", "row_idx", "tid", "gid", "rid", "flushed", "incomplete", F.lit(0).alias("stage"), F.pmod("op_id", F.lit(2)).cast("string").alias("lane"), "name", F.lit(0).alias("lane_index"), F.lit(1).alias("lane_count"),
         F.col("fetch_cycle").alias("start_cycle"), "end_cycle", F.lit("").alias("labels"), F.col("end_cycle").isNull().alias("open"),
     )
     deps = rows.withColumn("producer", F.lag("op_id").over(Window.partitionBy("tid").orderBy("op_id"))).where("producer is not null")
@@ -78,8 +78,8 @@ def orders_trace(spark: SparkSession, sf_dir: str) -> Tables:
         F.concat(F.lit("status="), F.col("o_orderstatus"), F.lit("\nprice="), F.floor("o_totalprice").cast("string")).alias("detail"),
     ).join(last, "op_id", "left")
     ops = numbered(base, ["trace"], ["op_id"], "row_idx")
-    stages = s.join(ops.select("trace", "op_id", "row_idx", "tid"), "op_id").select(
-        "trace", "op_id", "row_idx", "tid", "stage", "lane", "name", "lane_index", "lane_count", "start_cycle", "end_cycle", "labels", F.col("end_cycle").isNull().alias("open")
+    stages = s.join(ops.select("trace", "op_id", "row_idx", "tid", "gid", "rid", "flushed", "incomplete"), "op_id").select(
+        "trace", "op_id", "row_idx", "tid", "gid", "rid", "flushed", "incomplete", "stage", "lane", "name", "lane_index", "lane_count", "start_cycle", "end_cycle", "labels", F.col("end_cycle").isNull().alias("open")
     )
     return Tables(ops, stages, traces=summary(ops, stages))
 
@@ -95,7 +95,7 @@ def conversations_trace(spark: SparkSession, sf_dir: str) -> Tables:
         F.substring_index(F.coalesce("x.text", F.lit("")), "\n", 1).alias("label"), F.coalesce("x.text", F.lit("")).alias("detail"), F.coalesce("x.role", F.lit("")).alias("name"),
     )
     rows = written(base, "turns")
-    stages = rows.select("trace", "op_id", "row_idx", "tid", F.lit(0).alias("stage"), F.lit("turn").alias("lane"), "name", F.lit(0).alias("lane_index"), F.lit(1).alias("lane_count"), F.col("fetch_cycle").alias("start_cycle"), "end_cycle", F.lit("").alias("labels"), F.lit(False).alias("open"))
+    stages = rows.select("trace", "op_id", "row_idx", "tid", "gid", "rid", "flushed", "incomplete", F.lit(0).alias("stage"), F.lit("turn").alias("lane"), "name", F.lit(0).alias("lane_index"), F.lit(1).alias("lane_count"), F.col("fetch_cycle").alias("start_cycle"), "end_cycle", F.lit("").alias("labels"), F.lit(False).alias("open"))
     ops = rows.drop("name")
     return Tables(ops, stages, traces=summary(ops, stages))
 

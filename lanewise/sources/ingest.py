@@ -243,13 +243,13 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     own_texts = marks.where("cmd = 'L' and stage >= 0").groupBy(*OP, "stage").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))).alias("x"))
     glued = F.aggregate("x", F.lit(""), lambda a, x: F.when(a == "", x["text"]).otherwise(F.concat(a, F.lit("\n"), x["text"])))
     own_texts = own_texts.select(*OP, "stage", unescaped(glued).alias("labels"))
-    s = s.join(own_texts, [*OP, "stage"], "left").join(ops.select(*OP, "row_idx", "tid", "incomplete", F.col("end_cycle").alias("op_end")), OP)
+    s = s.join(own_texts, [*OP, "stage"], "left").join(ops.select(*OP, "row_idx", "tid", "gid", "rid", "flushed", "incomplete", F.col("end_cycle").alias("op_end")), OP)
     closed_by_r = (F.col("r_line") > F.col("line")) & (F.col("next_line").isNull() | (F.col("r_line") < F.col("next_line")))
     end = F.coalesce("e_cycle", F.when(closed_by_r, F.col("op_end")).otherwise(F.col("next_start")), F.when(F.col("r_line").isNull(), F.col("op_end")))
     s = s.withColumn("end_cycle", end).withColumn("first_of_lane", F.min("stage").over(Window.partitionBy(*OP, "lane")))
     s = s.withColumn("lane_index", F.dense_rank().over(Window.partitionBy(*OP).orderBy("first_of_lane")) - 1).withColumn("lane_count", F.max("lane_index").over(Window.partitionBy(*OP)) + 1)
     is_open = F.col("end_cycle").isNull() | (F.col("incomplete") & (F.col("end_cycle") == F.col("op_end")))
-    stages = s.select("trace", "op_id", "row_idx", "tid", F.col("stage").cast("int").alias("stage"), "lane", "name", F.col("lane_index").cast("int").alias("lane_index"), F.col("lane_count").cast("int").alias("lane_count"), F.col("cycle").alias("start_cycle"), "end_cycle", F.coalesce("labels", F.lit("")).alias("labels"), is_open.alias("open"))
+    stages = s.select("trace", "op_id", "row_idx", "tid", "gid", "rid", "flushed", "incomplete", F.col("stage").cast("int").alias("stage"), "lane", "name", F.col("lane_index").cast("int").alias("lane_index"), F.col("lane_count").cast("int").alias("lane_count"), F.col("cycle").alias("start_cycle"), "end_cycle", F.coalesce("labels", F.lit("")).alias("labels"), is_open.alias("open"))
 
     # dependencies, symbols
     w = live.where((F.col("cmd") == "W") & number(p(2)).isNotNull() & number(p(3)).isNotNull())

@@ -10,7 +10,7 @@ from lanewise.functions.patterns import lines, user_regex, wildcard
 from lanewise.functions.predicates import Phase
 from lanewise.operators.details import to_json_rows
 from lanewise.operators.exclude import _hit_any, _hit_rows, exclude_between
-from lanewise.operators.match import match_phases, query_stats, skipped
+from lanewise.operators.match import endpoints, match_phases, query_stats, skipped
 from lanewise.operators.pair import pair_phases
 from lanewise.operators.scan import bounds_of, next_value, numbered, running_sum
 from lanewise.operators.views import area_bounds, hit_bounds, hits_in_window, page, rows, sort_elapsed, sorted_page
@@ -26,7 +26,8 @@ def tables_of(spark, ops, stages, last=None):
     tid = {o[0]: o[1] for o in ops}
     end = max([s[4] or s[3] for s in stages], default=0) if last is None else last
     o = spark.createDataFrame([("t", i, i, t, None if f is None else i, 0, end, bool(f), False, i, label, detail, row[i]) for i, t, f, label, detail in ops], OPS)
-    s = spark.createDataFrame([("t", i, row[i], tid[i], k, "0", name, 0, 1, a, b, "", b is None) for i, k, name, a, b in stages], STAGES)
+    flushed = {o[0]: o[2] for o in ops}
+    s = spark.createDataFrame([("t", i, row[i], tid[i], i, None if flushed[i] is None else i, bool(flushed[i]), False, k, "0", name, 0, 1, a, b, "", b is None) for i, k, name, a, b in stages], STAGES)
     return Tables(o, s, traces=spark.createDataFrame([("t", len(ops), 0, end)], "trace string, count long, first_cycle long, last_cycle long"))
 
 
@@ -160,3 +161,15 @@ def test_exclusion_of_many_points(spark):
         pair = ((0, p[1], 0, p[4]), (0, p[3], 0, p[5]))
         for k, rows_ in enumerate((True, False)):
             assert (p[1] in got[k]) == model.enclosed(pair, enumerate(cycle), rows_)
+
+
+def test_stages_are_matched_without_their_operations(spark):
+    t, _, _ = random_tables(spark, 5)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    joins = lambda df: plan(df).count("Join Inner")
+    status = Phase("A", status="retired", where=(("rid", ">", 3), ("duration", ">=", 2)), phase_meta="*")
+    assert joins(endpoints(t, status)) == 1 and joins(endpoints(t, Phase("A", instr="op1"))) == 2  # the last cycle; the label
+    bare = Tables(t.ops, t.stages.drop("gid", "rid", "flushed", "incomplete"), traces=t.traces)
+    for phase in (status, Phase("*", instr="op2", status="flushed")):
+        key = lambda x: sorted((r.op_id, r.stage, r.cycle, r.elapsed) for r in match_phases(x, phase).collect())  # noqa: B023, E731
+        assert key(t) == key(bare)
