@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scan import numbered, ranked
+from .scan import BUCKET, numbered, ranked
 
 SPANS = ("both", "source", "target", "all")
 PAGE_LIMIT, ROW_LIMIT, WINDOW_LIMIT = 128, 1024, 2048
@@ -46,9 +46,10 @@ def sorted_page(hits: DataFrame, start: int, count: int, descending: bool = True
     return top_elapsed(hits, stop, descending).withColumn("sort_idx", F.row_number().over(order).cast("long") - 1).where(F.col("sort_idx") >= start)
 
 
-def hit(hits: DataFrame, index: int, ops: DataFrame, op: str = "s_op_id") -> DataFrame:
-    """One hit by its number, with its source operation's label and detail."""
-    return hits.where(F.col("hit_idx") == index).join(ops.select("trace", F.col("op_id").alias(op), "label", "detail"), ["trace", op])
+def hit(hits: DataFrame, index: int, ops: DataFrame, op: str = "s_op_id", trace: str | None = None) -> DataFrame:
+    """One hit by its number, with its source operation's label and detail: that of the trace named, or of each trace."""
+    found = hits.where(F.col("hit_idx") == index)
+    return (found if trace is None else found.where(F.col("trace") == trace)).join(ops.select("trace", F.col("op_id").alias(op), "label", "detail"), ["trace", op])
 
 
 def hit_bounds(hits: DataFrame, n_rows: Column | int, span: str = "both", row_pad: int = 0) -> DataFrame:
@@ -73,23 +74,22 @@ def hit_bounds(hits: DataFrame, n_rows: Column | int, span: str = "both", row_pa
 def hits_in_window(bounded: DataFrame, cycles: tuple[int, int], rows: tuple[int, int], limit: int | None = None, keep: int | None = None) -> DataFrame:
     """The hits whose rectangle meets the window, borders included.
 
-    With a limit, the first of them by number; hit `keep` stands in for the last of these if it
-    meets the window but comes later.
+    With a limit, the first of them by number in each trace; hit `keep` stands in for the last of these if it
+    meets the window but comes later. They are cut down in buckets of numbers before a trace's are compared.
     """
     found = bounded.where(_meets(cycles, rows))
     if limit is None:
         return found
-    first = found.orderBy("trace", "hit_idx").limit(limit)
-    if keep is None:
-        return first
-    kept = found.where(F.col("hit_idx") == keep)
-    mark = F.when(F.col("hit_idx") == keep, 0).otherwise(1)
-    return first.unionByName(kept).distinct().orderBy(mark, "trace", "hit_idx").limit(limit)
+    chosen = F.lit(False) if keep is None else F.col("hit_idx") == keep
+    order = [F.when(chosen, 0).otherwise(1), F.col("hit_idx")]
+    for keys in (["trace", F.shiftright("hit_idx", BUCKET.bit_length() - 1)], ["trace"]):
+        found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+    return found
 
 
-def window_total(bounded: DataFrame, cycles: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
-    """One row, total: how many hits meet the window, whatever limit hits_in_window has."""
-    return bounded.where(_meets(cycles, rows)).agg(F.count("*").alias("total"))
+def window_total(bounded: DataFrame, cycles: tuple[int, int], rows: tuple[int, int], by_trace: bool = False) -> DataFrame:
+    """total: how many hits meet the window, whatever limit hits_in_window has; one row, or one for each trace with any."""
+    return bounded.where(_meets(cycles, rows)).groupBy(*(["trace"] if by_trace else [])).agg(F.count("*").alias("total"))
 
 
 def _meets(cycles: tuple[int, int], rows: tuple[int, int]) -> Column:

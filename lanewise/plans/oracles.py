@@ -101,6 +101,13 @@ def line_pairs(skip: int = 0, where: str = "true") -> str:
     SELECT *, row_number() OVER (ORDER BY s_row_idx, s_stage) - 1 AS hit_idx FROM pr WHERE {where}"""
 
 
+HALVES = f"""WITH {ORDERS}, h AS (SELECT op_id, 'orders-' || tid % 2 AS trace, label, fetch_cycle, end_cycle, row_number() OVER (PARTITION BY tid % 2 ORDER BY op_id) - 1 AS row_idx FROM op),
+    own AS (SELECT trace, greatest(max(greatest(h.fetch_cycle, coalesce(h.end_cycle, h.fetch_cycle))), max(greatest(s.start_cycle, coalesce(s.end_cycle, s.start_cycle)))) AS last_cycle FROM h LEFT JOIN st0 s USING (op_id) GROUP BY trace),
+    long AS (SELECT h.trace, h.op_id, h.row_idx, h.label, s.start_cycle AS a, coalesce(s.end_cycle, last_cycle + 1) AS z, row_number() OVER (PARTITION BY h.trace ORDER BY h.row_idx, s.stage) - 1 AS hit_idx
+             FROM h JOIN st0 s USING (op_id) JOIN own ON own.trace = h.trace WHERE s.name = 'R' AND coalesce(s.end_cycle, last_cycle + 1) - s.start_cycle >= 30),
+    met AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY CASE WHEN hit_idx = 900 THEN 0 ELSE 1 END, hit_idx) AS n FROM long WHERE a <= 2000 AND z >= 200 AND row_idx BETWEEN 50 AND 1000000)"""
+
+
 def found(where: str, view: str = "op", head: str = ORDERS) -> str:
     return f"WITH {head} SELECT op_id, row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS hit_idx FROM {view} WHERE {where}"
 
@@ -156,6 +163,9 @@ def oracle_sql() -> dict[str, str]:
         "hit_bounds_target": pairs(tail=BOX.format(a="greatest(t_row_idx - 2, 0)", b="least(t_row_idx + 2, n - 1)")),
         "hit_bounds_all": pairs(tail=BOX.format(a="CAST(0 AS BIGINT)", b="n - 1")),
         "hit_bounds_single": f"SELECT hit_idx, cycle AS cycle_start, cycle + elapsed AS cycle_end, row_idx AS row_start, row_idx AS row_end FROM ({LONG})",
+        "hits_in_window_of_each": f"{HALVES} SELECT trace, hit_idx, op_id, row_idx FROM met WHERE n <= 300",
+        "hit_lookup_of_each": f"{HALVES} SELECT trace, op_id, row_idx, label FROM long WHERE hit_idx = 40",
+        "window_total_of_each": f"{HALVES} SELECT trace, count(*) AS total FROM met GROUP BY trace",
         "window_total": pairs(tail="SELECT count(*) AS total FROM pr WHERE least(s_row_idx, t_row_idx) <= 400 AND greatest(s_row_idx, t_row_idx) >= 100"),
         "hits_in_window": pairs(tail=""", w AS (SELECT hit_idx, least(s_row_idx, t_row_idx) AS row_start, greatest(s_row_idx, t_row_idx) AS row_end FROM pr WHERE least(s_row_idx, t_row_idx) <= 400 AND greatest(s_row_idx, t_row_idx) >= 100)
             SELECT * FROM w ORDER BY CASE WHEN hit_idx = 700 THEN 0 ELSE 1 END, hit_idx LIMIT 2048"""),

@@ -15,7 +15,7 @@ from ..operators.pair import pair_phases
 from ..operators.scan import with_rows
 from ..operators.search import search, snippets
 from ..operators.views import area_bounds, area_rows, hit, hit_bounds, hits_in_window, locate, page, ranked_elapsed, rows, sort_elapsed, sorted_page, top_elapsed, window_total
-from ..sources.adapters import conversations_trace, event_log, events_trace, hashed_orders, order_log, orders_trace, wide_log
+from ..sources.adapters import conversations_trace, event_log, events_trace, halves_of_orders, hashed_orders, order_log, orders_trace, wide_log
 from ..sources.ingest import ingest, ingest_lines, parse
 from ..sources.store import load, save
 from ..storage import shared_dir
@@ -97,6 +97,19 @@ def in_window(spark: SparkSession, d: str) -> DataFrame:
     return hits_in_window(box, (0, 1 << 62), (100, 400), limit=2048, keep=700).select("hit_idx", "row_start", "row_end")
 
 
+def of_halves(spark: SparkSession, d: str) -> DataFrame:
+    """Long returned lines of the two halves of the orders, with their rectangles."""
+    return hit_bounds(match_phases(halves_of_orders(spark, d), Phase("R", where=(("duration", ">=", 30),)), texts=False), 0)
+
+
+def in_window_of_each(spark: SparkSession, d: str) -> DataFrame:
+    return hits_in_window(of_halves(spark, d), (200, 2000), (50, 1_000_000), limit=300, keep=900).select("trace", "hit_idx", "op_id", "row_idx")
+
+
+def hit_of_each(spark: SparkSession, d: str) -> DataFrame:
+    return hit(of_halves(spark, d), 40, halves_of_orders(spark, d).ops, "op_id").select("trace", "op_id", "row_idx", "label")
+
+
 def total_in_window(spark: SparkSession, d: str) -> DataFrame:
     return window_total(boxed("both")(spark, d), (0, 1 << 62), (100, 400))
 
@@ -270,6 +283,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hit_bounds_all": boxed("all"),
         "hit_bounds_single": single_bounds,
         "hits_in_window": in_window,
+        "hits_in_window_of_each": in_window_of_each,
+        "hit_lookup_of_each": hit_of_each,
+        "window_total_of_each": lambda s, d: window_total(of_halves(s, d), (200, 2000), (50, 1_000_000), by_trace=True),
         "window_total": total_in_window,
         "query_stats": stats,
         "rows_page": lambda s, d: op_columns(rows(orders_trace(s, d).ops, 500, 200)),

@@ -9,7 +9,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.scan import numbered
+from ..operators.scan import numbered, with_rows
 from ..schemas import Tables
 from ..storage import written
 
@@ -84,6 +84,15 @@ def orders_trace(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(ops, stages, traces=summary(ops, stages))
 
 
+def halves_of_orders(spark: SparkSession, sf_dir: str) -> Tables:
+    """orders_trace as two traces of the even and the odd threads, each with rows of its own."""
+    t = orders_trace(spark, sf_dir)
+    half = F.concat(F.lit("orders-"), F.pmod("tid", F.lit(2)).cast("string"))
+    ops = with_rows(t.ops.drop("row_idx").withColumn("trace", half))
+    stages = t.stages.drop("row_idx").withColumn("trace", half).join(ops.select("trace", "op_id", "row_idx"), ["trace", "op_id"])
+    return Tables(ops, stages, traces=summary(ops, stages))
+
+
 def conversations_trace(spark: SparkSession, sf_dir: str) -> Tables:
     """An operation for each turn of a conversation (a thread), with one stage named by the role; ids count turns in order."""
     c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
