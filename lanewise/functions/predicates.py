@@ -9,7 +9,7 @@ from operator import and_
 
 from pyspark.sql import Column, functions as F
 
-from .patterns import lines, name_matches, some_line, user_regex, wildcard
+from .patterns import lines, some_line, user_regex, wildcard
 
 COMPARISONS = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 NUMBERS = {"op": "op_id", "global": "gid", "thread": "tid", "rid": "rid", "cycle": "cycle", "duration": "duration"}
@@ -84,11 +84,6 @@ class Phase:
             if not isinstance(value, int) or isinstance(value, bool) or not 0 <= value < LIMIT:
                 raise ValueError(f"{field} is compared with a whole number from 0 to 2**64 - 1, not {value!r}")
 
-    def on_names(self) -> Column:
-        """The test of a stage's name and lane."""
-        test = name_matches(F.col("name"), self.name)
-        return test if self.lane is None else test & name_matches(F.col("lane"), self.lane)
-
     def on_numbers(self) -> Column:
         """The tests of status and numbers, over stages with their operation's and the trace's last cycle."""
         tests = [F.lit(True) if self.status == "all" else status_is(self.status)]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.patterns import first_line
+from ..functions.patterns import first_line, name_matches
 from ..functions.predicates import Phase, after_last, boundary_cycle
 from ..schemas import Tables
 from .scan import numbered
 
 EXCERPT = 160
+#: Names that a pattern is replaced by at most.
+LISTED = 500
 STATUS, TEXTS = ["gid", "rid", "flushed", "incomplete"], ["label", "detail"]
 
 
@@ -19,6 +21,17 @@ def with_op_columns(stages: DataFrame, tables: Tables, columns: list[str]) -> Da
     return stages.join(tables.ops.select("trace", "op_id", *missing), ["trace", "op_id"]) if missing else stages
 
 
+def names_test(tables: Tables, column: str, pattern: str) -> Column:
+    """The test of a name column, as a list of the traces' own names if they are known and not too many fit.
+
+    Equality with listed names reaches Parquet's statistics and dictionaries, which an expression doesn't.
+    """
+    if pattern == "*" or tables.symbols is None:
+        return name_matches(F.col(column), pattern)
+    fit = tables.symbols.where(name_matches(F.col("name"), pattern)).select("name").distinct().limit(LISTED + 1).collect()  # LISTED + 1 rows at most
+    return name_matches(F.col(column), pattern) if len(fit) > LISTED else F.col(column).isin([r[0] for r in fit])
+
+
 def phase_rows(tables: Tables, phase: Phase) -> DataFrame:
     """The stage occurrences that meet the phase's conditions, open ones included, with their operations' status.
 
@@ -26,7 +39,7 @@ def phase_rows(tables: Tables, phase: Phase) -> DataFrame:
     pass the other conditions.
     """
     last = tables.traces.select("trace", "last_cycle")
-    rows = with_op_columns(tables.stages.where(phase.on_names()), tables, STATUS).join(F.broadcast(last), "trace")  # one row a trace
+    rows = with_op_columns(tables.stages.where(names_test(tables, "name", phase.name) & names_test(tables, "lane", phase.lane or "*")), tables, STATUS).join(F.broadcast(last), "trace")  # one row a trace
     rows = rows.where(phase.on_numbers())
     return with_op_columns(rows, tables, TEXTS).where(phase.on_texts()) if phase.needs_text() else rows.where(phase.on_texts())
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.patterns import literal_regex, user_regex
 from ..schemas import Tables
@@ -75,16 +73,13 @@ def snippets(hits: DataFrame, tables: Tables, text: str, regex: bool = False, ca
     return fields.select(*key, "seq", cut(F.col("field"), F.col("value"), before, F.coalesce(match, F.lit(""))).alias("snippet"))
 
 
-@F.pandas_udf(StringType())
-def cut(field: pd.Series, value: pd.Series, before: pd.Series, match: pd.Series) -> pd.Series:
-    out = []
-    for name, text, head, hit in zip(field, value, before, match, strict=True):
-        raw, start = text.encode(), len(head.encode())
-        end = min(start + len(hit.encode()) + AFTER, len(raw))
-        start = max(start - BEFORE, 0)
-        while start > 0 and raw[start] & 0xC0 == 0x80:
-            start -= 1
-        while end < len(raw) and raw[end] & 0xC0 == 0x80:
-            end += 1
-        out.append(f"{name}: {raw[start:end].decode()}")
-    return pd.Series(out)
+def cut(field: Column, value: Column, before: Column, match: Column) -> Column:
+    """field, and value's bytes from 40 before the match to 60 behind it, widened to whole characters."""
+    raw = F.encode(value, "UTF-8")
+    inner = lambda i: F.hex(F.substring(raw, i + 1, F.lit(1))).between("80", "BF")  # noqa: E731  a byte within a character
+    low = F.greatest(F.octet_length(before) - BEFORE, F.lit(0))
+    high = F.least(F.octet_length(before) + F.octet_length(match) + AFTER, F.octet_length(value))
+    # a character has four bytes at most
+    start = F.when(~inner(low), low).when(~inner(low - 1), low - 1).when(~inner(low - 2), low - 2).otherwise(low - 3)
+    stop = F.when(~inner(high), high).when(~inner(high + 1), high + 1).when(~inner(high + 2), high + 2).otherwise(high + 3)
+    return F.concat(field, F.lit(": "), F.decode(F.substring(raw, start + 1, stop - start), "UTF-8"))

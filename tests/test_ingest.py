@@ -127,6 +127,36 @@ def test_files_codecs_and_store(spark, tmp_path):
     assert sorted(map(str, back.stages.select(*t.stages.columns).collect())) == sorted(map(str, t.stages.collect()))
 
 
+def test_names_reach_the_scan_of_saved_traces(spark, tmp_path):
+    save(ingest_lines(lines_of(spark, BASIC + "S\t0\t0\tFetch\nS\t0\t0\tfx\n")), str(tmp_path / "saved"))
+    t = load(spark, str(tmp_path / "saved"))
+    for pattern, names, n in (("f*", "[Fetch,F,fx]", 4), ("x", "[X]", 2), ("none*", None, 0)):
+        hits = match_phases(t, Phase(pattern), texts=False)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert hits.count() == n
+        if names:
+            listed = [p for p in plan.split("PushedFilters: ")[1:] if "name" in p]
+            assert listed and all(x in listed[0] for x in names.strip("[]").split(","))
+
+
+def test_snippets_end_at_whole_characters(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aé日\U0001f600 ") for _ in range(rng.randrange(120))) + "KEY" + "".join(rng.choice("aé日\U0001f600 ") for _ in range(rng.randrange(120))) for _ in range(80)]
+    log = "Kanata\t0004\n" + "".join(f"I\t{i}\t0\t0\nL\t{i}\t0\t{x}\n" for i, x in enumerate(texts))
+    t = ingest_lines(lines_of(spark, log, size=50))
+    found = snippets(search(t, "key"), t, "key")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        raw = texts[r.op_id].encode()
+        at = raw.index(b"KEY")
+        start, end = max(at - 40, 0), min(at + 63, len(raw))
+        while start > 0 and raw[start] & 0xC0 == 0x80:
+            start -= 1
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        assert r.snippet == "Disassembly: " + raw[start:end].decode()
+
+
 def test_bad_files(spark, tmp_path):
     (tmp_path / "bad").write_text("Kanata\t0005\nI\t0\t0\t0\n")
     (tmp_path / "good").write_text(BASIC)
