@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.patterns import first_line, lines, wildcard
 from ..schemas import Tables
+from ..storage import written
 from .match import with_op_columns
 
 MAX_WIDTH, MAX_HEIGHT, COLORS, FLUSHED_BIT = 256, 1024, 8, 128
 SUGGESTIONS, VALUE_LIMIT = 16, 160
+#: Rows of each trace that suggestions are sought in first.
+LEADING = 1 << 16
 FIELDS = ("instruction", "phase", "lane", "metadata", "op_metadata", "phase_metadata")
 
 
@@ -51,32 +54,43 @@ def column(cycle: Column, width: int) -> Column:
     return F.least(F.floor(at * width / span), F.lit(width - 1)).cast("int")
 
 
-def suggest(tables: Tables, field: str, text: str = "", n: int = SUGGESTIONS) -> DataFrame:
+def suggest(tables: Tables, field: str, text: str = "", n: int = SUGGESTIONS, rows: int = LEADING) -> DataFrame:
     """trace, value: the first n different values of a field that the pattern is found in, sorted by value.
 
     First is by row, then the detail's lines before the stages. Values are not empty and have at
-    most 160 characters.
+    most 160 characters. The leading rows of each trace are searched, and more of them, 16 times as many each time, until every
+    trace has n values or no further rows: on saved traces, whose rows are in order, a frequent pattern reads a bounded part.
     """
     if field not in FIELDS:
         raise ValueError(f"field is one of {FIELDS}, not {field!r}")
     if len(text.encode()) > 2048:
         raise ValueError("the pattern is too long")
+    while True:
+        first = written(_first_values(tables, field, text, n, rows), "suggestions")  # n rows a trace
+        full = first.groupBy("trace").agg(F.count("*").alias("found")).where(F.col("found") >= n)
+        if tables.ops.where(F.col("row_idx") >= rows).select("trace").join(full, "trace", "left_anti").isEmpty():
+            return first.orderBy("trace", "value")
+        rows *= 16
+
+
+def _first_values(tables: Tables, field: str, text: str, n: int, rows: int) -> DataFrame:
+    ops, stages = tables.ops.where(F.col("row_idx") < rows), tables.stages.where(F.col("row_idx") < rows)
     place = lambda stage, k: F.struct("row_idx", F.lit(stage).alias("stage") if isinstance(stage, int) else stage, k)
     parts = []
     if field == "instruction":
-        parts.append(tables.ops.select("trace", place(-1, F.lit(0).alias("k")).alias("at"), first_line(F.col("label")).alias("value")))
+        parts.append(ops.select("trace", place(-1, F.lit(0).alias("k")).alias("at"), first_line(F.col("label")).alias("value")))
     if field in ("metadata", "op_metadata"):
-        each = tables.ops.select("trace", "row_idx", F.posexplode(lines(F.col("detail"))).alias("k", "value"))
+        each = ops.select("trace", "row_idx", F.posexplode(lines(F.col("detail"))).alias("k", "value"))
         parts.append(each.select("trace", place(-1, F.col("k")).alias("at"), "value"))
     if field in ("metadata", "phase_metadata"):
-        each = tables.stages.select("trace", "row_idx", "stage", F.posexplode(lines(F.col("labels"))).alias("k", "value"))
+        each = stages.select("trace", "row_idx", "stage", F.posexplode(lines(F.col("labels"))).alias("k", "value"))
         parts.append(each.select("trace", place(F.col("stage"), F.col("k")).alias("at"), "value"))
     if field in ("phase", "lane"):
-        parts.append(tables.stages.select("trace", place(F.col("stage"), F.lit(0).alias("k")).alias("at"), F.col("name" if field == "phase" else "lane").alias("value")))
+        parts.append(stages.select("trace", place(F.col("stage"), F.lit(0).alias("k")).alias("at"), F.col("name" if field == "phase" else "lane").alias("value")))
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
     fits = values.where((F.col("value") != "") & (F.char_length("value") <= VALUE_LIMIT) & F.col("value").rlike(wildcard(text, whole=False)))
     first = fits.groupBy("trace", "value").agg(F.min("at").alias("at"))
     order = Window.partitionBy("trace").orderBy("at")
-    return first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("trace", "value").orderBy("trace", "value")
+    return first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("trace", "value")

@@ -200,6 +200,10 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     good_r = (F.col("cmd") == "R") & number(p(2)).isNotNull() & (number(p(3)) <= 1)
     placed = events.where("op_id is not null").withColumn("intro", F.min(F.when(good_i, F.col("line"))).over(own))
     placed = placed.withColumn("r_line", F.min(F.when(good_r & (F.col("line") > F.col("intro")), F.col("line"))).over(own))
+    # bytes of the operation's label and detail so far: texts beyond the limit are never gathered
+    shown = (F.col("cmd") == "L") & (number(p(2)) <= 1) & (F.col("line") > F.col("intro"))
+    so_far = Window.partitionBy(*OP).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("bytes", F.sum(F.when(shown, F.octet_length(label_text()))).over(so_far))
     placed = written(placed.drop("parts"), "placed").withColumn("parts", F.split("value", "\t", -1))  # split anew rather than stored
     live = placed.where(F.col("line") > F.col("intro")).withColumn("lane", F.trim(p(2))).withColumn("name", F.trim(p(3)))
     last_cycle = clock.groupBy("trace").agg(F.max("cycle").alias("last_cycle"))
@@ -213,14 +217,13 @@ def parse(lines: DataFrame, sizes: DataFrame | None = None, max_op_bytes: int =
     # operations: all of one is gathered by a single grouping, which the window's shuffle already serves
     text = label_text()
     after = F.col("line") > F.col("intro")
-    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(after & (F.col("cmd") == "L") & (number(p(2)) == k), F.struct("line", text.alias("text"))))), lambda x: x["text"]), "")
+    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(after & (F.col("cmd") == "L") & (number(p(2)) == k) & (F.col("bytes") <= max_op_bytes), F.struct("line", text.alias("text"))))), lambda x: x["text"]), "")
     gathered = placed.where(F.col("line") >= F.col("intro")).groupBy(*OP).agg(
         F.min_by(F.struct(number(p(2)).alias("gid"), number(p(3)).alias("tid"), F.col("cycle").alias("fetch_cycle"), "line"), F.when(~after, F.col("line"))).alias("i"),
         F.min_by(F.struct(number(p(2)).alias("rid"), F.col("cycle").alias("r_cycle"), (number(p(3)) == 1).alias("r_flushed")), F.when(after & good_r, F.col("line"))).alias("r"),
-        joined(0).alias("label"), joined(1).alias("detail"),
+        joined(0).alias("label"), joined(1).alias("detail"), F.coalesce(F.max("bytes") > max_op_bytes, F.lit(False)).alias("_large"),
     )
-    large = F.octet_length("label") + F.octet_length("detail") > max_op_bytes
-    gathered = gathered.select(*OP, "i.*", "r.*", "label", "detail", large.alias("_large"))
+    gathered = gathered.select(*OP, "i.*", "r.*", "label", "detail", "_large")
     shown = lambda c: F.when(F.col("_large"), "").otherwise(unescaped(F.col(c))).alias(c)
     ops = gathered.join(F.broadcast(last_cycle), "trace").select(
         *OP, "gid", "tid", "rid", "fetch_cycle", F.coalesce("r_cycle", (F.least("last_cycle", kind.lit(kind.most - 1)) + 1).cast(kind.type)).alias("end_cycle"), F.coalesce("r_flushed", F.lit(False)).alias("flushed"), F.col("rid").isNull().alias("incomplete"), "line", shown("label"), shown("detail"), "_large"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,5 +31,26 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read back, so that plans after it start from a scan."""
     path = shared_dir(df.sparkSession, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: For each open scope of scratch(), the tables written since.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that are written inside when the caller has done with what was built on them.
+
+    Results must be written or collected before the end; what is still lazy then has nothing left to read.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,6 +1,7 @@
 """Logs into tables: known small logs, random logs against the sequential model, files and codecs."""
 
 import gzip
+import os
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from lanewise.operators.overview import overview, suggest
 from lanewise.operators.search import search, snippets
 from lanewise.sources.ingest import ingest, ingest_lines, parse
 from lanewise.sources.store import load, save
+from lanewise.storage import scratch
 from lanewise.streaming.stream import stream_ingest
 
 from . import model
@@ -139,6 +141,29 @@ def test_names_reach_the_scan_of_saved_traces(spark, tmp_path):
             assert listed and all(x in listed[0] for x in names.strip("[]").split(","))
 
 
+def test_texts_beyond_the_limit_are_not_gathered(spark):
+    log = "Kanata\t0004\nI\t0\t0\t0\nI\t1\t0\t0\nL\t0\t0\tab\n" + "".join(f"L\t0\t{k % 2}\t{k:06d}\n" for k in range(50)) + "L\t1\t0\t12345\nL\t1\t1\t67890\nS\t0\t0\tF\nL\t0\t2\tstays\n"
+    t = parse(lines_of(spark, log), max_op_bytes=10)
+    assert {r.op_id: (r.label, r.detail) for r in t.ops.collect()} == {0: ("", ""), 1: ("12345", "67890")}
+    assert [(r.line, r.reason) for r in t.rejects.collect()] == [(2, "operation_too_large")] and t.stages.first().labels == "stays"
+
+
+def test_suggestions_widen_until_there_are_enough(spark):
+    log = "Kanata\t0004\n" + "".join(f"I\t{i}\t0\t0\nL\t{i}\t0\tv{i // 10}\nS\t{i}\t0\t{'F' if i < 390 else 'late'}\n" for i in range(400))
+    t = ingest_lines(lines_of(spark, log, size=50))
+    for rows in (1, 16, 1000):
+        assert [r.value for r in suggest(t, "instruction", "v", rows=rows).collect()] == sorted(f"v{k}" for k in range(16))
+        assert [r.value for r in suggest(t, "phase", "late", rows=rows).collect()] == ["late"] and suggest(t, "lane", "none", rows=rows).collect() == []
+
+
+def test_scratch_tables_are_deleted(spark):
+    with scratch(spark):
+        t = ingest_lines(lines_of(spark, BASIC))
+        files = [f.removeprefix("file://").removeprefix("file:") for f in t.ops.inputFiles()]
+        assert files and all(os.path.exists(f) for f in files) and t.ops.count() == 2
+    assert not any(os.path.exists(f) for f in files)
+
+
 def test_snippets_end_at_whole_characters(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("aé日\U0001f600 ") for _ in range(rng.randrange(120))) + "KEY" + "".join(rng.choice("aé日\U0001f600 ") for _ in range(rng.randrange(120))) for _ in range(80)]
