@@ -131,6 +131,7 @@ def oracle_sql() -> dict[str, str]:
         "match_meta_lines": hits("st", "len(list_filter(string_split(detail || chr(10) || labels, chr(10)), lambda x: lower(x) = 'status=p')) > 0"),
         "match_meta_scopes": hits("st", "len(list_filter(string_split(detail, chr(10)), lambda x: regexp_matches(x, 'price=1.*0'))) > 0 AND regexp_matches(labels, 'part=1.')"),
         "match_op_meta": hits("st", some_line.format("detail", "(?i)^status=f$")),
+        "match_saved_buckets": hits("st", some_line.format("detail", "(?i)^status=f$")),
         "match_phase_meta": hits("st", some_line.format("labels", "^part=7.$")),
         "match_meta_contains": hits("st", some_line.format("detail || chr(10) || labels", "=1.3")),
         "match_op_meta_re": hits("st", some_line.format("detail", "^price=[0-9]{5}$")),

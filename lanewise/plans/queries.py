@@ -17,7 +17,7 @@ from ..operators.search import search, snippets
 from ..operators.views import area_bounds, area_rows, hit, hit_bounds, hits_in_window, locate, page, ranked_elapsed, rows, sort_elapsed, sorted_page, top_elapsed, window_total
 from ..sources.adapters import conversations_trace, event_log, events_trace, halves_of_orders, hashed_orders, order_log, orders_trace, wide_log
 from ..sources.ingest import ingest, ingest_lines, parse
-from ..sources.store import load, save
+from ..sources.store import load, load_buckets, save, save_buckets
 from ..storage import shared_dir
 from ..streaming.stream import stream_ingest
 
@@ -162,6 +162,18 @@ def round_trip(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, path).stages.select("op_id", "row_idx", F.col("stage").cast("long").alias("stage"), "name", "start_cycle", "end_cycle", "labels")
 
 
+def matched_in_buckets(phase: Phase) -> Callable[[SparkSession, str], DataFrame]:
+    """The orders' tables saved in buckets, and their stages matched with texts of their operations."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = shared_dir(spark, "buckets")
+        name = f"orders_{path.rsplit('-', 1)[-1]}"
+        save_buckets(orders_trace(spark, d), spark, name, path, 8)
+        return match_phases(load_buckets(spark, name), phase, texts=False).select(*HIT)
+
+    return run
+
+
 def write_log(log: DataFrame, path: str, **options) -> None:
     """The log as text files, one for each of its blocks with an own header."""
     log = log.where("block > 0")
@@ -329,6 +341,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_rejects": lambda s, d: log_tables(s, d).rejects.groupBy("reason").agg(F.count("*").alias("n")),
         "ingest_trace_info": lambda s, d: log_tables(s, d).traces.select("trace", F.col("count").alias("n_ops"), "flushed", "first_cycle", "last_cycle"),
         "ingest_saved": round_trip,
+        "match_saved_buckets": matched_in_buckets(Phase("*", op_meta="STATUS=f")),
         "stream_ingest": streamed,
         "ingest_text_files": files_read(),
         "ingest_gzip_files": files_read(compression="gzip"),

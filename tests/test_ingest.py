@@ -8,11 +8,11 @@ import pytest
 import zstandard
 
 from lanewise.functions.predicates import Phase
-from lanewise.operators.match import match_phases
+from lanewise.operators.match import endpoints, match_phases
 from lanewise.operators.overview import overview, suggest
 from lanewise.operators.search import search, snippets
 from lanewise.sources.ingest import ingest, ingest_lines, parse
-from lanewise.sources.store import load, save
+from lanewise.sources.store import load, load_buckets, save, save_buckets
 from lanewise.storage import scratch
 from lanewise.streaming.stream import stream_ingest
 
@@ -129,6 +129,24 @@ def test_files_codecs_and_store(spark, tmp_path):
     assert sorted(map(str, back.stages.select(*t.stages.columns).collect())) == sorted(map(str, t.stages.collect()))
 
 
+def test_buckets_are_joined_where_they_lie(spark, tmp_path):
+    t = ingest_lines(lines_of(spark, BASIC))
+    save_buckets(t, spark, "small", str(tmp_path / "buckets"), 3)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for phase in (Phase("*", instr="prod*"), Phase("x", op_meta_contains="late")):
+            plan = endpoints(load_buckets(spark, "small"), phase)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin [trace" in plan and "hashpartitioning(trace" not in plan
+            shuffled = endpoints(t, phase)
+            assert "hashpartitioning(trace" in shuffled._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r.op_id, r.stage) for r in endpoints(load_buckets(spark, "small"), phase).collect()) == sorted((r.op_id, r.stage) for r in shuffled.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    save_buckets(t, spark, "small", str(tmp_path / "again"))
+    assert load_buckets(spark, "small").stages.count() == t.stages.count()
+
+
 def test_names_reach_the_scan_of_saved_traces(spark, tmp_path):
     save(ingest_lines(lines_of(spark, BASIC + "S\t0\t0\tFetch\nS\t0\t0\tfx\n")), str(tmp_path / "saved"))
     t = load(spark, str(tmp_path / "saved"))
