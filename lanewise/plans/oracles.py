@@ -227,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "ingest_saved": LOG + " SELECT event_id AS op_id, row_idx, CAST(0 AS BIGINT) AS stage, event_type AS name, t AS start_cycle, t + 1 AS end_cycle, 'value=' || CAST(floor(value) AS BIGINT) AS labels FROM clock",
         "ingest_text_files": LOG + FILES,
         "ingest_gzip_files": LOG + FILES,
+        "ingest_frame_files": LOG + FILES.replace("event_id // 4096 + 1 AS block", "event_id // 65536 AS part").replace("event_id // 4096", "event_id // 65536"),
         "ingest_bad_files": """WITH b AS (SELECT o_orderkey >> 9 AS b, count(*) AS n FROM orders GROUP BY 1)
             SELECT 'block-' || b AS trace, CASE b % 3 WHEN 0 THEN 'bad_header' WHEN 1 THEN 'not_utf8' ELSE 'read' END AS found, CASE b % 3 WHEN 2 THEN n ELSE 0 END AS n FROM b""",
         "rows_of_hashed_ids": """WITH h AS (SELECT CAST(o_orderkey % 2 AS VARCHAR) AS trace, CAST((o_orderkey::HUGEINT * 6364136223846793005) % 9223372036854775783 AS BIGINT) AS op_id, o_orderkey AS gid FROM orders)

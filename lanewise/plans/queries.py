@@ -16,6 +16,7 @@ from ..operators.scan import with_rows
 from ..operators.search import search, snippets
 from ..operators.views import area_bounds, area_rows, hit, hit_bounds, hits_in_window, locate, page, ranked_elapsed, rows, sort_elapsed, sorted_page, top_elapsed, window_total
 from ..sources.adapters import conversations_trace, event_log, events_trace, halves_of_orders, hashed_orders, order_log, orders_trace, wide_log
+from ..sources.frames import write_frames
 from ..sources.ingest import ingest, ingest_lines, parse
 from ..sources.store import load, load_buckets, save, save_buckets
 from ..storage import shared_dir
@@ -195,6 +196,18 @@ def files_read(**options) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def frames_read(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as Zstandard files of many frames, and these ingested in ranges of their bytes."""
+    base = shared_dir(spark, "frames")
+    log = event_log(spark, d).where("block > 0").withColumn("name", F.concat(F.lit("part="), F.floor((F.col("block") - 1) / 16).cast("string")))
+    head = log.select("name").distinct().select("name", F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("pos")).alias("pos"), F.lit("Kanata\t0004").alias("value"))
+    body = log.select("name", F.struct(F.col("block").cast("long").alias("block"), F.col("pos").cast("long").alias("pos")).alias("pos"), "value")
+    write_frames(body.unionByName(head), base, 1 << 16).write.format("noop").mode("overwrite").save()
+    t = ingest(spark, f"{base}/*.zst", range_bytes=1 << 17)
+    part = F.regexp_extract("trace", "part=([0-9]+)", 1).cast("long").alias("part")
+    return t.ops.select(part, "op_id", "gid", "tid", "fetch_cycle", "label", "detail", "row_idx")
+
+
 def order_tables(spark: SparkSession, d: str):
     return ingest_lines(order_log(spark, d))
 
@@ -345,6 +358,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ingest": streamed,
         "ingest_text_files": files_read(),
         "ingest_gzip_files": files_read(compression="gzip"),
+        "ingest_frame_files": frames_read,
         "ingest_bad_files": mixed_files,
         "rows_of_hashed_ids": lambda s, d: with_rows(hashed_orders(s, d)).select("trace", "op_id", "gid", "row_idx"),
         "wide_log_ops": lambda s, d: as_text(wide_tables(s, d).ops.select("op_id", "rid", "tid", "fetch_cycle", "end_cycle", "incomplete", "row_idx"), "op_id", "rid", "tid", "fetch_cycle", "end_cycle"),

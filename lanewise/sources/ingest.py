@@ -19,6 +19,7 @@ from ..functions.patterns import unescaped
 from ..operators.scan import is_dense, numbered_by_ranges, with_rows
 from ..schemas import Tables
 from ..storage import written
+from .frames import ENDING, read_frames
 
 # Fixed values of the format and its limits
 MAGIC, VERSION = "Kanata", "0004"
@@ -41,15 +42,21 @@ class Numbers:
 LONG, WIDE = Numbers("bigint", (1 << 63) - 1), Numbers("decimal(20,0)", (1 << 64) - 1)
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], range_bytes: int | None = None) -> DataFrame:
     r"""trace, block, pos, value of text files, plain or compressed by their name's ending (.gz, .zst, .zstd).
 
     Only `\n` ends a line; one `\r` before it is dropped. trace is the file's whole path, so files of one name
-    in different folders are different traces.
+    in different folders are different traces. With range_bytes, Zstandard files are read in ranges of so many
+    compressed bytes, a task for each, if they have several frames; else by one task a file.
     """
-    raw = spark.read.option("lineSep", "\n").text([paths] if isinstance(paths, str) else list(paths))
-    meta = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
-    return meta.select(F.col("path").alias("trace"), "block", "pos", F.when(F.endswith("value", F.lit("\r")), F.substring(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value")).alias("value"))
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    if range_bytes is not None:
+        raw = raw.where(~F.col("_metadata.file_path").rlike(ENDING))
+    meta = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")).withColumnRenamed("path", "trace")
+    if range_bytes is not None:
+        meta = meta.unionByName(read_frames(spark, paths, range_bytes))
+    return meta.select("trace", "block", "pos", F.when(F.endswith("value", F.lit("\r")), F.substring(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value")).alias("value"))
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
@@ -370,12 +377,12 @@ def ingest_lines(lines: DataFrame, on_bad: str = "error", sizes: DataFrame | Non
     return Tables(tables.ops, tables.stages, tables.deps, tables.symbols, tables.traces, tables.rejects.unionByName(bad.withColumn("line", F.col("line").cast("long"))))
 
 
-def ingest(spark: SparkSession, paths: str | Sequence[str], on_bad: str = "error", wide: bool = False) -> Tables:
-    """The tables of trace files, a trace for each. A file without any line can't be read."""
+def ingest(spark: SparkSession, paths: str | Sequence[str], on_bad: str = "error", wide: bool = False, range_bytes: int | None = None) -> Tables:
+    """The tables of trace files, a trace for each. A file without any line can't be read. range_bytes as for read_lines."""
     files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
     sizes = files.select(F.col("_metadata.file_path").alias("trace"), F.col("length").alias("bytes"))
     # a reader leaves out files of no bytes, so names come from the listing that the driver has made for it; paths without
     # an authority may have one slash or three
     plain = lambda c: F.regexp_replace(c, r"\A([A-Za-z0-9+.-]+):///", "$1:/")
     named = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").join(sizes.withColumn("path", plain("trace")), plain("file") == F.col("path"), "left")
-    return ingest_lines(read_lines(spark, paths), on_bad, named.select(F.coalesce("trace", "file").alias("trace"), "bytes"), wide)
+    return ingest_lines(read_lines(spark, paths, range_bytes), on_bad, named.select(F.coalesce("trace", "file").alias("trace"), "bytes"), wide)
