@@ -10,10 +10,10 @@ children of merged branches are pooled before the next level is judged, so a lev
 Templates are rejected by their smoothed share of bad labels: (bad + prior * strength) / (labelled + strength)
 reaching `purity`, where prior is the share over all labelled pages.
 
-Levels are steps over a table of (host, merged prefix, rest of the path); common starts of all paths of a node
-are passed in one step, and a path that is alone at its node is done, so the number of steps is that
-of real branchings on a path, whatever its length. A node's pools are at most BINS + 2 rows, so a node of any width is no
-large group.
+Nodes of up to WHOLE_ROWS different paths, as most hosts are from the start, are solved with all that is below them by
+the task that holds them. Larger ones are stepped through: a step takes a table of (host, merged prefix, rest of the path)
+one level down, common starts of all paths of a node being passed at once, until what is left is small. A node's pools are
+at most BINS + 2 rows, so a node of any width is no large group. Both ways give the same templates, which a test holds.
 
 A host's pages are summed by distinct (host, shaped path) before anything else is done with them,
 so a host with a third of all pages costs a few rows, and paths differ after shaping only in their
@@ -31,8 +31,11 @@ one of them is. Without labels nothing but the rules blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from math import floor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import checkpointed, table
@@ -43,6 +46,8 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 SIMILAR_Z, LEAST_LABELS, STRENGTH, PURITY = 1.96, 5, 10, 0.8
 #: Bins of the share of bad pages.
 BINS = 20
+#: Rows up to which a node's whole subtree is one task's work.
+WHOLE_ROWS = 4096
 #: Levels that the SQL form is unrolled to; the operator takes all.
 SQL_LEVELS = 6
 
@@ -115,23 +120,107 @@ def _under(prefix: Column, more: Column) -> Column:
     return F.concat_ws("/", F.filter(F.concat(F.array(prefix), more), lambda s: s != ""))
 
 
-def named_paths(seen: DataFrame) -> DataFrame:
+def forms_of(counts: dict[str, tuple[int, int]]) -> dict[str, str]:
+    """What `merged` says of one node's branches, segment -> (labelled, bad)."""
+    pools: dict[int, list] = {}  # by bin, -1 for branches of few labels: labelled, bad, segments
+    for segment, (n, b) in counts.items():
+        if not segment.startswith("{"):
+            pool = pools.setdefault(floor(b * BINS / n) if n >= LEAST_LABELS else -1, [0, 0, []])
+            pool[0] += n
+            pool[1] += b
+            pool[2].append(segment)
+    thin = pools.pop(-1, [0, 0, []])[2]
+    clusters: list[list] = []
+    last = None
+    for _, (n, b, segments) in sorted(pools.items()):
+        if last is not None:
+            m, c = last
+            share = (b + c) / (n + m)
+            differ = (b / n - c / m) * (b / n - c / m) > SIMILAR_Z * SIMILAR_Z * (share * (1 - share) * (1 / n + 1 / m))
+        if last is None or differ:
+            clusters.append([0, []])
+        clusters[-1][0] += n
+        clusters[-1][1] += segments
+        last = n, b
+    main = max(range(len(clusters)), key=lambda k: (clusters[k][0], -k), default=-1)
+    most = clusters[main][1] if clusters else []
+    forms = {s: f"*{k}" for k, (_, own) in enumerate(clusters) if k != main and len(own) > 1 for s in own}
+    for own in [thin + most] if thin and (len(most) > 1 or len(clusters) < 2) else [thin, most]:
+        if len(own) > 1:
+            forms |= dict.fromkeys(own, "*")
+    return forms
+
+
+def solved(rows: list[tuple[list[str], int, int]], prefix: str) -> list[str]:
+    """The template of each row (rest of its path, labelled, bad) of one node, level by level."""
+    out = [prefix] * len(rows)
+    nodes = [(list(range(len(rows))), 0, [prefix] if prefix else [])]
+    while nodes:
+        at, level, before = nodes.pop()
+        low, high = (f(rows[i][0][level:] for i in at) for f in (min, max))
+        common = next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), len(low))
+        before, level = before + low[:common], level + common
+        counts: dict[str, tuple[int, int]] = {}
+        for i in at:
+            path, n, b = rows[i]
+            if len(path) > level:
+                m, c = counts.get(path[level], (0, 0))
+                counts[path[level]] = m + n, c + b
+            else:
+                out[i] = "/".join(before)
+        forms = forms_of(counts)
+        below: dict[str, list[int]] = {}
+        for i in at:
+            if len(rows[i][0]) > level:
+                segment = rows[i][0][level]
+                below.setdefault(forms.get(segment, segment), []).append(i)
+        nodes += [(own, level + 1, [*before, form]) for form, own in below.items()]
+    return out
+
+
+def solve_whole(rows: DataFrame) -> DataFrame:
+    """host, shape, template of nodes (host, shape, labelled, bad, prefix, rest) that are small enough to be held by a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            names = solved([(r["rest"], r["labelled"], r["bad"]) for r in held], node[1])
+            return pa.record_batch([pa.array([node[0]] * len(held), pa.string()), pa.array([r["shape"] for r in held], pa.list_(pa.string())), pa.array(names, pa.string())], names=["host", "shape", "template"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (own := (row["host"], row["prefix"])) != node:
+                    if held:
+                        yield flush()
+                    node, held = own, []
+                held.append(row)
+        if held:
+            yield flush()
+
+    return rows.repartition("host", "prefix").sortWithinPartitions("host", "prefix").mapInArrow(run, "host string, shape array<string>, template string")
+
+
+def named_paths(seen: DataFrame, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """host, shape, template of each path of seen (host, shape, labelled, bad)."""
-    going = checkpointed(seen.select("host", "shape", "labelled", "bad", F.lit("").alias("prefix"), F.col("shape").alias("rest")))
+    going = seen.select("host", "shape", "labelled", "bad", F.lit("").alias("prefix"), F.col("shape").alias("rest"))
     done: list[DataFrame] = []
-    while not going.isEmpty():
-        ends = going.groupBy("host", "prefix").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    while True:
+        ends = going.groupBy("host", "prefix").agg(F.count("*").alias("rows"), F.min("rest").alias("low"), F.max("rest").alias("high"))
         apart = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True)
-        ends = ends.select("host", "prefix", F.when(apart > 0, apart - 1).otherwise(F.size("low")).cast("int").alias("common"))
+        ends = ends.select("host", "prefix", "rows", F.when(apart > 0, apart - 1).otherwise(F.size("low")).cast("int").alias("common"))
         rows = going.join(ends, ["host", "prefix"])
-        rows = rows.withColumn("prefix", _under(F.col("prefix"), F.slice("rest", F.lit(1), F.col("common")))).withColumn("rest", F.slice("rest", F.col("common") + 1, F.size("rest"))).drop("common")
-        rows = checkpointed(rows)
-        done.append(rows.where(F.size("rest") == 0).select("host", "shape", F.col("prefix").alias("template")))
-        left = rows.where(F.size("rest") > 0).withColumn("segment", F.col("rest")[0])
+        done.append(solve_whole(rows.where(F.col("rows") <= whole_rows).drop("rows", "common")))
+        large = rows.where(F.col("rows") > whole_rows)
+        large = large.withColumn("prefix", _under(F.col("prefix"), F.slice("rest", F.lit(1), F.col("common")))).withColumn("rest", F.slice("rest", F.col("common") + 1, F.size("rest"))).drop("common", "rows")
+        large = checkpointed(large)
+        if large.isEmpty():
+            return checkpointed(reduce(DataFrame.unionByName, done))
+        done.append(large.where(F.size("rest") == 0).select("host", "shape", F.col("prefix").alias("template")))
+        left = large.where(F.size("rest") > 0).withColumn("segment", F.col("rest")[0])
         forms = merged(left.groupBy("host", "prefix", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")))
         next_ = left.join(forms, ["host", "prefix", "segment"])
         going = checkpointed(next_.select("host", "shape", "labelled", "bad", _under(F.col("prefix"), F.array("form")).alias("prefix"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")))
-    return reduce(DataFrame.unionByName, done) if done else going.select("host", "shape", F.col("prefix").alias("template"))
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
