@@ -13,8 +13,8 @@ Reduction, on counts, from the longest length w down, with r = capacity - w left
 Fixed sets leave the instance; this repeats until nothing dominates. The rest goes by best fit in
 decreasing length: each run goes to the fullest open sequences that still hold it.
 
-Defined results: null and empty texts are the end token alone. Repeated rows are packed each.
-Rows with a null id are packed too. Columns other than id and text are ignored.
+Defined results: null and empty texts are the end token alone. Very long texts are cut into as many pieces as they fill.
+Repeated rows are packed each. Rows with a null id are packed too. An empty table gives no rows. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from .common import table, written
 CAPACITY = 1024
 END_TOKEN = 2
 TOKENIZER = "byte_bpe_50k"
-#: Parts into which pieces of one length are dealt for ranking, so that a frequent length is no hot key.
-RANK_PARTS = 64
+#: Parts into which pieces of one length are dealt for ranking, at least, so that a frequent length is no hot key, and
+#: pieces that a part has on average beyond that.
+RANK_PARTS, RANK_ROWS = 64, 1 << 18
 
 
 @cache
@@ -92,25 +93,19 @@ def _two_smallest(lengths: list[int], counts: dict[int, int], beside: int) -> fl
     return found[0] + found[1] if len(found) > 1 else float("inf")
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, end rank, first sequence, offset): rank r lies in sequence first + r - first rank.
+def reduced(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int | None, int]], dict[int, int]]:
+    """Sets (length, length beside it or none, how many) that some best answer holds, and the counts left.
 
-    A run that meets a group of open sequences uses up its own pieces or the whole group, so there
-    are at most a few runs for each length and sequence group, however many pieces there are.
+    Each fixed set may make others dominate, so this goes on until none does.
     """
     counts = {k: v for k, v in histogram.items() if v > 0}
-    placed = dict.fromkeys(counts, 0)
-    runs: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
+    sets: list[tuple[int, int | None, int]] = []
 
-    def place(length: int, n: int, first: int, offset: int) -> None:
-        runs.append((length, placed[length], placed[length] + n, first, offset))
-        placed[length] += n
+    def take(length: int, n: int) -> None:
         counts[length] -= n
         if not counts[length]:
             del counts[length]
 
-    # reduction by dominating sets of one or two; each fixed set may make others dominate
     moved = True
     while moved:
         moved = False
@@ -121,15 +116,37 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                 k = _largest(lengths, counts, length, room)
                 if k is None:
                     n = counts[length]
-                    place(length, n, sequences, 0)
                 elif k == room or _two_smallest(lengths, counts, length) > room:
                     n = counts[length] // 2 if k == length else min(counts[length], counts[k])
-                    place(length, n, sequences, 0)
-                    place(k, n, sequences, length)
+                    take(k, n)
                 else:
                     break
-                sequences += n
+                take(length, n)
+                sets.append((length, k, n))
                 moved = True
+    return sets, counts
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, end rank, first sequence, offset): rank r lies in sequence first + r - first rank.
+
+    A run that meets a group of open sequences uses up its own pieces or the whole group, so there
+    are at most a few runs for each length and sequence group, however many pieces there are.
+    """
+    sets, counts = reduced(histogram, capacity)
+    placed = dict.fromkeys(histogram, 0)
+    runs: list[tuple[int, int, int, int, int]] = []
+    sequences = 0
+
+    def place(length: int, n: int, first: int, offset: int) -> None:
+        runs.append((length, placed[length], placed[length] + n, first, offset))
+        placed[length] += n
+
+    for length, beside, n in sets:
+        place(length, n, sequences, 0)
+        if beside is not None:
+            place(beside, n, sequences, length)
+        sequences += n
     # best fit, decreasing: open[room] has runs of sequences with that room left
     open_rooms: dict[int, list[tuple[int, int]]] = {}
     rooms: list[int] = []
@@ -156,20 +173,26 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                 rooms.remove(room)
             use = min(n, counts[length])
             place(length, use, first, capacity - room)
+            counts[length] -= use
             add(room - length, first, use)
             add(room, first + use, n - use)
     return runs
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """found with rank: its number among the pieces of its length, from 0, gapless and stable."""
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int")
-    dealt = found.withColumn("part", part)
-    totals = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most capacity * RANK_PARTS rows
+def ranked(found: DataFrame, histogram: dict[int, int], least: int = RANK_PARTS, rows: int = RANK_ROWS) -> DataFrame:
+    """found with rank: its number among the pieces of its length, from 0, gapless and stable.
+
+    histogram has the pieces of each length; frequent lengths are dealt into more parts.
+    """
+    parts = [(length, max(least, -(-n // rows))) for length, n in histogram.items()]
+    deal = found.sparkSession.createDataFrame(parts, "length long, parts long")  # at most `capacity` rows
+    dealt = found.join(F.broadcast(deal), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
+    totals = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
-    return dealt.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(bases), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("part", "base")
+    # the window's partitioning serves the join too
+    return dealt.withColumn("rank", F.row_number().over(own) - 1).join(bases, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("part", "base")
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -188,7 +211,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             hit = table_[at] if len(table_) else np.zeros((batch.num_rows, 5), np.int64)
             yield pa.record_batch([*batch.columns[:5], pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ready = ranked(found).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long"))
+    ready = ranked(found, histogram).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long"))
     kind = found.schema["doc_id"].dataType.simpleString()
     return ready.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
