@@ -11,11 +11,12 @@ shares are rounded down, so a level leaves less than one token a child unused.
 
 A leaf's documents stand in a seeded order of their own in each epoch; the leaf takes the longest
 prefix of epoch 1, then 2, ... that fits its budget. The prefix is found without sorting a leaf in
-one task: documents fall into buckets by the first bits of their seeded hash, buckets are summed
-and accumulated, and only within a bucket are documents accumulated one by one.
+one task: documents fall into buckets by the first digits of their seeded hash, as many as the largest leaf's count
+asks for, buckets are summed and accumulated, and only within a bucket are documents accumulated one by one.
 
 Defined results: null text counts 0 tokens, null language or source is the branch `none`, null ids
-are ordered by an empty id. Documents of 0 tokens are taken with the prefix that they stand in.
+are ordered by an empty id. Documents of 0 tokens are taken with the prefix that they stand in, which ends where the
+budget is reached. Very long texts count whole.
 Branches that the weights don't name get the default weight; weight 0 takes nothing. Rows that are
 equal in id and order hash stand in text-length order and are taken as they fit. Empty tables give no rows;
 other columns are ignored, but returned by `keep_mix`.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import checkpointed, fresh, table
 
-#: Hex digits of the seeded hash that name a leaf's bucket: 4096 buckets a leaf and epoch.
+#: Hex digits of the seeded hash that name a leaf's bucket, at least: 4096 buckets a leaf and epoch.
 BUCKET_DIGITS = 3
 
 
@@ -103,6 +104,14 @@ def budgets(leaves: DataFrame, plan: MixPlan) -> DataFrame:
     return share_out(lowest, "branch", "source").select("domain", "lang", "source", "leaf_tokens", F.col("given").alias("leaf_budget"))
 
 
+def bucket_digits(documents: int, least: int = BUCKET_DIGITS) -> int:
+    """Hex digits that name a bucket, so that a leaf of so many documents has as many buckets as documents in each, or more."""
+    digits = least
+    while 16 ** (2 * digits) < documents:
+        digits += 1
+    return digits
+
+
 def select(sizes: DataFrame, plan: MixPlan) -> DataFrame:
     """The taken documents of sizes (doc_id, lang, source, n_tokens and, if wanted, row), a row for each epoch that takes one.
 
@@ -112,10 +121,12 @@ def select(sizes: DataFrame, plan: MixPlan) -> DataFrame:
     named = sizes.select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), "n_tokens", *more)
     named = checkpointed(named.withColumn("domain", domain(F.col("source"))))
     leaf = ["domain", "lang", "source"]
-    shares = checkpointed(budgets(named.groupBy(*leaf).agg(F.sum("n_tokens").alias("leaf_tokens")), plan))
+    leaves = checkpointed(named.groupBy(*leaf).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count("*").alias("leaf_documents")))
+    digits = bucket_digits(leaves.agg(F.max("leaf_documents")).first()[0] or 0)
+    shares = checkpointed(budgets(leaves, plan))
     order_hash = F.md5(F.concat_ws("|", F.lit(plan.seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     laid = named.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(plan.epochs)))).withColumn("place", order_hash)
-    laid = laid.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
+    laid = laid.withColumn("bucket", F.substring("place", 1, digits))
     key = [*leaf, "epoch", "bucket"]
     sums = laid.groupBy(*key).agg(F.sum("n_tokens").alias("held"))
     before = Window.partitionBy(*leaf, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +135,7 @@ def select(sizes: DataFrame, plan: MixPlan) -> DataFrame:
     inside = Window.partitionBy(*key).orderBy("place", "n_tokens", *more)
     reached = laid.join(sums.select(*key, "earlier", "leaf_budget"), key)
     ended = reached.withColumn("end_token", F.col("earlier") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return ended.where(F.col("end_token") <= F.col("leaf_budget")).select(*leaf, "doc_id", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "end_token", *more)
+    return ended.where((F.col("end_token") <= F.col("leaf_budget")) & (F.col("end_token") - F.col("n_tokens") < F.col("leaf_budget"))).select(*leaf, "doc_id", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "end_token", *more)
 
 
 def mixed_documents(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
