@@ -31,6 +31,8 @@ from .common import coded, decoded, text_chunks
 ORDER = 3
 #: Training texts of a language at most, on average: a documented bound, filled by a hash of the row.
 TRAIN_ROWS_PER_LANGUAGE = 1500
+#: Bytes of text of a language in the sample, on average over samples: where texts are long, fewer are drawn.
+TRAIN_BYTES_PER_LANGUAGE = 16 << 20
 #: Contexts of orders 2 and 3 seen less often than this in all languages together are cut from the trees.
 MIN_CONTEXT = 12
 #: Bytes of average evidence that the score's posterior rests on.
@@ -109,14 +111,14 @@ def _tables(counts: np.ndarray, parent_row: np.ndarray | None, parent: np.ndarra
     return np.where(counts > 0, seen, escape[:, None] + below), escape
 
 
-def build_model(rows: list[tuple[str, int, int]], min_context: int = MIN_CONTEXT) -> PpmModel:
-    """The frozen trees from (label, gram, n)."""
-    languages = sorted({r[0] for r in rows})
-    if not languages:
+def build_model(grams: pa.Table, min_context: int = MIN_CONTEXT) -> PpmModel:
+    """The frozen trees from the table (label, gram, n)."""
+    if grams.num_rows == 0:
         return PpmModel([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    lang = np.array([languages.index(r[0]) for r in rows])
-    gram = np.array([r[1] for r in rows], np.int64)
-    n = np.array([r[2] for r in rows], np.int64)
+    named = grams.column("label").combine_chunks().dictionary_encode()
+    languages = sorted(named.dictionary.to_pylist())
+    lang = np.array([languages.index(x) for x in named.dictionary.to_pylist()])[named.indices.to_numpy()]
+    gram, n = (grams.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
     last = gram & 255
     bytes_seen = np.unique(np.append(last, 0))  # the padding byte is known as a context
     symbol = np.zeros(256, np.uint8)
@@ -157,20 +159,20 @@ def build_model(rows: list[tuple[str, int, int]], min_context: int = MIN_CONTEXT
     return PpmModel(languages, symbol, row_of_order[-1].astype(np.int32), np.concatenate(bits).astype(np.float32))
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> PpmModel:
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, bytes_per_language: int = TRAIN_BYTES_PER_LANGUAGE) -> PpmModel:
     """Trees of all languages named in docs.
 
-    Of each language a sample is read, chosen by a hash of the text's row (`rows_per_language` on
-    average): the share that this needs comes from a count over all rows.
+    Of each language a sample of whole texts is read, chosen by a hash of the text's row (`rows_per_language` or
+    `bytes_per_language`, whichever is less, on average): the share that this needs comes from totals over all rows. So the
+    counts that reach the driver, as Arrow, are bounded for each language by its bytes.
     """
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    totals = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
-    if not totals:
-        return build_model([])
-    share = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / v)))])
+    totals = labelled.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("size")).collect()
+    share = {r[0]: min(1.0, rows_per_language / r["n"], bytes_per_language / max(r["size"], 1)) for r in totals}
     draw = (F.xxhash64(F.col("doc_id"), F.lit("ppm")) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
-    sample = labelled.where(draw < share[F.col(label)]).select(F.lower(text).alias("text"), F.col(label).alias("label"))
-    return build_model([tuple(r) for r in count_grams(sample, "text", "label").collect()])
+    taken = draw < (F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col(label)] if share else F.lit(0.0))
+    sample = labelled.where(taken).select(F.lower(text).alias("text"), F.col(label).alias("label"))
+    return build_model(count_grams(sample, "text", "label").toArrow())
 
 
 def has_letter(text: Column) -> Column:
