@@ -16,8 +16,9 @@ one-bit neighbours instead, and two of them share such a point exactly if they d
 two bits. At most 65 fingerprints meet at a point, so no group is ever paired in full and no link is
 lost.
 
-`similar_texts` and `keep_one_of_each`, for whole corpora, do not use majority fingerprints, which lose pairs
-at a similarity of 0.8: they link exact shingle overlaps (Jaccard) of 0.8 and more, see `shingles`.
+`keep_one_of_each`, for whole corpora, takes what the fingerprints link as candidates and keeps those whose exact
+shingle overlap (Jaccard) is 0.8 and more. As majority fingerprints lose pairs at that similarity, the pairs that they did not
+find are then looked for by the exact search of `shingles`, which `similar_texts` uses alone.
 
 Defined results: null and empty texts have fingerprint zero and link like any other. A component's
 id is the smallest non-null doc_id in it (null if there is none). Repeated rows are returned each. Tables
@@ -184,6 +185,16 @@ def near_copies_of_documents(docs: DataFrame) -> DataFrame:
     return near_copies(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def proposed_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(u, v), u < v: each of reps (node, doc_id, th) with the smallest node of its component of fingerprint links."""
+    marks = fingerprints(docs.withColumn("th", shingles.text_hash()), ["doc_id", "th"])
+    points = checkpointed(marks.join(reps, shingles.same_row(marks, reps)).select("node", "fp").distinct())
+    roots = checkpointed(components(links(points.select("fp").distinct())))
+    placed = points.join(shingles.shipped(roots).toDF("fp", "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    first = checkpointed(placed.groupBy("root").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("root", "u"))
+    return checkpointed(placed.join(shingles.shipped(first), "root").where("node <> u").select("u", F.col("node").alias("v")))
+
+
 def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """doc_id, component_id of each row of docs, components being those of shingle sets that overlap by 0.8 and more."""
     found = shingles.groups(docs, components, words_per_shingle)
@@ -202,7 +213,7 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     missing ids all stay unless they are near copies.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = shingles.groups(docs.select("doc_id", "text"), components, words_per_shingle)
+    found = shingles.groups(docs.select("doc_id", "text"), components, words_per_shingle, candidates=proposed_pairs)
     copies = found.rows.join(found.reps.select(F.col("node").alias("rid")), "rid", "left_anti").select("doc_id", "th")
     grouped = found.reps.join(found.roots, "node")
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
