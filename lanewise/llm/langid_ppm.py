@@ -126,37 +126,38 @@ def build_model(grams: pa.Table, min_context: int = MIN_CONTEXT) -> PpmModel:
     s, count = int(symbol.max()) + 1, len(languages)
     a, b, c, x = (symbol[(gram >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0))
     bits, starts = [], [0]
-    row_of_order: list[np.ndarray] = []
-    parents: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    keys: list[np.ndarray] = []
+    # of the order before: its row of each context, tables of each language, kept contexts
+    row, parents, keys = np.zeros(0, np.int32), [], np.zeros(0, np.int64)
     for order, code in enumerate((np.zeros_like(c), c, b * s + c, (a * s + b) * s + c)):
         size = s**order
         seen = np.bincount(code, weights=n, minlength=size)
         if order > 1:
             # a context stays only with its shorter one
-            seen[row_of_order[-1][np.arange(size) % (size // s)] < starts[-2]] = 0
+            seen[np.tile(row, s) < starts[-2]] = 0
         kept = np.flatnonzero(seen >= (min_context if order > 1 else 1))
-        index = np.full(size, -1, np.int64)
+        del seen
+        index = np.full(size, -1, np.int32)
         index[kept] = np.arange(len(kept))
-        parent_row = None if order == 0 else np.searchsorted(keys[-1], kept % (size // s))
+        at = index[code].astype(np.int64)
+        del index
+        parent_row = None if order == 0 else np.searchsorted(keys, kept % (size // s))
         out, counts, escapes = [], [], []
         for k in range(count):
-            own = (lang == k) & (index[code] >= 0)
-            table = np.bincount(index[code[own]] * s + x[own], weights=n[own], minlength=len(kept) * s).reshape(len(kept), s)
-            shorter = [x[k] for x in parents[-1]] if order else [None, None, None]
+            own = (lang == k) & (at >= 0)
+            table = np.bincount(at[own] * s + x[own], weights=n[own], minlength=len(kept) * s).reshape(len(kept), s)
+            shorter = [tables[k] for tables in parents] if order else [None, None, None]
             lengths, escape = _tables(table, parent_row, *shorter)
             out.append(lengths)
             counts.append(table)
             escapes.append(escape)
-        parents.append((counts, out, escapes))
-        keys.append(kept)
-        bits.append(np.stack(out, axis=-1).reshape(len(kept) * s, count))
+        parents, keys = (counts, out, escapes), kept
+        bits.append(np.stack([o.astype(np.float32) for o in out], axis=-1).reshape(len(kept) * s, count))
         base = starts[-1]
-        row = np.full(size, 0, np.int64) if order == 0 else row_of_order[-1][np.arange(size) % (size // s)].copy()
+        row = np.zeros(size, np.int32) if order == 0 else np.tile(row, s)
         row[kept] = base + np.arange(len(kept))
-        row_of_order.append(row)
         starts.append(base + len(kept))
-    return PpmModel(languages, symbol, row_of_order[-1].astype(np.int32), np.concatenate(bits).astype(np.float32))
+    del parents, counts, out, escapes
+    return PpmModel(languages, symbol, row, np.concatenate(bits))
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, bytes_per_language: int = TRAIN_BYTES_PER_LANGUAGE) -> PpmModel:
