@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.patterns import first_line, lines, wildcard
@@ -30,21 +32,27 @@ def overview(tables: Tables, width: int = MAX_WIDTH, height: int = MAX_HEIGHT) -
     their shuffles, so at most height x width^2 spans and height x width cells a trace leave a task.
     """
     w = max(1, min(width, MAX_WIDTH))
-    names = tables.symbols if tables.symbols is not None else symbols(tables.stages)
+    # few names have most stages each: written, their size is known, so they are sent to the stages rather than these dealt by name
+    names = written((tables.symbols if tables.symbols is not None else symbols(tables.stages)).select("trace", "symbol_id", "name"), "symbols")
     info = tables.traces.select("trace", F.col("count").alias("n"), F.col("first_cycle").alias("c0"), F.col("last_cycle").alias("c1"))
     h = F.greatest(F.least(F.lit(min(height, MAX_HEIGHT)), F.col("n")), F.lit(1))
     s = with_op_columns(tables.stages, tables, ["flushed"]).join(F.broadcast(info), "trace").join(names, ["trace", "name"])
     last = F.greatest(F.coalesce(F.col("end_cycle") - 1, F.col("c1")), F.col("start_cycle"))
     first_x, last_x = column(F.col("start_cycle"), w), column(last, w)
+    # one number for place and looks, of which the greatest is the latest: it is aggregated by hashing, structs would be sorted
+    looks = (1 + F.pmod("symbol_id", F.lit(COLORS))) * 4 + F.coalesce(F.col("flushed").cast("int"), F.lit(2))
+    c = F.col("row_idx").cast("decimal(20,0)") * F.lit(Decimal(1 << 37)) + (F.col("stage").cast("long") * 64 + looks).cast("decimal(18,0)")
     spans = s.select(
-        "trace", "row_idx", "stage", "flushed", (1 + F.pmod("symbol_id", F.lit(COLORS))).cast("int").alias("color"),
+        "trace", c.cast("decimal(38,0)").alias("c"),
         F.least(F.floor(F.col("row_idx").cast("decimal(20,0)") * h / F.greatest("n", F.lit(1))), h - 1).cast("int").alias("y"),
         first_x.alias("first_x"), F.greatest(last_x, F.least(first_x + 2, F.lit(w - 1))).alias("last_x"),
     )
-    latest = F.max(F.struct("row_idx", "stage", "color", "flushed")).alias("c")
-    cells = spans.groupBy("trace", "y", "first_x", "last_x").agg(latest).select("trace", "y", "c.*", F.explode(F.sequence("first_x", "last_x")).alias("x"))
+    latest = F.max("c").alias("c")
+    cells = spans.groupBy("trace", "y", "first_x", "last_x").agg(latest).select("trace", "y", "c", F.explode(F.sequence("first_x", "last_x")).alias("x"))
     shown = cells.groupBy("trace", "y", "x").agg(latest)
-    return shown.select("trace", "y", "x", (F.col("c.color") + F.when(F.col("c.flushed"), FLUSHED_BIT).otherwise(0)).alias("color"), F.col("c.flushed").alias("flushed"))
+    color, flushed = F.shiftright(F.col("_looks"), 2), F.when(F.col("_looks") % 4 < 2, F.col("_looks") % 4 == 1)
+    shown = shown.withColumn("_looks", F.pmod("c", F.lit(Decimal(64))).cast("int"))
+    return shown.select("trace", "y", "x", (color + F.when(flushed, FLUSHED_BIT).otherwise(0)).alias("color"), flushed.alias("flushed"))
 
 
 def column(cycle: Column, width: int) -> Column:
