@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import shingles
 from .common import checkpointed, fresh, table
@@ -134,7 +134,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates two star steps until nothing moves: every node passes its smallest neighbour to its
     larger neighbours, then to its smaller ones. The logarithm of the longest path bounds the rounds.
-    Edges are dealt by the node that the next step groups by, over as many tasks as their number asks for.
+    Edges are dealt by the node that the next step groups by, over as many tasks as their number asks for. A round is three
+    shuffles without joins, as what the driver keeps of stages and tasks until the job's end grows with their number.
     """
     edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
 
@@ -147,12 +148,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).toDF("a", "b").repartition(tasks, "a")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").repartition(tasks, "u").dropDuplicates(["u", "v"])
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).where("u > v")
+        ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+        both = edges.select(F.explode(ends).alias("e")).select("e.a", "e.b").repartition(tasks, "a")
+        least = both.withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), F.col("a")))
+        large = least.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).repartition(tasks, "u").dropDuplicates(["u", "v"])
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        # the least neighbour's edge stays, the others' ends go to it
+        moved = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = checkpointed(moved.repartition(tasks, "u").dropDuplicates(["u", "v"]))
         after = mark(edges)
         if after == before:
@@ -186,13 +188,18 @@ def near_copies_of_documents(docs: DataFrame) -> DataFrame:
 
 
 def proposed_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(u, v), u < v: each of reps (node, doc_id, th) with the smallest node of its component of fingerprint links."""
+    """(u, v), u < v: each of reps (node, doc_id, th) with the smallest node of its fingerprint, and a fingerprint's smallest node
+    with the smallest one of those that link with it.
+    """
     marks = fingerprints(docs.withColumn("th", shingles.text_hash()), ["doc_id", "th"])
     points = checkpointed(marks.join(reps, shingles.same_row(marks, reps)).select("node", "fp").distinct())
-    roots = checkpointed(components(links(points.select("fp").distinct())))
-    placed = points.join(shingles.shipped(roots).toDF("fp", "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    first = checkpointed(placed.groupBy("root").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("root", "u"))
-    return checkpointed(placed.join(shingles.shipped(first), "root").where("node <> u").select("u", F.col("node").alias("v")))
+    first = checkpointed(points.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    several = first.where("n > 1").select("fp", "first")
+    same = points.join(shingles.shipped(several), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    first = first.drop("n")
+    ends = links(first.select("fp")).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v")
+    near = ends.groupBy(F.greatest("a", "b").alias("v")).agg(F.min(F.least("a", "b")).alias("u")).select("u", "v")
+    return checkpointed(same.union(near))
 
 
 def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
