@@ -36,7 +36,8 @@ def exclude_between(pairs: DataFrame, tables: Tables, phase: Phase, scope: str =
             inside &= (F.col("p_row") > F.least("s_row_idx", "t_row_idx")) & (F.col("p_row") < F.greatest("s_row_idx", "t_row_idx"))
         p = points.withColumnRenamed("trace", "p_trace")
         return renumbered(pairs.join(F.broadcast(p), (F.col("trace") == F.col("p_trace")) & inside, "left_anti"))
-    hit = _hit_any(pairs, points) if scope == "all" else _hit_rows(pairs, points)
+    # numbering reads what is left twice
+    hit = written(_hit_any(pairs, points) if scope == "all" else _hit_rows(pairs, points), "hit")
     return renumbered(pairs.join(hit, KEY, "left_anti"))
 
 
@@ -52,12 +53,49 @@ def _hit_any(pairs: DataFrame, points: DataFrame) -> DataFrame:
 def _hit_rows(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Keys of pairs that enclose a point by rows and cycles.
 
+    The next point after a pair's lower cycle decides many pairs: there is no point inside if it isn't below the higher one, and
+    there is one if it is and its row lies inside. So does the last point before the pair's later row, by its cycle, for what is left.
+    The others are met in blocks of rows.
+    """
+    near = written(_next_points(pairs, points), "near-points").where("next.p_cycle < high")
+    inside = F.col("next.p_row").between(F.col("first"), F.col("stop") - 1)
+    found, spans = near.where(inside).select(*KEY), near.where(~inside).drop("next")
+    if spans.isEmpty():
+        return found
+    near = written(_last_points(spans, points), "last-points").where("-next.place >= first")
+    inside = (F.col("next.p_cycle") > F.col("at")) & (F.col("next.p_cycle") < F.col("high"))
+    found, spans = found.union(near.where(inside).select(*KEY)), near.where(~inside).drop("next")
+    return found if spans.isEmpty() else found.union(_hit_blocks(spans, points))
+
+
+def _next_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs of any rows between (KEY, first, stop, at, high) with next: the point (p_cycle, p_row) of least cycle beyond `at`, the lower cycle."""
+    first, last = F.least("s_row_idx", "t_row_idx") + 1, F.greatest("s_row_idx", "t_row_idx") - 1
+    point = F.struct("p_cycle", "p_row")
+    kind = points.select(point.alias("p")).schema["p"].dataType
+    spans = pairs.select(*KEY, first.alias("first"), (last + 1).alias("stop"), F.least("s_cycle", "t_cycle").alias("at"), F.greatest("s_cycle", "t_cycle").alias("high"), F.lit(None).cast(kind).alias("point")).where("first < stop")
+    given = points.select("trace", F.col("p_cycle").alias("at"), point.alias("point"))
+    after = next_value(spans.unionByName(given, allowMissingColumns=True), ["trace"], "at", F.col("point"), "next", bounds_of(points, "p_cycle", POINTS))
+    return after.where("high is not null").select(*KEY, "first", "stop", "at", "high", "next")
+
+
+def _last_points(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """spans with next: the point (place, its row negated, and p_cycle) of greatest row before `stop`."""
+    given = points.select("trace", (-F.col("p_row")).alias("place"), "p_cycle")
+    point = F.struct("place", "p_cycle")
+    kind = given.select(point.alias("p")).schema["p"].dataType
+    asked = spans.select("*", (-F.col("stop")).alias("place"), F.lit(None).cast(kind).alias("point"))
+    both = asked.unionByName(given.select("trace", "place", point.alias("point")), allowMissingColumns=True)
+    return next_value(both, ["trace"], "place", F.col("point"), "next", bounds_of(given, "place", POINTS)).where("high is not null").select(*spans.columns, "next")
+
+
+def _hit_blocks(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """Keys of spans (of _next_points) that enclose a point.
+
     A pair's open row interval is the union of at most two power-of-two blocks a level; each point
     is in one block a level. In a block, only cycles are left to compare: the pair is hit if the next point
     after its lower cycle comes before its higher one. Levels end at the longest row distance of the pairs.
     """
-    first, last = F.least("s_row_idx", "t_row_idx") + 1, F.greatest("s_row_idx", "t_row_idx") - 1
-    spans = pairs.select(*KEY, first.alias("first"), (last + 1).alias("stop"), F.least("s_cycle", "t_cycle").alias("at"), F.greatest("s_cycle", "t_cycle").alias("high")).where("first < stop")
     longest = spans.agg(F.max(F.col("stop") - F.col("first"))).first()[0]
     levels = list(range((longest or 1).bit_length() + 1))
     blocks = []

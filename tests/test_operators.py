@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lanewise.functions.patterns import lines, user_regex, wildcard
 from lanewise.functions.predicates import Phase
 from lanewise.operators.details import to_json_rows
+from lanewise.operators import exclude
 from lanewise.operators.exclude import _hit_any, _hit_rows, exclude_between
 from lanewise.operators.match import endpoints, match_phases, query_stats, skipped
 from lanewise.operators.pair import pair_phases
@@ -173,3 +174,22 @@ def test_stages_are_matched_without_their_operations(spark):
     for phase in (status, Phase("*", instr="op2", status="flushed")):
         key = lambda x: sorted((r.op_id, r.stage, r.cycle, r.elapsed) for r in match_phases(x, phase).collect())  # noqa: B023, E731
         assert key(t) == key(bare)
+
+
+def test_next_points_decide_pairs_in_order(spark, monkeypatch):
+    """Where rows are in the order of cycles, no pair is left for blocks; elsewhere only those that the next point leaves open."""
+    pair = lambda i, s, t, a, b: ("t", i, 0, s, t, a, b)
+    kinds = "trace string, s_op_id long, s_stage int, s_row_idx long, t_row_idx long, s_cycle long, t_cycle long"
+    ordered = spark.createDataFrame([pair(i, i, i + 5, 10 * i, 10 * i + 50) for i in range(0, 300, 2)], kinds)
+    points = spark.createDataFrame([("t", i, 10 * i) for i in range(0, 150, 3)] + [("t", i, 10 * i) for i in range(150, 300, 40)], "trace string, p_row long, p_cycle long")
+    at = [r.p_row for r in points.collect()]
+    left, blocks = [], exclude._hit_blocks
+    monkeypatch.setattr(exclude, "_hit_blocks", lambda spans, points: (left.extend(r.s_row_idx for r in spans.collect()), blocks(spans, points))[1])
+    assert sorted(r.s_row_idx for r in _hit_rows(ordered, points).collect()) == [i for i in range(0, 300, 2) if any(i < p < i + 5 for p in at)] and not left
+    # the next point's row is outside: the last point of its rows is in 7, 400 has none, 700 has another one than both
+    mixed = spark.createDataFrame([pair(7, 7, 20, 100, 200), pair(400, 400, 420, 100, 200), pair(600, 600, 640, 500, 501), pair(700, 700, 740, 300, 400), pair(800, 800, 840, 300, 400)], kinds)
+    points = spark.createDataFrame([("t", 90, 110), ("t", 9, 150), ("t", 610, 501), ("t", 5, 310), ("t", 701, 350), ("t", 735, 10), ("t", 835, 10)], "trace string, p_row long, p_cycle long")
+    for size in (exclude.POINTS, 2):
+        left.clear()
+        monkeypatch.setattr(exclude, "POINTS", size)
+        assert sorted(r.s_row_idx for r in _hit_rows(mixed, points).collect()) == [7, 700] and sorted(left) == [700, 800]
